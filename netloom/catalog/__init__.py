@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["windows"]
+GROUPS = ["windows", "evaluate", "scoring"]
 
 
 def load():

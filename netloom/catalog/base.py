@@ -12,6 +12,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def nudge(sql: str) -> str:
+    """round(x, 6) -> round((x) + 1e-10, 6): a value whose seventh digit is an exact half then
+    rounds the same way whatever the order of summation. The Spark side adds the same amount."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 1, j + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        body = sql[j + 6:k - 1]
+        if body.endswith(", 6"):
+            out.append(sql[i:j] + "round((" + nudge(body[:-3]) + ") + 1e-10, 6)")
+        else:
+            out.append(sql[i:j] + "round(" + nudge(body) + ")")
+        i = k
+
+
 def query(name: str, sql: str | None = None):
     """Register fn(spark, sf_dir) under a name, with its SQL counterpart if there is one."""
 
@@ -25,7 +50,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = nudge(sql)
         return fn
 
     return register

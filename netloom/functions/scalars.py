@@ -52,8 +52,8 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def r6(c: C) -> Column:
-    """Six digits, halves away from zero, computed on the binary value."""
-    x = col(c).cast("double")
+    """Six digits. The nudge settles exact halves whatever the order of summation was."""
+    x = col(c).cast("double") + 1e-10
     return F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6
 
 

@@ -28,8 +28,23 @@ def segment_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(SEGMENT_SETTING, str(SEGMENT_ROWS)))
 
 
+_sizes: dict[tuple, tuple[int, int]] = {}
+
+
 def key_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """(rows of the largest key, rows in all): one aggregate over the key columns."""
+    """(rows of the largest key, rows in all): one aggregate over the key columns.
+
+    Remembered per plan: a stale answer could cost time, never change a result.
+    """
+    session = df.sparkSession
+    seen = (session.sparkContext.applicationId, df.select(*keys).semanticHash() if keys else df.semanticHash(),
+            tuple(keys))
+    if seen not in _sizes:
+        _sizes[seen] = _measure(df, keys)
+    return _sizes[seen]
+
+
+def _measure(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     sizes = df.groupBy(*keys).count() if keys else df.select(F.count(F.lit(1)).alias("count"))
     top, total = sizes.agg(F.max("count"), F.sum("count")).first()
     return int(top or 0), int(total or 0)
@@ -55,13 +70,6 @@ def ranges(df: DataFrame, keys: list[str], order: list, total: int) -> DataFrame
     return materialize(cut.withColumn("_seg", F.spark_partition_id()), "ranges")
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
-
-
 def _attach(cut: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Join one row per (key, range) to its range. Nulls in keys match nulls."""
     names = [*keys, "_seg"]
@@ -73,27 +81,37 @@ def _attach(cut: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return cut.join(renamed, cond, "left").drop(*[f"_j_{n}" for n in names])
 
 
-def running(df: DataFrame, keys: list[str], order: list, sums: dict[str, Column],
-            inclusive: bool = True) -> DataFrame:
-    """Add running sums per key in the given (total) order."""
+HOW = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def running(df: DataFrame, keys: list[str], order: list, values: dict[str, Column],
+            inclusive: bool = True, how: str = "sum") -> DataFrame:
+    """Add running sums (or minima, maxima) per key in the given total order."""
+    agg = HOW[how]
     frame_end = 0 if inclusive else -1
     top, total = key_sizes(df, keys)
 
+    def settle(c: Column) -> Column:
+        return F.coalesce(c, F.lit(0)) if how == "sum" else c
+
     def within(names: list[str]) -> dict[str, Column]:
         w = window(names, order).rowsBetween(Window.unboundedPreceding, frame_end)
-        return {n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()}
+        return {n: agg(c).over(w) for n, c in values.items()}
 
     if top <= segment_rows(df.sparkSession):
-        return df.withColumns(within(keys))
+        return df.withColumns({n: settle(c) for n, c in within(keys).items()})
     cut = ranges(df, keys, order, total)
     before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_seg").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    prefix = totals.select(*keys, "_seg", *[
-        F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in sums])
+    totals = cut.groupBy(*keys, "_seg").agg(*[agg(c).alias(f"_t_{n}") for n, c in values.items()])
+    prefix = totals.select(*keys, "_seg", *[agg(f"_t_{n}").over(before).alias(f"_p_{n}") for n in values])
     local = cut.withColumns({f"_l_{n}": c for n, c in within([*keys, "_seg"]).items()})
     out = _attach(local, prefix, keys)
-    return out.withColumns({n: F.col(f"_l_{n}") + F.coalesce(F.col(f"_p_{n}"), F.lit(0)) for n in sums}).drop(
-        "_seg", *[f"_l_{n}" for n in sums], *[f"_p_{n}" for n in sums])
+    if how == "sum":
+        joined = {n: settle(F.col(f"_l_{n}")) + settle(F.col(f"_p_{n}")) for n in values}
+    else:
+        pick = F.least if how == "min" else F.greatest  # both skip nulls
+        joined = {n: pick(F.col(f"_l_{n}"), F.col(f"_p_{n}")) for n in values}
+    return out.withColumns(joined).drop("_seg", *[f"_{x}_{n}" for n in values for x in "lp"])
 
 
 def positions(df: DataFrame, keys: list[str], order: list, name: str = "rn") -> DataFrame:
@@ -190,3 +208,40 @@ def first_rows(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataF
     """Top n rows per key. Spark's group limit keeps at most n rows per key and task."""
     w = window(keys, order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def trailing(df: DataFrame, keys: list[str], ts: str, id_col: str, width: int, *,
+             sums: dict[str, Column] | None = None, firsts: dict[str, Column] | None = None,
+             maxes: dict[str, Column] | None = None) -> DataFrame:
+    """Aggregates over the rows of the key in [ts - width, ts], up to and including the row.
+
+    Linear in the rows whatever the frame holds: sums are differences of running sums, the
+    first row of the frame is found by sorting a probe at ts - width among the rows, and a
+    maximum is the running one of the row's block of ``width`` and the suffix of the block before.
+    """
+    sums, firsts, maxes = sums or {}, firsts or {}, maxes or {}
+    order, blocks = [ts, id_col], [*keys, "_block"]
+    out = df.withColumns({f"_c_{n}": c for n, c in {**sums, **maxes, **firsts}.items()})
+    out = running(out, keys, order, {f"_s_{n}": F.col(f"_c_{n}") for n in sums})
+    if maxes:
+        out = out.withColumn("_block", F.expr(f"{ts} div {int(width)}L"))
+        out = running(out, blocks, order, {f"_u_{n}": F.col(f"_c_{n}") for n in maxes}, how="max")
+        out = running(out, blocks, [F.desc(ts), F.desc(id_col)],
+                      {f"_d_{n}": F.col(f"_c_{n}") for n in maxes}, how="max")
+    else:
+        out = out.withColumn("_block", F.lit(0).cast("long"))
+    mark = F.struct(F.col("_block").alias("block"), F.col(ts).alias("ts"),
+                    *[(F.col(f"_s_{n}") - F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(f"s_{n}") for n in sums],
+                    *[F.col(f"_c_{n}").alias(f"f_{n}") for n in firsts],
+                    *[F.col(f"_d_{n}").alias(f"m_{n}") for n in maxes])
+    rows = out.withColumns({"_at": F.col(ts), "_row": F.lit(1), "_mark": mark})
+    probes = out.withColumns({"_at": F.col(ts) - F.lit(int(width)), "_row": F.lit(0),
+                              "_mark": F.lit(None).cast(rows.schema["_mark"].dataType)})
+    found = carry_last(rows.unionByName(probes), keys,
+                       [F.desc("_at"), F.desc("_row"), F.desc(id_col)], {"_start": F.col("_mark")})
+    found = found.filter("_row = 0")
+    result = {n: F.col(f"_s_{n}") - F.col("_start")[f"s_{n}"] for n in sums}
+    result |= {n: F.col("_start")[f"f_{n}"] for n in firsts}
+    result |= {n: F.greatest(F.col(f"_u_{n}"), F.when(F.col("_start")["block"] < F.col("_block"),
+                                                      F.col("_start")[f"m_{n}"])) for n in maxes}
+    return found.withColumns(result).select(*df.columns, *result)
