@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["windows", "evaluate", "scoring"]
+GROUPS = ["windows", "evaluate", "scoring", "packets", "alerts"]
 
 
 def load():

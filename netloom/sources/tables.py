@@ -70,3 +70,33 @@ def flow_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k / 4.0).alias("s_inter_packet_avg"),
         (i % 64).cast("double").alias("s_load"),
     )
+
+
+def packet_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One packet per event; direction alternates, so keys have both."""
+    f = flow_view(spark, sf_dir)
+    u = table(spark, sf_dir, "events").select(F.col("event_id").alias("flow_id"), F.col("user_id").alias("u"))
+    i, k, u_ = F.col("flow_id"), F.col("k"), F.col("u")
+    out = (i % 2) == 0
+    local, remote = F.concat(F.lit("10.0.0."), (u_ % 4).cast("string")), F.concat(F.lit("93.184.216."), (k % 3).cast("string"))
+    lport, rport = (u_ % 5 + 40000).cast("int"), F.lit(443)
+    none = F.lit(None).cast("string")
+    return f.join(u, "flow_id").select(
+        i.alias("packet_id"), F.col("timestamp_end").alias("ts_ms"), "app_id",
+        F.concat(F.lit("cap_"), (u_ % 3).cast("string")).alias("capture"),
+        F.when(u_ % 3 != 0, "TCP").otherwise("UDP").alias("protocol"),
+        F.when(out, local).otherwise(remote).alias("src_ip"), F.when(out, lport).otherwise(rport).alias("src_port"),
+        F.when(out, remote).otherwise(local).alias("dst_ip"), F.when(out, rport).otherwise(lport).alias("dst_port"),
+        out.alias("outbound"), F.col("bytes_out").alias("bytes"),
+        F.when(i % 4 != 0, k).otherwise(0).alias("payload_bytes"),
+        F.when(i % 5 != 0, F.when(out, 64).otherwise(k % 4 + 48)).alias("hop_limit"),
+        (i % 11 == 0).alias("fragmented"), (i % 6 == 0).alias("syn"), (i % 13 == 0).alias("rst"),
+        (i % 2 == 1).alias("ack"), (i % 17 == 0).alias("fin"), (i % 3 == 0).alias("psh"),
+        ((i % 16) * 1024).alias("tcp_window"),
+        F.when(k % 7 == 0, F.concat(F.lit("h"), (k % 5).cast("string"), F.lit(".example.com"))).otherwise(none).alias("host_hint"),
+        F.when(k % 4 == 0, F.concat(F.lit("www.Q"), (k % 6).cast("string"), F.lit(".example.net"))).otherwise(none).alias("dns_query_name"),
+        F.when(i % 9 == 0, remote).otherwise(F.when(i % 10 == 0, "not-an-address").otherwise(none)).alias("dns_answer_value"),
+        F.when(k % 5 == 0, F.concat(F.lit("sni"), (k % 3).cast("string"), F.lit(".example.org"))).otherwise(none).alias("tls_sni"),
+        F.when(k % 6 == 0, F.lit("")).when(k % 8 == 0, "Web.Example.com").otherwise(none).alias("http_host"),
+        (k % 10 == 0).alias("quic_detected"),
+    )
