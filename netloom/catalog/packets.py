@@ -187,5 +187,6 @@ def c12(spark, sf):
 def c13(spark, sf):
     """Every key lands in one partition: what all keyed operators rely on."""
     p = asm.canonical_flow_key(packet_view(spark, sf)).repartition("flow_key")
-    homes = p.groupBy("flow_key").agg(F.countDistinct(F.spark_partition_id()).alias("homes"))
+    placed = p.select("flow_key", F.spark_partition_id().alias("part"))
+    homes = placed.groupBy("flow_key").agg(F.countDistinct("part").alias("homes"))
     return homes.agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("homes") > 1).alias("split_keys"))
