@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["windows", "evaluate", "scoring", "packets", "alerts", "normalize"]
+GROUPS = ["windows", "evaluate", "scoring", "packets", "alerts", "normalize", "store"]
 
 
 def load():

@@ -11,6 +11,7 @@ from netloom.functions.scalars import C, clip, clip01, col, number
 from netloom.operators.flows import app_family
 from netloom.operators.metadata import collection_from_path, label_from_column_or_path
 from netloom.plans.ordered import exact_quantiles, positions
+from netloom.session import materialize
 
 # Column names accepted for each canonical column, first present wins.
 ALIASES = {
@@ -88,6 +89,11 @@ def resolve_aliases(df: DataFrame, profile: str = "generic_flow") -> tuple[DataF
     return df.select(*kept, *rest), mapping
 
 
+def numbered(df: DataFrame, name: str = "flow_id") -> DataFrame:
+    """Give rows an id where the source has none. Stored, so that a recomputed task cannot change it."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def _one_row(df: DataFrame, **aggs: Column):
     return df.agg(*[c.alias(n) for n, c in aggs.items()])
 
@@ -224,7 +230,8 @@ def normalize_flows(df: DataFrame, profile: str = "generic_flow", id_col: str |
     flows, mapping = resolve_aliases(canonicalize_columns(df), profile)
     if id_col is None or id_col not in flows.columns:
         id_col = "flow_id"
-        flows = flows.withColumn(id_col, F.monotonically_increasing_id()) if id_col not in flows.columns else flows
+        if id_col not in flows.columns:
+            flows = numbered(flows, id_col)
     if mapping["timestamp_end"] is None:
         if profile != ROW_TIME_PROFILE:
             raise ValueError("no timestamp column found")
@@ -303,11 +310,13 @@ def adapt_public(df: DataFrame, source: str, path: str = "source_path", id_col:
 
     stem = F.regexp_replace(F.element_at(F.split(F.col(path), "/"), -1), r"\.[^.]*$", "")
     port = num("dst_port", 0.0).cast("int")
+    if id_col not in df.columns:
+        df = numbered(df, id_col)
     rows = df.withColumns({"_t": num("timestamp_end", 0.0), "_label": label_from_column_or_path(df, path)})
     top = _one_row(rows, _top=F.max("_t"))
     rows = rows.crossJoin(F.broadcast(top))
     out = rows.select(
-        *([F.col(id_col)] if id_col in df.columns else [F.monotonically_increasing_id().alias(id_col)]),
+        F.col(id_col),
         text("app_id", f"{source}.unknown").alias("app_id"),
         F.when(F.col("_top") < 1e10, (F.col("_t") + 1.7e9) * 1000).otherwise(F.col("_t")).cast("long").alias("timestamp_end"),
         clip(num("bytes_out", 0.0), 0).alias("bytes_out"), clip(num("bytes_in", 0.0), 0).alias("bytes_in"),
