@@ -26,7 +26,17 @@ def pick(values: list, index: Column) -> Column:
 
 
 def flow_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return flows_of(table(spark, sf_dir, "events"))
+
+
+def flow_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same flows as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1)
+    return flows_of(source.parquet(sf_dir))
+
+
+def flows_of(e: DataFrame) -> DataFrame:
     i, k, u = F.col("event_id"), F.col("k"), F.col("user_id")
     base = e.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return base.select(
