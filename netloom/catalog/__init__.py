@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["windows", "evaluate", "scoring", "packets", "alerts", "normalize", "store", "privacy"]
+GROUPS = ["windows", "evaluate", "scoring", "packets", "alerts", "normalize", "store", "privacy", "models", "streaming"]
 
 
 def load():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.session import tune
+from netloom.session import shared_dir, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,18 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return register
+
+
+_staged: dict[tuple[str, str, str], str] = {}
+
+
+def stage(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table many queries start from: built by Spark once per session, stored, read back."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _staged:
+        import uuid
+
+        path = f"{shared_dir(spark)}/netloom-{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _staged[key] = path
+    return spark.read.parquet(_staged[key])

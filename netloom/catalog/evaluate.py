@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.catalog.base import query
+from netloom.catalog.base import query, stage
 from netloom.catalog.sql import WINDOW_MS, cte, rounded, with_
 from netloom.functions.scalars import r6
 from netloom.operators import evaluate as ev
@@ -26,6 +26,11 @@ SELECT *, app_id || ':' || window_bucket AS id, round({RULE}, 6) AS rule,
 
 
 def scored(spark, sf) -> DataFrame:
+    """Feature windows with three scores."""
+    return stage(spark, "scored", sf, lambda: _scored(spark, sf))
+
+
+def _scored(spark, sf) -> DataFrame:
     w = sc.rule_score(win.feature_windows(flow_view(spark, sf), WINDOW_MS), "rule")
     return w.withColumns({
         "id": F.concat_ws(":", "app_id", "window_bucket"), "rule": r6("rule"),

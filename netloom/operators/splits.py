@@ -143,7 +143,7 @@ def cap_windows(df: DataFrame, benign: int = 0, total: int = 0, seed: int = 42,
 
 def sample_flows(df: DataFrame, n: int, seed: int = 42, id_col: str = "flow_id") -> DataFrame:
     """At most n rows: up to half of them positive, the rest filled with negatives."""
-    c = df.agg(F.count_if("label > 0").alias("p"), F.count(F.lit(1)).alias("n")).first()
+    c = df.agg(F.count_if(F.col("label") > 0).alias("p"), F.count(F.lit(1)).alias("n")).first()
     if n <= 0 or c["n"] <= n:
         return df
     both = c["p"] > 0 and c["p"] < c["n"]
