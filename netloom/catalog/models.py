@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.catalog.base import query
+from netloom.catalog.base import query, stage
 from netloom.catalog.evaluate import scored, show
 from netloom.catalog.sql import with_
 from netloom.functions.scalars import r6
@@ -115,7 +115,7 @@ def f36(spark, sf):
 
 def attack_rows(spark, sf, view="medium"):
     frame = privacy_views(scored(spark, sf))[view].withColumn("id", F.concat_ws(":", "app_id", "window_bucket"))
-    split = class_holdout(frame, "app_family", ["session_id"])
+    split = stage(spark, f"attack-{view}", sf, lambda: class_holdout(frame, "app_family", ["session_id"]))
     return split.filter("split = 'train'"), split.filter("split = 'test'"), VIEW_COLUMNS[view]
 
 

@@ -264,9 +264,9 @@ def j05(spark, sf):
     return sp.split_summary(s)
 
 
-QUOTA = """, c AS (SELECT {key} AS key, count(*) AS n FROM {rows} GROUP BY 1), q AS (SELECT *, n * {want} / (SELECT sum(n) FROM c)::DOUBLE AS x FROM c),
+QUOTA = """, c AS (SELECT {key} AS key, count(*) AS n FROM {rows} GROUP BY 1), q AS (SELECT *, n * least({want}, (SELECT sum(n) FROM c)) / (SELECT sum(n) FROM c)::DOUBLE AS x FROM c),
 r AS (SELECT *, floor(x) AS b, row_number() OVER (ORDER BY x - floor(x) DESC, key) AS rn FROM q)
-SELECT key AS {name}, CAST(b + CASE WHEN rn <= {want} - (SELECT sum(b) FROM r) THEN 1 ELSE 0 END AS BIGINT) AS rows FROM r"""
+SELECT key AS {name}, CAST(b + CASE WHEN rn <= least({want}, (SELECT sum(n) FROM c)) - (SELECT sum(b) FROM r) THEN 1 ELSE 0 END AS BIGINT) AS rows FROM r"""
 
 
 @query("j06_sample_by_source", with_("flows", select=QUOTA.format(key="dataset_source", rows="flows", want=1237, name="dataset_source")))

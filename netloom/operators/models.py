@@ -27,7 +27,7 @@ from netloom.operators.sequences import behaviour_bucket, class_holdout, context
 from netloom.operators.splits import group_split
 from netloom.operators.windows import feature_matrix
 from netloom.plans.ordered import exact_quantiles, positions
-from netloom.session import shared_dir
+from netloom.session import materialize, shared_dir
 
 
 def _prepared(df: DataFrame, features: list[str], weight: str | None) -> DataFrame:
@@ -59,11 +59,11 @@ def tree_documents(model, spark, leaf: str) -> list[dict]:
     if "treeID" not in nodes.columns:
         nodes = nodes.select(F.lit(0).alias("treeID"), F.struct(*nodes.columns).alias("nodeData"))
     n = F.col("nodeData")
-    share = F.try_divide(n["impurityStats"][1], F.aggregate(n["impurityStats"], F.lit(0.0), lambda a, x: a + x))
+    share = F.try_divide(F.get(n["impurityStats"], F.lit(1)), F.aggregate(n["impurityStats"], F.lit(0.0), lambda a, x: a + x))
     value = share if leaf == "share" else n["prediction"]
     rows = nodes.select(
         "treeID", n["id"].alias("id"), n["leftChild"].alias("left"), n["rightChild"].alias("right"),
-        n["split"]["featureIndex"].alias("feature"), n["split"]["leftCategoriesOrThreshold"][0].alias("threshold"),
+        n["split"]["featureIndex"].alias("feature"), F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
         F.coalesce(value, F.lit(0.0)).alias("value")).orderBy("treeID", "id").collect()
     trees: dict[int, dict] = {}
     for r in rows:
@@ -199,7 +199,8 @@ def profile_thresholds(scored: DataFrame, min_rows: int = 50) -> DataFrame:
 
 
 def evaluate_document(test: DataFrame, doc: dict, threshold: float = 0.5) -> DataFrame:
-    s = sc.score_document(test, doc, "score").select("label", "score")
+    # Stored once: five aggregates read it, and scoring may run Python.
+    s = materialize(sc.score_document(test, doc, "score").select("label", "score"), "scores")
     return ev.binary_metrics(s, threshold).crossJoin(ev.roc_auc(s)).crossJoin(
         ev.average_precision(s).withColumnRenamed("average_precision", "pr_auc")).crossJoin(ev.brier(s)).crossJoin(ev.ece(s))
 
@@ -249,7 +250,7 @@ def privacy_ablation(windows: DataFrame, seeds: list[int], id_col: str = "id", m
     runs = None
     views = privacy_views(windows)
     for view, frame in views.items():
-        keyed = frame.withColumn(id_col, F.concat_ws(":", "app_id", "window_bucket"))
+        keyed = materialize(frame.withColumn(id_col, F.concat_ws(":", "app_id", "window_bucket")), f"view-{view}")
         features = [c for c in VIEW_COLUMNS[view] if c in frame.columns]
         for seed in seeds:
             split, _ = group_split(keyed, None, 0.25, seed, id_col)
@@ -352,10 +353,11 @@ def leakage_suite(windows: DataFrame, views: list[str] | None = None, targets: l
         rows = frame.join(labels, ["app_id", "window_bucket"])
         for task in targets or TARGETS:
             target = TARGETS[task]
-            usable = target_frame(rows.withColumn("_target", F.col(target)), "_target", min_rows)
+            usable = materialize(target_frame(rows.withColumn("_target", F.col(target)), "_target", min_rows), "task")
             if usable.select("_target").distinct().limit(2).count() < 2:
                 continue
-            split = class_holdout(usable, "_target", ["dataset_source", "environment_id", "session_id"], 0.3, seed)
+            split = materialize(class_holdout(usable, "_target", ["dataset_source", "environment_id", "session_id"],
+                                              0.3, seed), "holdout")
             line = leakage_attack(split.filter("split = 'train'"), split.filter("split = 'test'"), features, "_target",
                                   seed=seed, **kw)
             line = line.withColumns({"view": F.lit(view), "task": F.lit(task)})
@@ -376,8 +378,10 @@ def open_world(df: DataFrame, features: list[str], target: str, groups: list[str
     unknown = placed.filter(F.col("_rn") <= hidden).select(F.col("c").alias(target))
     outside, inside = df.join(unknown, target, "left_semi"), df.join(unknown, target, "left_anti")
     outer = class_holdout(inside, target, groups, 0.25, seed, id_col)
+    outer = materialize(outer, "holdout")
     test = outer.filter("split = 'test'").drop("split")
     calibrated = class_holdout(outer.filter("split = 'train'").drop("split"), target, groups, 0.2, seed + 17, id_col)
+    calibrated = materialize(calibrated, "holdout")
     fit, held = calibrated.filter("split = 'train'"), calibrated.filter("split = 'test'")
     kept = [target, *features]
     both = held.select(*kept, F.lit("held").alias("part")).unionByName(
@@ -409,6 +413,7 @@ def representation_leakage(train: DataFrame, test: DataFrame, target: str, name:
     """Forest attack on one representation, over classes that both sides have enough rows of."""
     a = target_frame(representation(train, name), target, min_rows, max_rows)
     b = target_frame(representation(test, name), target, max(1, min_rows // 4), max_rows)
+    a, b = materialize(a.select(target, *features), "attack"), materialize(b.select(target, *features), "attack")
     shared = a.select(target).distinct().join(b.select(target).distinct(), target, "left_semi")
     line = leakage_attack(a.join(shared, target, "left_semi"), b.join(shared, target, "left_semi"), features, target,
                           ("random_forest",), seed, quick)
