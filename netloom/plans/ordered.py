@@ -132,16 +132,17 @@ def carry_last(df: DataFrame, keys: list[str], order: list, values: dict[str, Co
     if top <= segment_rows(df.sparkSession):
         return df.withColumns(within(keys))
     cut = ranges(df, keys, order, total)
-    place = F.struct(*_columns([], order))
-    ends = cut.groupBy(*keys, "_seg").agg(*[
-        F.max_by(c, F.when(c.isNotNull(), place)).alias(f"_t_{n}") for n, c in values.items()])
+    names = [*keys, "_seg"]
+    local = cut.withColumns({"_at": F.row_number().over(window(names, order)),
+                             **{f"_l_{n}": c for n, c in within(names).items()}})
+    ends = local.groupBy(*names).agg(*[
+        F.max_by(c, F.when(c.isNotNull(), F.col("_at"))).alias(f"_t_{n}") for n, c in values.items()])
     before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*keys, "_seg", *[
         F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_p_{n}") for n in values])
-    local = cut.withColumns({f"_l_{n}": c for n, c in within([*keys, "_seg"]).items()})
     out = _attach(local, carried, keys)
     return out.withColumns({n: F.coalesce(f"_l_{n}", f"_p_{n}") for n in values}).drop(
-        "_seg", *[f"_l_{n}" for n in values], *[f"_p_{n}" for n in values])
+        "_seg", "_at", *[f"_l_{n}" for n in values], *[f"_p_{n}" for n in values])
 
 
 def bounded(df: DataFrame, keys: list[str], order: list, reach: int,

@@ -118,7 +118,7 @@ def upsert_batches(stream: DataFrame, path: str, key: str, updated: str = "updat
 
 def latest_version(spark: SparkSession, path: str, schema) -> DataFrame:
     """Newest version by its number in the folder names (the listing, not the data, is read)."""
-    top = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "_SUCCESS").load(path)
+    top = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
     number = top.agg(F.max(F.regexp_extract("path", r"/v=(\d+)/", 1).cast("int"))).first()[0]
     return spark.read.schema(schema).parquet(f"{path}/v={number}")
 
