@@ -33,7 +33,8 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def get_session(app: str = "netloom", master: str | None = None, **extra: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false").config(
+        "spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     for key, value in {**RUNTIME_SETTINGS, **extra}.items():
