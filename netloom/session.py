@@ -6,8 +6,14 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import netloom
+
+# Tasks carry the code they run: workers need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(netloom)
+
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -18,7 +24,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-_local_dir: str | None = None  # only for local sessions that name no folder
+_local_dir: tempfile.TemporaryDirectory | None = None  # for local sessions that name no folder
 
 STATE_STORE = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,12 +55,13 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     global _local_dir
     if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="netloom-")
-    return _local_dir
+        _local_dir = tempfile.TemporaryDirectory(prefix="netloom-", ignore_cleanup_errors=True)
+    return _local_dir.name  # removed when the process ends
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
