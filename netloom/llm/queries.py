@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import decontaminate, exact, lines
+from netloom.llm import chat, decontaminate, exact, lines, packing
 from netloom.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,17 @@ def _op3(spark, d):
 @query("op4_exact_dedup", OP4)
 def _op4(spark, d):
     return exact.exact_dedup(read(spark, d, "documents"))
+
+
+@query("op7_chat_formatting")
+def _op7(spark, d):
+    rows = read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(added)))
+
+
+@query("op10_packing")
+def _op10(spark, d):
+    return packing.pack(read(spark, d, "documents"))
