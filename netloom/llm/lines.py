@@ -102,8 +102,8 @@ def repeated(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: i
     runs = LineRuns(spark, fanout)
     for batch in range(batches):
         runs.add(stored.filter(F.col("batch") == batch).select("digest", "row", "doc_id").distinct())
-    often = runs.totals().filter(F.col("n_docs") >= min_docs).select("digest", "keep_doc")
-    # Only the join needs a line's rows near each other; skewed partitions of it can be split.
+    # Stored first: with a plain exchange on either side Spark can split the partition of a very common line.
+    often = materialize(runs.totals().filter(F.col("n_docs") >= min_docs).select("digest", "keep_doc"), "often")
     gone = stored.join(often, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
     return gone.groupBy("row").agg(F.sort_array(F.collect_set("line_no")).alias("line_nos"))
 
