@@ -144,7 +144,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end
     totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     table = spark.createDataFrame(plan(totals, capacity), "plan_length bigint, lo bigint, hi bigint, first bigint, "
                                                           "each bigint, at bigint")
-    placed = stored.join(counts.drop("n"), ["length", "part"]).withColumn("number", F.col("nth") + F.col("before"))
+    # The counts grow with the number of tasks: no broadcast for them.
+    placed = stored.join(counts.drop("n").hint("merge"), ["length", "part"]).withColumn("number", F.col("nth") + F.col("before"))
     inside = (F.col("length") == F.col("plan_length")) & (F.col("number") >= F.col("lo")) & (F.col("number") < F.col("hi"))
     # The plan has a few rows per length, so at most a few times `capacity` rows.
     out = placed.join(F.broadcast(table), inside)
