@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import chat, decontaminate, exact, lines, packing
+from netloom.llm import chat, decontaminate, exact, html, language, lines, packing
 from netloom.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,15 @@ def _op7(spark, d):
 @query("op10_packing")
 def _op10(spark, d):
     return packing.pack(read(spark, d, "documents"))
+
+
+@query("op5_language_id")
+def _op5(spark, d):
+    docs = read(spark, d, "documents")
+    out = language.identify(docs, language.train(docs))
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_html_extraction")
+def _op9(spark, d):
+    return html.extract(read(spark, d, "pages"))
