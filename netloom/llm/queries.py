@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import chat, decontaminate, exact, html, language, lines, packing
+from netloom.llm import chat, decontaminate, exact, html, language, lines, packing, warc
 from netloom.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,20 @@ def _op5(spark, d):
 @query("op9_html_extraction")
 def _op9(spark, d):
     return html.extract(read(spark, d, "pages"))
+
+OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+g AS (SELECT page_id, b, unhex(sha1(b)) AS d, min(page_id) OVER (PARTITION BY b) AS f FROM p),
+bits AS (SELECT page_id, CAST(d AS BIT)::VARCHAR AS x, octet_length(b) AS n, f FROM g)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       list_reduce([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(CAST(substr(x, 1 + 5 * i, 5) AS BIT) AS BIGINT), 1)
+                    FOR i IN range(32)], LAMBDA a, c: a || c) AS payload_digest,
+       CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f <> page_id THEN f END AS refers_to
+FROM bits
+"""
+
+
+@query("op2_warc", OP2)
+def _op2(spark, d):
+    return warc.round_trip(read(spark, d, "pages")).drop("url")
