@@ -5,15 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-import netloom
-
-# Tasks carry the code they run: workers need no copy of this package on their path.
-cloudpickle.register_pickle_by_value(netloom)
-
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -31,8 +27,27 @@ STATE_STORE = (
 )
 
 
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.TemporaryDirectory(prefix="netloom-code-", ignore_cleanup_errors=True)
+    target = Path(os.path.realpath(folder.name), "netloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped[context.applicationId] = folder
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings the operators rely on."""
+    """Apply the runtime SQL settings the operators rely on and send their code along."""
+    ship(spark)
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
