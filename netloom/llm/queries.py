@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import chat, decontaminate, exact, html, language, lines, packing, warc
+from netloom.llm import chat, decontaminate, exact, html, language, lines, minhash, packing, warc
 from netloom.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,8 @@ FROM bits
 @query("op2_warc", OP2)
 def _op2(spark, d):
     return warc.round_trip(read(spark, d, "pages")).drop("url")
+
+
+@query("op8_minhash")
+def _op8(spark, d):
+    return minhash.near_duplicates(read(spark, d, "documents"))
