@@ -11,7 +11,7 @@ No bucket is expanded into pairs. Documents with one shingle set are one class,
 the smallest id. In each bucket all members are compared with one hub, the member that shares most
 buckets with others; verified links are contracted to components. Only what can still join
 components is left then: members outside their bucket's main component, compared with the
-bucket's other components in blocks of bounded size. With 32 bands of four registers a pair at
+bucket's other components in blocks of bounded size; a block gives links, not pairs. With 32 bands of four registers a pair at
 similarity 0.75 shares no band with a chance of 5 in a million; less for closer pairs.
 
 Defined results: a document of fewer than five words has one shingle, the whole sequence. Without
@@ -197,27 +197,29 @@ def _verified(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame
 
 
 def _rest(members: DataFrame, labels: DataFrame, table: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Plausible pairs (a, b) of one bucket and different components, found in blocks."""
+    """Links (a, b) inside a bucket and between components, looked for and verified in blocks."""
     key = ["band", "value"]
-    own = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        *key, "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
-    own = materialize(own, "members")
-    per = own.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy(*key).agg(F.max_by("component", "n").alias("main"), F.max("n").alias("largest"), F.sum("n").alias("size"),
-                                  F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    blocks = lambda c: F.ceil(c / block).cast("int")
-    mixed = materialize(mixed.select(*key, "main", blocks(F.col("size")).alias("across"),
-                                     blocks(F.col("size") - F.col("largest")).alias("down")), "mixed")
-    rows = own.join(mixed, key).withColumn("apart", F.col("component") != F.col("main"))
+    own = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(
+        table.select("doc_id", "n"), "doc_id")
+    own = materialize(own.select(*key, "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"), "n"), "members")
+    per = own.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+    mixed = per.groupBy(*key).agg(F.max_by("component", "docs").alias("main"), F.max("docs").alias("largest"), F.sum("docs").alias("size"),
+                                  F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    # Blocks are bounded in documents and in shingles.
+    parts = lambda docs: F.greatest(F.ceil(docs / block), F.ceil(F.col("n") / (block * block))).cast("int")
+    mixed = materialize(mixed.select(*key, "main", parts(F.col("size")).alias("across"),
+                                     parts(F.col("size") - F.col("largest")).alias("down")), "mixed")
+    rows = own.drop("n").join(mixed, key).withColumn("apart", F.col("component") != F.col("main"))
     spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = [*key, "i", "j", "side", "doc_id", "component", "hub", "apart"]
     outside = rows.filter("apart").withColumn("i", spot("down")).withColumn("j", every("across")).withColumn("side", F.lit(0))
     inside = rows.withColumn("j", spot("across")).withColumn("i", every("down")).withColumn("side", F.lit(1))
-    spread = outside.select(*columns).unionByName(inside.select(*columns)).join(table.select("doc_id", "n", "registers"), "doc_id")
+    spread = outside.select(*columns).unionByName(inside.select(*columns)).join(table, "doc_id")
     place = [*key, "i", "j"]
     spread = spread.repartition(*place).sortWithinPartitions(*place, "side", "doc_id").select(
-        *place, "side", "doc_id", "component", "hub", "apart", "n", "registers")
+        *place, "side", "doc_id", "component", "hub", "apart", "n", "registers", "text")
+    percent = round(threshold * 100)
 
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         out = [r for r in rows if r[4] == 0]
@@ -227,6 +229,13 @@ def _rest(members: DataFrame, labels: DataFrame, table: DataFrame, threshold: fl
         ids, parts, hubs, apart, sizes = (np.array([r[c] for r in every]) for c in (5, 6, 7, 8, 9))
         regs = np.frombuffer(b"".join(r[10] for r in every), np.uint16).reshape(len(every), -1)
         bands = np.frombuffer(b"".join(r[10] for r in every), np.int64).reshape(len(every), -1)
+        sets: dict[int, np.ndarray] = {}
+
+        def full(row):
+            if row[5] not in sets:
+                sets[row[5]] = shingles(row[11])
+            return sets[row[5]]
+
         found = []
         for r in out:
             mine = np.frombuffer(r[10], np.uint16)
@@ -237,7 +246,15 @@ def _rest(members: DataFrame, labels: DataFrame, table: DataFrame, threshold: fl
             if len(ok):
                 up, down = (mine > regs[ok]).sum(1), (mine < regs[ok]).sum(1)
                 ok = ok[plausible(up, down, len(mine) - up - down, np.full(len(ok), r[9]), sizes[ok], threshold)]
-                found += [(min(r[5], x), max(r[5], x)) for x in ids[ok].tolist()]
+                joined = set()
+                for at in ok.tolist():
+                    other = every[at]
+                    if other[6] not in joined:  # one link to a component is enough
+                        x, y = full(r), full(other)
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if 100 * both >= percent * (len(x) + len(y) - both):
+                            joined.add(other[6])
+                            found.append((min(r[5], other[5]), max(r[5], other[5])))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +301,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, bands: int = 32, r
     pairs = members.filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     links = materialize(_verified(pairs, table, threshold), "links")
     more = materialize(_rest(members, components(links), table, threshold, block), "rest")
-    links = links.unionByName(_verified(more.distinct(), table, threshold))
+    links = links.unionByName(more)
     labels = components(links).withColumnRenamed("node", "first")
     named = sets.join(labels, "first", "left").select("set_id", F.coalesce("component", "first").alias("component"))
     out = every.select("doc_id", "n", "set_id").join(named, "set_id", "left")
