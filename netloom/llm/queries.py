@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import chat, decontaminate, exact, html, language, lines, minhash, packing, warc
+from netloom.llm import chat, decontaminate, exact, html, language, lines, minhash, packing, repeats, warc
 from netloom.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,8 @@ def _op2(spark, d):
 @query("op8_minhash")
 def _op8(spark, d):
     return minhash.near_duplicates(read(spark, d, "documents"))
+
+
+@query("op6_suffix_dedup")
+def _op6(spark, d):
+    return repeats.remove_repeats(read(spark, d, "documents")).drop("kept")
