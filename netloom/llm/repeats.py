@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,30 +147,87 @@ def _runs(starts: np.ndarray, whose: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return lo, np.concatenate((lo[1:], [len(starts)])) - 1
 
 
-#: known: a candidate whatever others say; done: the windows lo..hi are repeats.
-ROWS = "route bigint, second bigint, doc_id bigint, tie int, lo int, hi int, known boolean, done boolean"
+#: Columns of phrases and suffixes on their way: two hashes, the place, the range of window starts, flags.
+_COLUMNS = (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.int32, np.uint8)
+KNOWN, DONE = 1, 2  # a candidate whatever others say; a range of repeats
+PACKETS = "bucket int, n int, data binary"
+RANGES = "doc_id bigint, tie int, lo int, hi int, done boolean"
 
 
-def _rows(parts: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-    names = [x.split()[0] for x in ROWS.split(", ")]
-    columns = [np.concatenate([p[i] for p in parts]) for i in range(8)]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+def _packets(parts: list[tuple], buckets: int) -> pa.RecordBatch:
+    """Rows dealt out by their first hash, the rows of a bucket packed column by column."""
+    columns = [np.concatenate([p[i] for p in parts]).astype(t) for i, t in enumerate(_COLUMNS)]
+    bucket = (columns[0] >> np.uint64(16)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    names, first, counts = np.unique(bucket[order], return_index=True, return_counts=True)
+    pack, columns = zstandard.ZstdCompressor(level=1).compress, [c[order] for c in columns]
+    data = [pack(b"".join(c[at:at + n].tobytes() for c in columns)) for at, n in zip(first.tolist(), counts.tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(counts.astype(np.int32)), pa.array(data, pa.binary())],
+                                      names=["bucket", "n", "data"])
 
 
-def _ordered(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+def _settled(packets: DataFrame, buckets: int, decide) -> DataFrame:
+    """Bring rows of one hash together, in corpus order, and keep the ranges that ``decide`` picks.
+
+    A bucket is a set of hashes, none with more than a row per batch, so buckets are even and their size is that
+    of the table by the number of shuffle partitions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, parts = zstandard.ZstdDecompressor().decompress, []
+        for batch in batches:
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw, at, own = unpack(data), 0, []
+                for t in _COLUMNS:
+                    own.append(np.frombuffer(raw, t, n, at))
+                    at += n * np.dtype(t).itemsize
+                parts.append(own)
+        if not parts:
+            return
+        route, second, doc, tie, lo, hi, flags = (np.concatenate([p[i] for p in parts]) for i in range(len(_COLUMNS)))
+        order = np.lexsort((lo, tie, doc, flags & DONE, second, route))
+        columns = [c[order] for c in (route, second, doc, tie, lo, hi, flags)]
+        pick, done = decide(*columns)
+        doc, tie, lo, hi = (c[pick] for c in columns[2:6])
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(lo), pa.array(hi), pa.array(done[pick])],
+                                         names=["doc_id", "tie", "lo", "hi", "done"])
+
+    return packets.repartition(buckets, "bucket").select("n", "data").mapInArrow(run, RANGES)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """True where a new group of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
+def _decide_phrases(route, second, doc, tie, lo, hi, flags):
+    """Later copies of a phrase are repeats; a phrase is a candidate if its trigger has another one."""
+    done = ((flags & DONE) > 0) | ~_starts(route, second)
+    first = np.flatnonzero(_starts(route))
+    ends = np.concatenate((first[1:], [len(route)])) - 1
+    known = np.maximum.reduceat(flags & KNOWN, first) > 0
+    wanted = np.repeat(known | (second[first] != second[ends]), ends - first + 1)
+    return done | wanted, done
+
+
+def _decide_suffixes(route, second, doc, tie, lo, hi, flags):
+    """All but the first of equal suffixes are repeats."""
+    done = ((flags & DONE) > 0) | ~_starts(route, second)
+    return done, done
+
+
+def _ordered(batch: pa.RecordBatch, unpack=None) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ties = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
     order = np.lexsort((ties, ids))
     texts = batch.column(2).to_pylist()
-    return ids[order], ties[order], [texts[i] or b"" for i in order.tolist()], order
-
-
-def _signed(h: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(h).view(np.int64)
+    texts = [texts[i] for i in order.tolist()]
+    return ids[order], ties[order], [unpack(t) for t in texts] if unpack else texts, order
 
 
-def _parse(docs: DataFrame, length: int) -> DataFrame:
+def _parse(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """Phrases that may hold repeats, and those that are known to be whole repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,22 +248,22 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
                 witness[index] = True
                 place = lo + shift
                 route = np.empty(len(lo), np.uint64)
-                # Only one row per trigger and batch must meet those of other batches; the rest is spread.
-                route[first] = np.where(witness, t, _mix(key[first] + place[first].astype(np.uint64)))
+                # One row per trigger and batch must meet those of other batches; other phrases meet their copies.
+                route[first] = np.where(witness, t, _mix(key[first]))
                 route[~first] = _mix(key[~first] + place[~first].astype(np.uint64))
-                sure = np.zeros(len(lo), bool)
-                sure[first] = known
-                yield _rows([(_signed(route), np.zeros(len(lo), np.int64), ids[own], ties[own], place, hi + shift, sure, ~first)])
+                flags = np.where(first, 0, DONE).astype(np.uint8)
+                flags[first] |= known.astype(np.uint8) * np.uint8(KNOWN)
+                yield _packets([(route, key, ids[own], ties[own], place, hi + shift, flags)], buckets)
 
-    return docs.select("doc_id", "tie", "text").mapInArrow(run, ROWS)
+    return docs.select("doc_id", "tie", "text").mapInArrow(run, PACKETS)
 
 
-def _suffixes(docs: DataFrame, length: int) -> DataFrame:
+def _suffixes(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """Hashes of the windows in the phrases at hand; windows repeated in one batch are settled at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ties, texts, order = _ordered(batch)
+            ids, ties, texts, order = _ordered(batch, zstandard.ZstdDecompressor().decompress)
             lows, highs = (batch.column(k) for k in (3, 4))
             ranges = [(lows[i].values.to_numpy(), highs[i].values.to_numpy()) for i in order.tolist()]
             for pieces, whose, offsets in _groups(texts, length):
@@ -225,17 +283,16 @@ def _suffixes(docs: DataFrame, length: int) -> DataFrame:
                 content, trigger = _mix(scan.hash(starts, length)), scan.trigger[starts]
                 first = _first_of(content + trigger)
                 a = np.flatnonzero(first)
-                out = [(_signed(content[a]), _signed(trigger[a]), ids[own[a]], ties[own[a]], place[a], place[a],
-                        np.zeros(len(a), bool), np.zeros(len(a), bool))]
+                out = [(content[a], trigger[a], ids[own[a]], ties[own[a]], place[a], place[a], np.zeros(len(a)))]
                 b = np.flatnonzero(~first)
                 lo, hi = _runs(place[b], own[b])
                 if len(lo):
                     c = b[lo]
-                    out.append((_signed(content[c]), place[c].astype(np.int64), ids[own[c]], ties[own[c]], place[c], place[b[hi]],
-                                np.zeros(len(c), bool), np.ones(len(c), bool)))
-                yield _rows(out)
+                    spread = _mix(content[c] + place[c].astype(np.uint64))
+                    out.append((spread, trigger[c], ids[own[c]], ties[own[c]], place[c], place[b[hi]], np.full(len(c), DONE)))
+                yield _packets(out, buckets)
 
-    return docs.select("doc_id", "tie", "text", "lows", "highs").mapInArrow(run, ROWS)
+    return docs.select("doc_id", "tie", "text", "lows", "highs").mapInArrow(run, PACKETS)
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -248,16 +305,26 @@ def _base(docs: DataFrame) -> DataFrame:
     return rows.withColumn("tie", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1)
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The texts compressed, for shuffles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(
+                [pack(t) for t in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "tie", "text"])
+
+    return docs.select("doc_id", "tie", "text").mapInArrow(run, "doc_id bigint, tie int, text binary")
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, tie, lo, hi: ranges of window starts that also stand earlier in the corpus."""
     key = ["doc_id", "tie"]
-    meet = F.count(F.lit(1)).over(Window.partitionBy("route"))
-    parsed = _parse(docs, length).withColumn("met", meet).filter("done OR known OR met > 1")
-    parsed = materialize(parsed.select(*key, "lo", "hi", "done"), "phrases")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parsed = materialize(_settled(_parse(docs, length, buckets), buckets, _decide_phrases), "phrases")
     wanted = parsed.filter("NOT done").groupBy(*key).agg(F.collect_list("lo").alias("lows"), F.collect_list("hi").alias("highs"))
-    rank = F.row_number().over(Window.partitionBy("route", "second").orderBy("done", *key, "lo"))
-    found = _suffixes(docs.join(wanted, key), length).withColumn("rank", rank).filter("done OR rank > 1")
-    found = materialize(found.select(*key, "lo", "hi"), "suffixes")
+    windows = _suffixes(_packed(docs).join(wanted, key), length, buckets)
+    found = materialize(_settled(windows, buckets, _decide_suffixes), "suffixes").drop("done")
     return parsed.filter("done").select(*key, "lo", "hi").unionByName(found)
 
 
@@ -270,9 +337,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ranges = repeated_ranges(base, length).groupBy(*key).agg(F.collect_list("lo").alias("lows"), F.collect_list("hi").alias("highs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             removed, spans, kept = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            texts = [unpack(t) for t in batch.column(1).to_pylist()]
+            for i, text in enumerate(texts):
                 if batch.column(2)[i].as_py() is None:
                     removed.append(0), spans.append(0), kept.append(text)
                     continue
@@ -281,13 +350,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 np.subtract.at(cover, batch.column(3)[i].values.to_numpy() + length, 1)
                 gone = np.cumsum(cover[:-1]) > 0
                 removed.append(int(gone.sum()))
-                spans.append(int(gone[0]) + int((~gone[:-1] & gone[1:]).sum()))
+                spans.append(int(gone[:1].sum()) + int((~gone[:-1] & gone[1:]).sum()))
                 kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int64()), pa.array(removed, pa.int64()),
+                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    out = base.join(ranges, key, "left").select("doc_id", "text", "lows", "highs").mapInArrow(
+    out = _packed(base).join(ranges, key, "left").select("doc_id", "text", "lows", "highs").mapInArrow(
         run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(str(_NO_ID)).cast("bigint"), F.col("doc_id")))
