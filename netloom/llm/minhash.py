@@ -42,7 +42,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: A pair is left out when its likelihood at the threshold is this many nats below the best.
 NATS = 12.0
 BLOCK = 1024
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 400_000
 
 
 class _Words(dict):

@@ -1,6 +1,6 @@
 """Removal of repeated 100-byte strings, by parsing the corpus into phrases.
 
-A rolling hash over 24 bytes picks the trigger of every 100-byte window, the leftmost least hash
+A rolling hash over 40 bytes picks the trigger of every 100-byte window, the leftmost least hash
 in it. Neighbouring windows with one trigger form a phrase (extended by 99 bytes, so that every window
 lies in one phrase), and a text is the sequence of its phrases. Equal windows have equal
 triggers, hence:
@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from netloom.llm.common import materialize
 
 LENGTH = 100
-GRAM = 24
+GRAM = 40
 #: Bytes scanned at once; longer texts are scanned in overlapping pieces.
-PIECE = 1 << 21
+PIECE = 1 << 20
 _NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -14,7 +14,7 @@ _OTHER = re.compile(r"[^\n\t\x20-\x7e¡-¬®-ɏ]")
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+")
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 400_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
