@@ -99,22 +99,22 @@ def d04(spark, sf):
 
 def heartbeats(spark, sf):
     c = table(spark, sf, "customer")
-    return c.filter("c_custkey < 60").select(F.concat(F.lit("device-"), F.col("c_custkey").cast("string")).alias("device_id"),
-                                             (F.lit(985_000_000) + F.col("c_custkey") * 200_000).alias("last_heartbeat_epoch"))
+    return c.select(F.concat(F.lit("device-"), F.col("c_custkey").cast("string")).alias("device_id"),
+                                             (F.lit(985_000_000) + F.col("c_custkey") % 60 * 200_000).alias("last_heartbeat_epoch"))
 
 
 def policies(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey % 4 = 0 and c_custkey < 60")
-    own = c.select(F.concat(F.lit("device-"), F.col("c_custkey").cast("string")).alias("device_id"), F.col("c_name").alias("policy"),
+    c = table(spark, sf, "customer")  # every fourth device has a policy of its own
+    own = c.select(F.concat(F.lit("device-"), (F.col("c_custkey") * 4).cast("string")).alias("device_id"), F.col("c_name").alias("policy"),
                    (F.col("c_custkey") * 3 % 100).alias("retention_days"), (F.lit(900_000_000) + F.col("c_custkey")).alias("updated_epoch"))
     one = table(spark, sf, "region").limit(1).select(F.lit(so.GLOBAL).alias("device_id"), F.lit("shared").alias("policy"),
                                                      F.lit(60).cast("long").alias("retention_days"), F.lit(1).cast("long").alias("updated_epoch"))
     return own.unionByName(one)
 
 
-cte("hb", [], "SELECT 'device-' || c_custkey AS device_id, 985000000 + c_custkey * 200000 AS last_heartbeat_epoch FROM customer WHERE c_custkey < 60")
-cte("pol", [], """SELECT 'device-' || c_custkey AS device_id, c_name AS policy, c_custkey * 3 % 100 AS retention_days, 900000000 + c_custkey AS updated_epoch
-FROM customer WHERE c_custkey % 4 = 0 AND c_custkey < 60 UNION ALL SELECT '__global__', 'shared', 60, 1""")
+cte("hb", [], "SELECT 'device-' || c_custkey AS device_id, 985000000 + c_custkey % 60 * 200000 AS last_heartbeat_epoch FROM customer")
+cte("pol", [], """SELECT 'device-' || c_custkey * 4 AS device_id, c_name AS policy, c_custkey * 3 % 100 AS retention_days, 900000000 + c_custkey AS updated_epoch
+FROM customer UNION ALL SELECT '__global__', 'shared', 60, 1""")
 cte("devs", ["hb", "ev", "al", "pol"], """
 SELECT device_id, max(seen) AS last_seen_epoch, max(fl) AS last_flow_epoch, max(alr) AS last_alert_epoch, max(hb) AS last_heartbeat_epoch, max(pol) AS last_policy_epoch, CAST(sum(n) AS BIGINT) AS total_events FROM (
   SELECT device_id, last_heartbeat_epoch AS seen, 0 AS fl, 0 AS alr, last_heartbeat_epoch AS hb, 0 AS pol, 0 AS n FROM hb
@@ -134,7 +134,7 @@ def d17(spark, sf):
 
 
 def metadata(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey < 30")
+    c = table(spark, sf, "customer")
     return c.select(F.concat(F.lit("device-"), F.col("c_custkey").cast("string")).alias("device_id"),
                     F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("observed_name"),
                     F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("My "), F.col("c_name"))).alias("display_name"),
@@ -142,7 +142,7 @@ def metadata(spark, sf):
 
 
 cte("meta", [], """SELECT 'device-' || c_custkey AS device_id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS observed_name,
-  CASE WHEN c_custkey % 3 = 0 THEN 'My ' || c_name END AS display_name, c_custkey AS updated_epoch FROM customer WHERE c_custkey < 30""")
+  CASE WHEN c_custkey % 3 = 0 THEN 'My ' || c_name END AS display_name, c_custkey AS updated_epoch FROM customer""")
 NOW_D = 996_400_900
 
 
@@ -173,7 +173,7 @@ def d07(spark, sf):
 
 @query("d08_quality_summary", with_("al", select="""
 SELECT warning, count(*) AS count FROM (SELECT unnest(CASE i % 4 WHEN 0 THEN ['zero_bytes_flow', 'invalid_port'] WHEN 1 THEN ['zero_bytes_flow'] ELSE [] END) AS warning
-  FROM (SELECT * FROM al ORDER BY updated_epoch DESC, alert_id DESC LIMIT 50000)) GROUP BY 1"""))
+  FROM al) GROUP BY 1"""))
 def d08(spark, sf):
     return so.quality_summary(alerts(spark, sf))
 
@@ -384,14 +384,14 @@ def d27(spark, sf):
 
 
 def registry(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey < 200")
+    c = table(spark, sf, "customer")
     i = F.col("c_custkey")
     return c.select(F.concat(F.lit("device-"), (i % 50).cast("string")).alias("device_id"), F.expr("c_custkey div 50 + 1").alias("version"),
                     F.col("c_name").alias("model"), i.alias("created_epoch"), F.when(i >= 150, i).alias("activated_epoch"), (i >= 150).cast("int").alias("is_active"))
 
 
 @query("d28_registry", with_("hb", select=f"""
-, r AS (SELECT 'device-' || c_custkey % 50 AS device_id, c_custkey // 50 + 1 AS version, CASE WHEN c_custkey >= 150 THEN 1 ELSE 0 END AS act FROM customer WHERE c_custkey < 200)
+, r AS (SELECT 'device-' || c_custkey % 50 AS device_id, c_custkey // 50 + 1 AS version, CASE WHEN c_custkey >= 150 THEN 1 ELSE 0 END AS act FROM customer)
 SELECT device_id, version, CASE WHEN device_id = 'device-3' THEN CASE WHEN version = 2 THEN 1 ELSE 0 END WHEN device_id IN (SELECT device_id FROM hb) THEN 0 ELSE act END AS is_active FROM r
 UNION ALL SELECT device_id, coalesce((SELECT max(version) FROM r WHERE r.device_id = hb.device_id), 0) + 1, CASE WHEN device_id = 'device-3' THEN 0 ELSE 1 END FROM hb"""))
 def d28(spark, sf):
@@ -400,7 +400,9 @@ def d28(spark, sf):
     return so.registry_activate(out, "device-3", 2, NOW).select("device_id", "version", "is_active")
 
 
-@query("d28_active_models", """SELECT 'device-' || c_custkey % 50 AS device_id, 4 AS version, c_name AS model FROM customer WHERE c_custkey BETWEEN 150 AND 199""")
+@query("d28_active_models", """
+SELECT device_id, version, model FROM (SELECT 'device-' || c_custkey % 50 AS device_id, c_custkey // 50 + 1 AS version, c_name AS model,
+  row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_custkey DESC) AS rn FROM customer WHERE c_custkey >= 150) WHERE rn = 1""")
 def d28_active(spark, sf):
     return so.active_models(registry(spark, sf))
 

@@ -267,15 +267,16 @@ def recall_at_fpr(df: DataFrame, targets: tuple[float, ...] = (0.01, 0.05, 0.10)
         f"recall_at_fpr_{t:g}".replace(".", "_")) for t in targets])
 
 
-def group_metrics(df: DataFrame, group: str, threshold: float, min_rows: int = 24, max_groups: int = 50,
+def group_metrics(df: DataFrame, group: str, threshold: float, min_rows: int = 24, max_groups: int | None = None,
                   label: str = "label", score: str = "score") -> DataFrame:
-    """Metrics of the largest groups that have enough rows and both classes."""
+    """Metrics of the groups (the largest ``max_groups`` if given) that have enough rows and both classes."""
     name = F.coalesce(F.nullif(F.trim(F.col(group).cast("string")), F.lit("")), F.lit("unknown"))
     m = binary_metrics(df.withColumn("group", name), threshold, ["group"], label, score)
     m = m.withColumns({"rows": F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"),
                        "positives": F.col("tp") + F.col("fn")})
-    largest = m.orderBy(F.desc("rows"), F.asc("group")).limit(max_groups)
-    return largest.filter((F.col("rows") >= min_rows) & (F.col("positives") > 0)
+    if max_groups is not None:
+        m = m.orderBy(F.desc("rows"), F.asc("group")).limit(max_groups)
+    return m.filter((F.col("rows") >= min_rows) & (F.col("positives") > 0)
                           & (F.col("positives") < F.col("rows")))
 
 

@@ -97,7 +97,7 @@ def _features(df: DataFrame, order: list[str]) -> Column:
     return F.array(*[value_of(df, f) for f in order])
 
 
-def walk_trees(values, trees: list[dict], max_depth: int = 64):
+def walk_trees(values, trees: list[dict]):
     """Leaf value of every row in every tree: rows advance one level per step, all at once."""
     out = np.zeros((len(trees), values.shape[0]))
     rows = np.arange(values.shape[0])
@@ -107,13 +107,15 @@ def walk_trees(values, trees: list[dict], max_depth: int = 64):
         left, right = np.asarray(t["left"], dtype=int), np.asarray(t["right"], dtype=int)
         inner = (feature >= 0) & (left >= 0) & (right >= 0)
         at = np.zeros(values.shape[0], dtype=int)
-        for _ in range(max_depth):
+        for _ in range(len(feature)):  # a path without a cycle is no longer
             open_ = inner[at]
             if not open_.any():
                 break
             r, n = rows[open_], at[open_]
             at[open_] = np.where(values[r, feature[n]] <= cut[n], left[n], right[n])
-        out[i] = np.where(inner[at], 0.0, leaf[at])
+        if inner[at].any():
+            raise ValueError(f"tree {i} has a cycle")
+        out[i] = leaf[at]
     return out
 
 

@@ -1,8 +1,9 @@
 """One feature window per flow: the trailing horizon of its application, newest rows only.
 
 Sums come from differences of running sums, so a row costs the same whatever the horizon
-holds. What is not a sum (distinct destinations, deviation from the mean, most frequent
-destination) is read from an array of at most ``row_limit`` small structs.
+holds. What is not a sum (distinct destinations, most frequent destination) and every deviation
+from a mean is read from an array of at most ``row_limit`` small structs: squares are never
+taken from running sums, where rows before the horizon would swamp them.
 """
 
 from __future__ import annotations
@@ -16,9 +17,8 @@ from netloom.operators.flows import app_family, prepare_flows
 from netloom.operators.windows import ORDER, rolling_baseline
 from netloom.plans.ordered import bounded, positions, running, window, with_group
 
-SUMMED = ["bytes_out", "bytes_in", "packets_out", "packets_in", "duration_ms", "_duration_sq",
-          "dst_novelty", "small_flow", "high_port", *K.FLAG_MEANS, *K.TRANSPORT_MEANS, "_positive"]
-STEPPED = ["_gap", "_gap_sq", "_switch"]
+SUMMED = ["bytes_out", "bytes_in", "packets_out", "packets_in", "duration_ms", "dst_novelty", "small_flow", "high_port", *K.FLAG_MEANS, *K.TRANSPORT_MEANS, "_positive"]
+STEPPED = ["_switch"]
 EMITTED_ORDER = ["window_end_ms", "flow_id", "adaptive_window_seconds"]
 
 
@@ -38,20 +38,17 @@ def trailing(df: DataFrame, keys: list[str], row_limit: int) -> DataFrame:
     order = window(keys, ORDER)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     recent = order.rowsBetween(-(row_limit - 1), 0)
-    gap = (F.col("timestamp_end") - F.lag("timestamp_end").over(order)) / 1000.0
     df = df.withColumns({
-        "_duration_sq": F.col("duration_ms") * F.col("duration_ms"),
         "_positive": flag(F.col("label") > 0),
-        "_gap": F.coalesce(gap, F.lit(0.0)),
         "_switch": flag(F.lag("destination_key").over(order) != F.col("destination_key")),
-    }).withColumn("_gap_sq", F.col("_gap") * F.col("_gap"))
+    })
     df = df.withColumns({f"_s_{c}": F.sum(c).over(upto) for c in [*SUMMED, *STEPPED]})
     # Before the row for plain sums, at the row for steps between neighbours.
     mark = F.struct(*[(F.col(f"_s_{c}") - F.col(c)).alias(c) for c in SUMMED],
                     *[F.col(f"_s_{c}").alias(c) for c in STEPPED])
     item = F.struct(F.col("timestamp_end").alias("t"), F.col("total_bytes").alias("b"),
                     F.col("destination_key").alias("d"), F.col("dst_port").alias("p"),
-                    F.col("protocol").alias("r"))
+                    F.col("protocol").alias("r"), F.col("duration_ms").alias("u"))
     return df.withColumns({
         "_marks": F.collect_list(mark).over(recent),
         "_rows": F.collect_list(item).over(recent),
@@ -78,8 +75,11 @@ def _window_columns() -> dict[str, Column]:
     spread = F.aggregate("_win", F.lit(0.0), lambda acc, x: acc + F.abs(x["b"] - mean_size))
     duration = total("duration_ms") / n
     gaps = n - 1
-    gap_mean = total("_gap") / gaps
-    gap_std = F.sqrt(clip(total("_gap_sq") / gaps - gap_mean * gap_mean, 0))
+    gap_mean = (F.element_at("_win", -1)["t"] - F.element_at("_win", 1)["t"]) / 1000.0 / gaps
+    steps = F.zip_with(F.slice("_win", 2, F.col("_n") - 1), F.slice("_win", 1, F.col("_n") - 1),
+                       lambda b, a: (b["t"] - a["t"]) / 1000.0)
+    gap_std = F.sqrt(F.aggregate(steps, F.lit(0.0), lambda acc, g: acc + (g - gap_mean) * (g - gap_mean)) / gaps)
+    jitter = F.aggregate("_win", F.lit(0.0), lambda acc, x: acc + (x["u"] - duration) * (x["u"] - duration)) / n
 
     def kinds(field: str) -> Column:
         return F.size(F.array_distinct(F.transform("_win", lambda x: x[field])))
@@ -108,7 +108,7 @@ def _window_columns() -> dict[str, Column]:
         "packet_rate": packets / seconds,
         "mean_duration_ms": duration,
         "duration_jitter": F.when(
-            F.col("_n") > 1, F.sqrt(clip(total("_duration_sq") / n - duration * duration, 0))).otherwise(0.0),
+            F.col("_n") > 1, F.sqrt(jitter)).otherwise(0.0),
         "port_diversity": kinds("p") / n,
         "protocol_diversity": kinds("r") / n,
         "packet_imbalance": F.abs(packets_out - packets_in) / (packets + 1.0),

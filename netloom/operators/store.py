@@ -26,12 +26,17 @@ def upsert(current: DataFrame, updates: DataFrame, key: str, updated: str = "upd
     return out.select(key, "_b.*", created).select(*current.columns)
 
 
-def newest(df: DataFrame, n: int, ts: str = "updated_epoch", id_col: str = "alert_id") -> DataFrame:
-    return df.orderBy(F.desc(ts), F.desc(id_col)).limit(n)
+def first_n(df: DataFrame, n: int | None) -> DataFrame:
+    """The first n rows if the caller asks for a limit, else all."""
+    return df if n is None else df.limit(n)
+
+
+def newest(df: DataFrame, n: int | None, ts: str = "updated_epoch", id_col: str = "alert_id") -> DataFrame:
+    return first_n(df.orderBy(F.desc(ts), F.desc(id_col)), n)
 
 
 def list_events(df: DataFrame, status: str | None = None, event_type: str | None = None,
-                devices: list[str] | None = None, n: int = 200) -> DataFrame:
+                devices: list[str] | None = None, n: int | None = None) -> DataFrame:
     if status:
         df = df.filter(F.col("status") == status)
     if event_type:
@@ -58,7 +63,7 @@ def search(df: DataFrame, needle: str) -> DataFrame:
 
 def list_alerts(df: DataFrame, status: str | None = None, devices: list[str] | None = None,
                 severities: list[str] | None = None, model: str | None = None, needle: str | None = None,
-                n: int = 200) -> DataFrame:
+                n: int | None = None) -> DataFrame:
     if status:
         df = df.filter(F.col("triage_status") == status)
     if devices:
@@ -80,7 +85,7 @@ def device_name(devices: DataFrame) -> Column:
     return F.coalesce("display_name", "observed_name", "device_id")
 
 
-def list_devices(devices: DataFrame, meta: DataFrame, now: int, n: int = 200) -> DataFrame:
+def list_devices(devices: DataFrame, meta: DataFrame, now: int, n: int | None = None) -> DataFrame:
     """Devices with names, activity, online state and rank; most recently active first."""
     c = F.col
     out = devices.join(meta.select("device_id", "observed_name", "display_name", c("updated_epoch").alias(
@@ -89,7 +94,8 @@ def list_devices(devices: DataFrame, meta: DataFrame, now: int, n: int = 200) ->
     active = F.greatest(*points)
     out = out.withColumn("last_activity_epoch", active)
     out = out.orderBy(F.desc("last_activity_epoch"), F.desc("last_policy_epoch"), F.desc("last_seen_epoch"),
-                      F.asc("device_id")).limit(n)
+                      F.asc("device_id"))
+    out = first_n(out, n)
     age = F.lit(now) - c("last_activity_epoch")
     beat = (c("last_heartbeat_epoch") > 0) & (c("last_heartbeat_epoch") >= c("last_activity_epoch"))
     online = (c("last_activity_epoch") > 0) & (age <= F.when(beat, 1200).otherwise(600))
@@ -106,7 +112,7 @@ def list_devices(devices: DataFrame, meta: DataFrame, now: int, n: int = 200) ->
     return positions(out, [], order, "device_rank")
 
 
-def incidents(alerts: DataFrame, n: int = 200, devices: list[str] | None = None) -> DataFrame:
+def incidents(alerts: DataFrame, n: int | None = None, devices: list[str] | None = None) -> DataFrame:
     rows = alerts.filter(F.col("correlation_key") != "")
     if devices:
         rows = rows.filter(F.col("device_id").isin(devices))
@@ -115,12 +121,12 @@ def incidents(alerts: DataFrame, n: int = 200, devices: list[str] | None = None)
         F.min("device_id").alias("device_id"), F.min("app_id").alias("app_id"), F.count(F.lit(1)).alias("alert_count"),
         rank.alias("max_severity_rank"), F.max("last_seen_epoch").alias("latest_seen_epoch"))
     g = g.withColumn("max_severity", severity_name(F.col("max_severity_rank")))
-    return g.orderBy(F.desc("latest_seen_epoch"), F.asc("correlation_key")).limit(n)
+    return first_n(g.orderBy(F.desc("latest_seen_epoch"), F.asc("correlation_key")), n)
 
 
-def quality_summary(alerts: DataFrame, newest_n: int = 50_000) -> DataFrame:
-    """Counts of each warning in the newest alerts (warnings stored as JSON text or as a list)."""
-    rows = newest(alerts.select("alert_id", "updated_epoch", "warnings"), newest_n)
+def quality_summary(alerts: DataFrame, newest_n: int | None = None) -> DataFrame:
+    """Counts of each warning in all alerts, or the newest n (warnings stored as JSON text or as a list)."""
+    rows = alerts if newest_n is None else newest(alerts.select("alert_id", "updated_epoch", "warnings"), newest_n)
     listed = F.col("warnings") if alerts.schema["warnings"].dataType.typeName() == "array" else F.from_json(
         "warnings", "array<string>")
     return rows.select(F.explode(listed).alias("warning")).groupBy("warning").agg(F.count(F.lit(1)).alias("count"))
@@ -536,7 +542,7 @@ def set_display_names(meta: DataFrame, names: DataFrame, now: int) -> DataFrame:
         F.when(F.col("_d").isNotNull(), stamp).otherwise(F.col("updated_epoch")).alias("updated_epoch"))
 
 
-def job_status(transitions: DataFrame, n: int = 100) -> DataFrame:
+def job_status(transitions: DataFrame, n: int | None = None) -> DataFrame:
     """Job table from its transition events (queued, running, completed / failed), newest first."""
     place = F.struct("epoch", "seq")
 
@@ -549,4 +555,4 @@ def job_status(transitions: DataFrame, n: int = 100) -> DataFrame:
         at(["completed", "failed"], "epoch").alias("completed_epoch"),
         F.substring(F.max_by(F.when(F.col("status") == "failed", F.col("error")), place), 1, 1024).alias("error"),
         at(["completed"], "output_version").alias("output_version"))
-    return out.orderBy(F.desc("created_epoch"), F.desc("job_id")).limit(n)
+    return first_n(out.orderBy(F.desc("created_epoch"), F.desc("job_id")), n)

@@ -260,17 +260,20 @@ def alert_batch(flows: DataFrame, horizon_ms: int = 60_000, policy: dict | None
 def split_late(stream: DataFrame, on_time_path: str, late_path: str, lateness_ms: int, ms: str = "timestamp_end") -> None:
     """Rows older than the newest earlier batch minus the lateness go to their own table.
 
-    The newest time seen is read back from the on-time table, so a restart goes on where it was.
+    Each batch stores the newest time up to it in a row of its own beside the on-time table, so a
+    batch reads one row, and a restart goes on where it was.
     """
     spark = stream.sparkSession
-    schema = stream.schema
+    newest = f"{on_time_path.rstrip('/')}-newest"
 
     def handle(batch: DataFrame, number: int) -> None:
         limit = None
         if number:
-            done = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(
-                *[f"{on_time_path}/batch={i}" for i in range(number)])
-            limit = done.agg(F.max(ms)).first()[0]
+            limit = spark.read.schema("newest bigint").parquet(f"{newest}/batch={number - 1}").first()[0]
+        top = batch.agg(F.max(ms).cast("bigint").alias("newest"))
+        if limit is not None:
+            top = top.select(F.greatest("newest", F.lit(int(limit))).alias("newest"))
+        top.write.mode("overwrite").parquet(f"{newest}/batch={number}")
         late = F.lit(False) if limit is None else F.col(ms) < int(limit) - lateness_ms
         batch.filter(~late).write.mode("overwrite").parquet(f"{on_time_path}/batch={number}")
         batch.filter(late).write.mode("overwrite").parquet(f"{late_path}/batch={number}")

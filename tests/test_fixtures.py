@@ -228,3 +228,31 @@ def test_aliases_per_profile(spark):
         for key, aliases in names.items():
             df = spark.createDataFrame([("1",)], f"`{aliases[-1]}` string")
             assert normalize.resolve_aliases(df, profile)[1][key] == aliases[-1] or key in ("timestamp_end", "label", "app_id")
+
+
+def test_flow_before_the_horizon_leaves_the_window_alone(spark):
+    from netloom.operators import sliding
+
+    month, start = 30 * 86_400_000, 1_700_000_000_000
+    data, at = [], start
+    for i in range(60):
+        data.append((i, "com.test", at, 10, 20, 1, 1, 1.0, 0))
+        at += 5 if i % 2 else 15
+    old = (1000, "com.test", start - month, 10, 20, 1, 1, 1.0, 0)
+    cols = ("periodic_beacon_score", "duration_jitter", "flow_count")
+    found = []
+    for rows_ in (data, [*data, old]):
+        out = sliding.sliding_windows(flows(spark, rows_), 60_000, baseline=False).filter("flow_id = 59")
+        found.append(rows(out, *cols))
+    assert found[0] == found[1] and 0.49 < found[0][0][0] < 0.52
+
+
+def test_trees_of_any_depth_and_cycles():
+    import numpy as np
+
+    n = 100
+    chain = {"feature": [0] * n + [-1], "threshold": [-1.0] * n + [0.0], "value": [0.0] * n + [7.0],
+             "left": [n] * n + [-1], "right": [*range(1, n + 1), -1]}
+    assert scoring.walk_trees(np.zeros((2, 1)), [chain]).tolist() == [[7.0, 7.0]]
+    with pytest.raises(ValueError, match="cycle"):
+        scoring.walk_trees(np.zeros((1, 1)), [{**chain, "right": [0] * n + [-1]}])
