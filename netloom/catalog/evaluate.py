@@ -486,10 +486,10 @@ def f30(spark, sf):
 
 @query("f31_pareto", with_("runs", select=f"""
 SELECT a.view, round(a.f1, 6) AS f1, l.leak FROM ({RUN_SQL}) a LEFT JOIN (
-  SELECT app_family AS view, count(*) AS leak FROM scored GROUP BY ALL HAVING count(*) > 150) l ON a.view = l.view"""))
+  SELECT app_family AS view, count(*) AS leak FROM scored WHERE label = 1 GROUP BY ALL) l ON a.view = l.view"""))
 def f31(spark, sf):
-    s = scored(spark, sf)
-    leak = s.groupBy(F.col("app_family").alias("view")).agg(F.count(F.lit(1)).alias("leak")).filter("leak > 150")
+    found = scored(spark, sf).filter("label = 1")
+    leak = found.groupBy(F.col("app_family").alias("view")).agg(F.count(F.lit(1)).alias("leak"))
     return ev.pareto(ev.aggregate_runs(runs(spark, sf), ["view"], ["f1"]).select("view", r6("f1").alias("f1")), leak)
 
 

@@ -213,10 +213,20 @@ def i06(spark, sf):
     return sq.cap_classes(flow_view(spark, sf), "destination_key", 10).select("flow_id", "destination_key")
 
 
-@query("i07_class_holdout")
+def hashed(seed, *parts: str) -> str:
+    """Order expression of rank_by_hash."""
+    return f"substr(sha256({seed} || '|' || {" || '|' || ".join(parts)}), 1, 15)"
+
+
+@query("i07_class_holdout", with_("scored", select=f"""
+, g AS (SELECT app_family, session_id, count(*) AS n FROM scored GROUP BY ALL),
+p AS (SELECT *, sum(n) OVER (PARTITION BY app_family ORDER BY {hashed(42, 'app_family', 'session_id')}, session_id) AS upto, sum(n) OVER (PARTITION BY app_family) AS c FROM g),
+t AS (SELECT *, upto - n < greatest(1, round(c * 0.3::DOUBLE)) AND upto < c AS test FROM p),
+r AS (SELECT s.id, t.c, t.test, max(t.test::INT) OVER (PARTITION BY s.app_family) AS whole,
+  row_number() OVER (PARTITION BY s.app_family ORDER BY {hashed(42, 's.id')}, s.id) AS rn FROM scored s JOIN t ON s.app_family = t.app_family AND s.session_id = t.session_id)
+SELECT id, CASE WHEN CASE WHEN whole = 1 THEN test ELSE rn <= least(greatest(1, round(c * 0.3::DOUBLE)), c - 1) END THEN 'test' ELSE 'train' END AS split FROM r WHERE c >= 2"""))
 def i07(spark, sf):
-    out = sq.class_holdout(scored(spark, sf), "app_family", ["session_id"])
-    return out.groupBy("app_family", "split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("session_id").alias("groups"))
+    return sq.class_holdout(scored(spark, sf), "app_family", ["session_id"]).select("id", "split")
 
 
 @query("i08_attack_metrics", with_("flows", select="""
@@ -244,16 +254,33 @@ def j02(spark, sf):
     return sp.group_keys(s).select(*KEYS, "key_source_env_session", "key_family_time")
 
 
-@query("j03_group_split")
+def split_sql(p: str, rows: str, seed: int, frac: float, first: str | None = None) -> str:
+    """Tables of a group split: every strategy and attempt, then the first whose sides hold two classes."""
+    names = [*([first] if first else []), *[n for n in sp.STRATEGIES if n != first]]
+    keys = [" || '|' || ".join("CAST(window_end_ms // 14400000 AS VARCHAR)" if c == "time_fold" else c for c in sp.STRATEGIES[n]) for n in names]
+    return f"""{p}k AS (SELECT id, label, unnest({names}) AS strategy, unnest({list(range(len(names)))}) AS place, unnest([{', '.join(keys)}]) AS key FROM {rows}),
+{p}g AS (SELECT strategy, key, attempt, row_number() OVER (PARTITION BY strategy, attempt ORDER BY {hashed(f'({seed} + attempt)', 'key')}, key) AS rn,
+  count(*) OVER (PARTITION BY strategy, attempt) AS n FROM (SELECT DISTINCT strategy, key FROM {p}k) CROSS JOIN (SELECT unnest([0, 1, 2]) AS attempt)),
+{p}a AS (SELECT k.*, g.attempt, g.n, CASE WHEN g.rn <= greatest(1, ceil(g.n * {frac}::DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM {p}k k JOIN {p}g g USING (strategy, key)),
+{p}b AS (SELECT place, attempt FROM (SELECT place, attempt, split, count(DISTINCT label) AS kinds, min(n) AS n FROM {p}a GROUP BY ALL)
+  GROUP BY ALL HAVING count(*) = 2 AND min(kinds) = 2 AND min(n) >= 2 ORDER BY place, attempt LIMIT 1),
+{p}o AS (SELECT id, split, strategy FROM {p}a JOIN {p}b USING (place, attempt))"""
+
+
+@query("j03_group_split", with_("scored", select=f"""
+, {split_sql('a_', 'scored', 42, 0.25, 'source_env_session')} SELECT id, split, strategy FROM a_o"""))
 def j03(spark, sf):
     out, used = sp.group_split(scored(spark, sf), "source_env_session")
-    return out.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives")).withColumn("strategy", F.lit(used))
+    return out.select("id", "split", F.lit(used).alias("strategy"))
 
 
-@query("j04_nested_split")
+@query("j04_nested_split", with_("scored", select=f"""
+, {split_sql('a_', 'scored', 42, 0.25)}, train AS (SELECT scored.* FROM scored JOIN a_o USING (id) WHERE split = 'train'),
+{split_sql('b_', 'train', 59, 0.25)}
+SELECT id, split FROM a_o WHERE split = 'test' UNION ALL SELECT id, CASE split WHEN 'test' THEN 'validation' ELSE split END FROM b_o"""))
 def j04(spark, sf):
     train, test, _ = sp.nested_split(scored(spark, sf))
-    return train.select("split").unionByName(test.select("split")).groupBy("split").count()
+    return train.select("id", "split").unionByName(test.select("id", "split"))
 
 
 @query("j05_split_summary", with_("windows", select="""
@@ -264,33 +291,49 @@ def j05(spark, sf):
     return sp.split_summary(s)
 
 
-QUOTA = """, c AS (SELECT {key} AS key, count(*) AS n FROM {rows} GROUP BY 1), q AS (SELECT *, n * least({want}, (SELECT sum(n) FROM c)) / (SELECT sum(n) FROM c)::DOUBLE AS x FROM c),
-r AS (SELECT *, floor(x) AS b, row_number() OVER (ORDER BY x - floor(x) DESC, key) AS rn FROM q)
-SELECT key AS {name}, CAST(b + CASE WHEN rn <= least({want}, (SELECT sum(n) FROM c)) - (SELECT sum(b) FROM r) THEN 1 ELSE 0 END AS BIGINT) AS rows FROM r"""
+def sample_sql(p: str, rows: str, key: str, want: str, id_col: str) -> str:
+    """Tables of a sample shared over the key by largest remainders; ``{p}o`` holds its ids."""
+    size = f"(SELECT sum(n) FROM {p}c)"
+    return f"""{p}c AS (SELECT {key} AS key, count(*) AS n FROM {rows} GROUP BY 1),
+{p}q AS (SELECT *, n * least({want}, {size}) / {size}::DOUBLE AS x FROM {p}c),
+{p}r AS (SELECT *, floor(x) AS b, row_number() OVER (ORDER BY x - floor(x) DESC, key) AS rn FROM {p}q),
+{p}s AS (SELECT key, b + CASE WHEN rn <= least({want}, {size}) - (SELECT sum(b) FROM {p}r) THEN 1 ELSE 0 END AS quota FROM {p}r),
+{p}i AS (SELECT {id_col}, {key} AS key, row_number() OVER (PARTITION BY {key} ORDER BY {hashed(42, id_col)}, {id_col}) AS rn FROM {rows}),
+{p}o AS (SELECT {id_col} FROM {p}i JOIN {p}s USING (key) WHERE {p}i.rn <= quota)"""
 
 
-@query("j06_sample_by_source", with_("flows", select=QUOTA.format(key="dataset_source", rows="flows", want=1237, name="dataset_source")))
+@query("j06_sample_by_source", with_("flows", select=f"""
+, {sample_sql('a_', 'flows', 'dataset_source', '1237', 'flow_id')} SELECT flow_id FROM a_o"""))
 def j06(spark, sf):
-    return sp.sample_by_source(flow_view(spark, sf), 1237, id_col="flow_id").groupBy("dataset_source").agg(F.count(F.lit(1)).alias("rows"))
+    return sp.sample_by_source(flow_view(spark, sf), 1237, id_col="flow_id").select("flow_id")
 
 
-@query("j07_cap_windows", with_("windows", select="SELECT count(*) FILTER (label = 1) AS positives, least(200, count(*) FILTER (label = 0)) AS benign FROM windows"))
+@query("j07_cap_windows", with_("scored", select=f"""
+, benign AS (SELECT * FROM scored WHERE label = 0), {sample_sql('a_', 'benign', 'dataset_source', '200', 'id')}
+SELECT id FROM scored WHERE label = 1 UNION ALL SELECT id FROM a_o"""))
 def j07(spark, sf):
-    return sp.cap_windows(scored(spark, sf), benign=200).agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("benign"))
+    return sp.cap_windows(scored(spark, sf), benign=200).select("id")
 
 
-@query("j08_sample_flows", with_("flows", select="SELECT least(count(*) FILTER (label = 1), 500) AS positives, 1000 - least(count(*) FILTER (label = 1), 500) AS benign FROM flows"))
+@query("j08_sample_flows", with_("flows", select=f"""
+, pos AS (SELECT * FROM flows WHERE label > 0), neg AS (SELECT * FROM flows WHERE label <= 0), take AS (SELECT least(count(*), 500) AS t FROM pos),
+{sample_sql('a_', 'pos', 'dataset_source', '(SELECT t FROM take)', 'flow_id')},
+{sample_sql('b_', 'neg', 'dataset_source', '(SELECT 1000 - t FROM take)', 'flow_id')}
+SELECT flow_id FROM a_o UNION ALL SELECT flow_id FROM b_o"""))
 def j08(spark, sf):
-    return sp.sample_flows(flow_view(spark, sf), 1000).agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("benign"))
+    return sp.sample_flows(flow_view(spark, sf), 1000).select("flow_id")
 
 
-@query("j09_samples", with_("flows", select="""
-SELECT 'natural' AS mode, 400 AS rows, NULL AS positives UNION ALL SELECT 'balanced', 400, 200 UNION ALL SELECT 'source_label', 400, NULL"""))
+@query("j09_samples", with_("flows", select=f"""
+, {sample_sql('a_', 'flows', "dataset_source || '|' || label", '400', 'flow_id')},
+ranked AS (SELECT flow_id, row_number() OVER (ORDER BY {hashed(42, 'flow_id')}, flow_id) AS rn,
+  row_number() OVER (PARTITION BY label ORDER BY {hashed(42, 'flow_id')}, flow_id) AS in_label FROM flows)
+SELECT 'natural' AS mode, flow_id FROM ranked WHERE rn <= 400 UNION ALL SELECT 'balanced', flow_id FROM ranked WHERE in_label <= 200
+UNION ALL SELECT 'source_label', flow_id FROM a_o"""))
 def j09(spark, sf):
     f, out = flow_view(spark, sf), None
     for mode in ("natural", "balanced", "source_label"):
-        line = sp.sample(f, mode, 400, id_col="flow_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("p")).select(
-            F.lit(mode).alias("mode"), "rows", F.when(F.lit(mode) == "balanced", F.col("p")).alias("positives"))
+        line = sp.sample(f, mode, 400, id_col="flow_id").select(F.lit(mode).alias("mode"), "flow_id")
         out = line if out is None else out.unionByName(line)
     return out
 

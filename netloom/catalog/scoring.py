@@ -16,15 +16,16 @@ KEYS = ["app_id", "window_bucket"]
 
 
 def overrides(spark, sf):
-    """Threshold overrides per app, from the app's own score quantiles."""
-    s = scored(spark, sf).filter(F.col("app_id").startswith("com."))
-    return s.groupBy("app_id").agg(F.lit(0.3).alias("low"), r6(F.avg("score")).alias("medium"),
-                                   r6(F.avg("score") + 0.2).alias("high"))
+    """Threshold overrides of the apps that have more confirmed windows than one in ten."""
+    s = scored(spark, sf).groupBy("app_id").agg(
+        F.lit(0.3).alias("low"), r6(F.avg("score")).alias("medium"), r6(F.avg("score") + 0.2).alias("high"),
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("confirmed"))
+    return s.filter("confirmed * 10 > n").drop("n", "confirmed")
 
 
 cte("overrides", ["scored"], """
 SELECT app_id, 0.3 AS low, round(avg(score), 6) AS medium, round(avg(score) + 0.2, 6) AS high
-FROM scored WHERE starts_with(app_id, 'com.') GROUP BY app_id
+FROM scored GROUP BY app_id HAVING sum(label) * 10 > count(*)
 """)
 
 SEVERITY = """CASE WHEN {s} >= {h} THEN 'HIGH' WHEN {s} >= {m} THEN 'MEDIUM' ELSE 'LOW' END"""

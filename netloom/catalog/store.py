@@ -205,18 +205,22 @@ def d10(spark, sf):
 
 
 def overrides(spark, sf):
-    return so.tune_thresholds(alerts(spark, sf).filter("device_id = 'device-7'"), BASE).filter(F.col("app_id") < "app.h")
+    """Over all devices, the apps whose alerts were confirmed at least as often as rejected."""
+    return so.tune_thresholds(alerts(spark, sf), BASE).filter("tp >= fp")
 
 
-@query("d10_merge_overrides", with_("al", select=TUNE + """
-SELECT coalesce(a.app_id, b.app_id) AS app_id, round(coalesce(b.lo, a.lo), 6) AS low FROM (SELECT * FROM h WHERE device_id = 'device-7' AND app_id < 'app.h') a
-FULL JOIN (SELECT * FROM h WHERE device_id = 'device-9' AND app_id > 'app.b') b ON a.app_id = b.app_id"""))
+ALL_TUNE = TUNE.replace("SELECT device_id, app_id, sum", "SELECT app_id, sum")
+
+
+@query("d10_merge_overrides", with_("al", select=ALL_TUNE + """
+SELECT coalesce(a.app_id, b.app_id) AS app_id, round(coalesce(b.lo, a.lo), 6) AS low FROM (SELECT * FROM h WHERE tp >= fp) a
+FULL JOIN (SELECT * FROM h WHERE fp * 2 > tp) b ON a.app_id = b.app_id"""))
 def d10_merge(spark, sf):
-    nine = so.tune_thresholds(alerts(spark, sf).filter("device_id = 'device-9'"), BASE).filter(F.col("app_id") > "app.b")
-    return so.merge_overrides(overrides(spark, sf).select("app_id", "low", "medium", "high"), nine).select("app_id", r6("low").alias("low"))
+    noisy = so.tune_thresholds(alerts(spark, sf), BASE).filter("fp * 2 > tp")
+    return so.merge_overrides(overrides(spark, sf).select("app_id", "low", "medium", "high"), noisy).select("app_id", r6("low").alias("low"))
 
 
-SIM = TUNE + """, o AS (SELECT * FROM h WHERE device_id = 'device-7' AND app_id < 'app.h'),
+SIM = ALL_TUNE + """, o AS (SELECT * FROM h WHERE tp >= fp),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY updated_epoch DESC, alert_id DESC) AS rn FROM al) WHERE rn <= 120),
 s AS (SELECT n.app_id, CASE WHEN score >= coalesce(hi, 0.85) THEN 'HIGH' WHEN score >= coalesce(md, 0.6) THEN 'MEDIUM' WHEN score >= coalesce(lo, 0.3) THEN 'LOW' ELSE 'SUPPRESSED' END AS sev
   FROM n LEFT JOIN o ON n.app_id = o.app_id)"""
@@ -234,14 +238,14 @@ def d11_totals(spark, sf):
     return so.policy_what_if(alerts(spark, sf), overrides(spark, sf), BASE, 120)[0]
 
 
-@query("d12_what_if_windows", with_("al", select=TUNE + """, o AS (SELECT * FROM h WHERE device_id = 'device-7' AND app_id < 'app.h'),
+@query("d12_what_if_windows", with_("al", select=ALL_TUNE + """, o AS (SELECT * FROM h WHERE tp >= fp),
 s AS (SELECT al.app_id, severity, CASE WHEN score >= coalesce(hi, 0.85) THEN 'HIGH' WHEN score >= coalesce(md, 0.6) THEN 'MEDIUM' ELSE 'LOW' END AS sev FROM al LEFT JOIN o ON al.app_id = o.app_id)
 SELECT count(*) AS rows_evaluated, count(*) FILTER (sev = 'LOW') AS LOW, count(*) FILTER (sev = 'MEDIUM') AS MEDIUM, count(*) FILTER (sev = 'HIGH') AS HIGH, count(*) FILTER (sev <> severity) AS rows_changed FROM s"""))
 def d12(spark, sf):
     return so.policy_what_if_windows(alerts(spark, sf), overrides(spark, sf), BASE, existing="severity")[0]
 
 
-@query("d12_what_if_apps", with_("al", select=TUNE + """, o AS (SELECT * FROM h WHERE device_id = 'device-7' AND app_id < 'app.h'),
+@query("d12_what_if_apps", with_("al", select=ALL_TUNE + """, o AS (SELECT * FROM h WHERE tp >= fp),
 s AS (SELECT al.app_id, CASE WHEN score >= coalesce(hi, 0.85) THEN 'HIGH' WHEN score >= coalesce(md, 0.6) THEN 'MEDIUM' ELSE 'LOW' END AS sev FROM al LEFT JOIN o ON al.app_id = o.app_id)
 SELECT app_id, count(*) FILTER (sev = 'LOW') AS LOW, count(*) FILTER (sev = 'MEDIUM') AS MEDIUM, count(*) FILTER (sev = 'HIGH') AS HIGH, count(*) AS total FROM s GROUP BY 1 ORDER BY total DESC, app_id LIMIT 3"""))
 def d12_apps(spark, sf):

@@ -97,5 +97,6 @@ def sha(*parts: C) -> Column:
 
 
 def rank_by_hash(seed: int, *cols: C) -> Column:
-    """Deterministic pseudo-random order for splits and samples."""
-    return F.xxhash64(F.lit(seed), *[col(c) for c in cols])
+    """Deterministic pseudo-random order for splits and samples: 60 bits of a digest any engine can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
