@@ -286,10 +286,13 @@ def e24(spark, sf):
     return out.select(*KEYS, "candidate_count", r6("first_score").alias("first_score"), "max_evidence", "emitted")
 
 
-GRID = {"service_count": [1, 2, 3], "default_count": [1, 2], "min_evidence": [5, 6, 7], "high_bypass": [0.5, 0.6]}
-GRID_SQL = """grid AS (SELECT a.service_count, b.default_count, c.min_evidence, d.high_bypass FROM (SELECT unnest([1, 2, 3]) AS service_count) a,
-  (SELECT unnest([1, 2]) AS default_count) b, (SELECT unnest([5, 6, 7]) AS min_evidence) c, (SELECT unnest([0.5, 0.6]) AS high_bypass) d)"""
-SEARCH = f""", {GRID_SQL},
+def grid_sql(grid: dict[str, list]) -> str:
+    """The combinations of a parameter grid as a table."""
+    sides = [f"(SELECT unnest({values}) AS {name}) AS {name}_" for name, values in grid.items()]
+    return f"grid AS (SELECT {', '.join(grid)} FROM {' CROSS JOIN '.join(sides)})"
+
+
+SEARCH = f"""
 ep AS (SELECT app_id, session_id, window_bucket, label, app_family, sum(nw) OVER (PARTITION BY app_id, session_id ORDER BY window_end_ms) AS e FROM (
   SELECT *, CASE WHEN window_end_ms - lag(window_end_ms) OVER (PARTITION BY app_id, session_id ORDER BY window_end_ms) <= {DAY2} THEN 0 ELSE 1 END AS nw FROM scored)),
 hit AS (SELECT t.app_id, t.window_bucket, g.*, CASE WHEN (n >= CASE WHEN t.app_family IN ('service', 'system', 'other_app') THEN service_count ELSE default_count END
@@ -298,15 +301,15 @@ votes AS (SELECT ep.app_family, app_id, session_id, e, service_count, default_co
   FROM (SELECT ep.*, g.* FROM ep CROSS JOIN grid g) ep LEFT JOIN hit USING (app_id, window_bucket, service_count, default_count, min_evidence, high_bypass) GROUP BY ALL)"""
 
 
-@query("e25_policy_search", with_("trailed", select=SEARCH + f"""
+@query("e25_policy_search", with_("trailed", select=", " + grid_sql(al.GLOBAL_GRID) + "," + SEARCH + f"""
 SELECT service_count, default_count, min_evidence, CAST(high_bypass AS DOUBLE) AS high_bypass, tp, fp, fn, tn, {rounded(['precision', 'recall', 'f1'])} FROM (SELECT *, {RATES} FROM (
   SELECT service_count, default_count, min_evidence, high_bypass, {CONF.format(t=0.5)} FROM votes GROUP BY ALL))"""))
 def e25(spark, sf):
     s = al.evidence_strength(scored(spark, sf))
-    return show(al.policy_search(s, GRID, 0.4, DAY2), [*GRID, "tp", "fp", "fn", "tn"], ["precision", "recall", "f1"])
+    return show(al.policy_search(s, None, 0.4, DAY2), [*al.GLOBAL_GRID, "tp", "fp", "fn", "tn"], ["precision", "recall", "f1"])
 
 
-@query("e25_family_policies", with_("trailed", select=SEARCH + f"""
+@query("e25_family_policies", with_("trailed", select=", " + grid_sql(al.FAMILY_GRID) + "," + SEARCH + f"""
 , m AS (SELECT *, {RATES} FROM (SELECT app_family, service_count, default_count, min_evidence, high_bypass, {CONF.format(t=0.5)} FROM votes GROUP BY ALL)),
 ok AS (SELECT app_family FROM scored GROUP BY 1 HAVING count(*) >= 100 AND sum(label) > 0 AND sum(label) < count(*))
 SELECT app_family, round(o1, 6) AS first_metric, round(o2, 6) AS second_metric FROM (SELECT *, row_number() OVER (PARTITION BY app_family ORDER BY o1 DESC, o2 DESC, o3 DESC) AS rn FROM (
@@ -315,7 +318,7 @@ SELECT app_family, round(o1, 6) AS first_metric, round(o2, 6) AS second_metric F
   FROM m WHERE app_family IN (SELECT app_family FROM ok))) WHERE rn = 1"""))
 def e25_family(spark, sf):
     s = al.evidence_strength(scored(spark, sf))
-    best = al.best_policy(al.policy_search(s, GRID, 0.4, DAY2, by_family=True), True)
+    best = al.best_policy(al.policy_search(s, None, 0.4, DAY2, by_family=True), True)
     f = F.col("app_family")
     one = F.when(f == "service", F.col("precision")).when(f == "malware", F.col("recall")).otherwise(F.col("f1"))
     two = F.when(f == "service", -F.col("false_positive_rate")).otherwise(F.col("precision"))
@@ -377,14 +380,10 @@ def e29(spark, sf):
     return s.select(*KEYS, al.explanation_text().alias("explanation"))
 
 
-BLENDS = {"service_weight": [0.0, 0.25], "service_cap": [0.06, 0.12], "malware_mode": ["max", "quiet"], "other_weight": [0.25, 0.65]}
-
-
 @query("e30_blend_search", with_("scored", select=f"""
-, grid AS (SELECT a.sw, b.cap, c.mode, d.ow FROM (SELECT unnest([0.0, 0.25]) AS sw) a, (SELECT unnest([0.06, 0.12]) AS cap) b,
-  (SELECT unnest(['max', 'quiet']) AS mode) c, (SELECT unnest([0.25, 0.65]) AS ow) d),
-b AS (SELECT sw, cap, mode, ow, label, greatest(0, least(1, CASE WHEN app_family IN ('malware', 'remote_access') THEN CASE WHEN mode = 'max' THEN greatest(score, score_b) ELSE score_b END
-  WHEN app_family IN ('service', 'system', 'other_app') THEN least(sw * score + (1 - sw) * score_b, score_b + cap) ELSE ow * score + (1 - ow) * score_b END))::DOUBLE AS score FROM scored CROSS JOIN grid),
+, {grid_sql(al.BLEND_GRID)},
+b AS (SELECT service_weight AS sw, service_cap AS cap, malware_mode AS mode, other_weight AS ow, label, greatest(0, least(1, CASE WHEN app_family IN ('malware', 'remote_access') THEN CASE mode WHEN 'max' THEN greatest(score, score_b) WHEN 'quiet' THEN score_b ELSE 0.35::DOUBLE * score + 0.65::DOUBLE * score_b END
+  WHEN app_family IN ('service', 'system', 'other_app') THEN least(sw::DOUBLE * score + (1 - sw::DOUBLE) * score_b, score_b + cap::DOUBLE) ELSE ow::DOUBLE * score + (1 - ow::DOUBLE) * score_b END))::DOUBLE AS score FROM scored CROSS JOIN grid),
 s AS (SELECT *, {RATES} FROM (SELECT sw, cap, mode, ow, step, CASE WHEN step = 200 THEN 1.0::DOUBLE ELSE step * (1.0::DOUBLE / 200) END AS threshold, {CONF.format(t='threshold')}
   FROM range(201) r(step) CROSS JOIN b GROUP BY ALL)),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sw, cap, mode, ow ORDER BY f1 DESC, precision DESC, recall DESC, threshold) AS rn FROM s) WHERE rn = 1),
@@ -392,7 +391,7 @@ c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sw, cap, mode, ow
 SELECT CAST(sw AS DOUBLE) AS service_weight, CAST(cap AS DOUBLE) AS service_cap, mode AS malware_mode, CAST(ow AS DOUBLE) AS other_weight,
   round(f.f1, 6) AS best_f1, round(c.recall, 6) AS constrained_recall FROM f JOIN c USING (sw, cap, mode, ow)"""))
 def e30(spark, sf):
-    return show(al.blend_search(scored(spark, sf), "score", "score_b", 0.1, BLENDS), list(BLENDS), ["best_f1", "constrained_recall"])
+    return show(al.blend_search(scored(spark, sf), "score", "score_b", 0.1), list(al.BLEND_GRID), ["best_f1", "constrained_recall"])
 
 
 # ---- detectors that remember

@@ -10,7 +10,7 @@ from netloom.catalog.sql import with_
 from netloom.functions.scalars import r6
 from netloom.operators import models as mo
 from netloom.operators import scoring as sc
-from netloom.operators.privacy import VIEW_COLUMNS, privacy_views
+from netloom.operators.privacy import REPRESENTATIONS, VIEW_COLUMNS, privacy_views
 from netloom.operators.sequences import class_holdout
 from netloom.operators.windows import BACKEND_FEATURES, backend_features
 
@@ -122,27 +122,27 @@ def attack_rows(spark, sf, view="medium"):
 @query("i08_leakage_attack")
 def i08(spark, sf):
     train, test, features = attack_rows(spark, sf)
-    out = mo.leakage_attack(train, test, features, "app_family", quick=True)
+    out = mo.leakage_attack(train, test, features, "app_family")
     return show(out, ["model", "rows", "strongest"], ["accuracy", "macro_f1", "top_5_accuracy", "normalized_leakage"])
 
 
 @query("i09_leakage_by_group")
 def i09(spark, sf):
     train, test, _ = attack_rows(spark, sf)
-    out = mo.leakage_by_group(train, test, "app_family", models=("random_forest",), quick=True)
+    out = mo.leakage_by_group(train, test, "app_family")
     return show(out, ["feature_group", "model", "rows"], ["accuracy", "normalized_leakage"])
 
 
 @query("i10_open_world")
 def i10(spark, sf):
     s = scored(spark, sf)
-    out = mo.open_world(s, FEATURES, "app_id", ["session_id"], quick=True)
+    out = mo.open_world(s, FEATURES, "app_id", ["session_id"])
     return show(out, [], ["unknown_precision", "unknown_recall", "unknown_f1", "known_accuracy", "unknown_auroc", "cut"])
 
 
 @query("i11_leakage_suite")
 def i11(spark, sf):
-    out = mo.leakage_suite(scored(spark, sf), ["medium"], ["app_family", "dataset_source"], models=("random_forest",), quick=True)
+    out = mo.leakage_suite(scored(spark, sf), ["medium"], ["app_family", "dataset_source"])
     return show(out, ["view", "task", "model", "rows"], ["accuracy", "normalized_leakage"])
 
 
@@ -150,8 +150,8 @@ def i11(spark, sf):
 def i12(spark, sf):
     train, test = halves(spark, sf)
     out = None
-    for name in ("deleted_reduced_features", "bucketed_medium_plus"):
-        line = mo.representation_leakage(train, test, "app_family", name, FEATURES, 10, quick=True)
+    for name in REPRESENTATIONS:
+        line = mo.representation_leakage(train, test, "app_family", name, FEATURES, 10)
         line = show(line, ["representation", "rows"], ["accuracy", "macro_f1"])
         out = line if out is None else out.unionByName(line)
     return out
