@@ -19,6 +19,7 @@ BATCH_ROWS = 512
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings of these operators."""
     tune(spark)
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")  # Spark's own, as the figures were measured
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
