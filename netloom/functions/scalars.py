@@ -14,8 +14,7 @@ def col(c: C) -> Column:
 
 def number(c: C, default: float | None = 0.0) -> Column:
     """Coerce to double; what cannot be read becomes the default."""
-    n = col(c).try_cast("double")
-    n = F.when(F.isnan(n), None).otherwise(n)
+    n = F.nanvl(col(c).try_cast("double"), F.lit(None).cast("double"))
     return n if default is None else F.coalesce(n, F.lit(float(default)))
 
 
@@ -37,6 +36,14 @@ def clip(c: C, lo: float | None = None, hi: float | None = None) -> Column:
     return F.when(out > hi, F.lit(float(hi))).otherwise(out)
 
 
+def limit(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
+    """clip of a value that is never null: the argument is used, and so evaluated, once."""
+    out = c.cast("double")
+    if hi is not None:
+        out = F.least(F.lit(float(hi)), out)
+    return out if lo is None else F.greatest(F.lit(float(lo)), out)
+
+
 def clip01(c: C) -> Column:
     return clip(c, 0.0, 1.0)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import constants as K
-from netloom.functions.scalars import C, clip, clip01, col, contains_any, flag, is_multicast, is_private, number, text, token
+from netloom.functions.scalars import C, col, contains_any, flag, is_multicast, is_private, limit, number, text, token
 
 
 def require(df: DataFrame, columns: list[str]) -> None:
@@ -46,14 +46,15 @@ def transport_columns(df: DataFrame) -> dict[str, Column]:
     gap = F.abs(optional(df, "sttl") - optional(df, "rttl")) / 255.0
     given = "ttl_gap" in df.columns
     out = {
-        "ttl_gap": clip01(optional(df, "ttl_gap")) if given else clip01(F.when(has_ttl > 0, gap).otherwise(0.0)),
-        "ttl_metrics_present": clip01(has_ttl),
+        "ttl_gap": limit(optional(df, "ttl_gap"), 0, 1) if given
+        else limit(F.when(has_ttl > 0, gap).otherwise(0.0), 0, 1),
+        "ttl_metrics_present": limit(has_ttl, 0, 1),
     }
     for rate in K.SUMMED_RATES:
-        out[f"{rate}_rate_total"] = clip(optional(df, f"s_{rate}_rate") + optional(df, f"r_{rate}_rate"), 0)
+        out[f"{rate}_rate_total"] = limit(optional(df, f"s_{rate}_rate") + optional(df, f"r_{rate}_rate"), 0)
     for source, name in K.HALVED_MEANS.items():
-        out[name] = clip((optional(df, f"s_{source}") + optional(df, f"r_{source}")) * 0.5, 0)
-    out["transport_metrics_present"] = F.greatest(*[clip01(optional(df, c)) for c in K.AVAILABILITY_FLAGS])
+        out[name] = limit((optional(df, f"s_{source}") + optional(df, f"r_{source}")) * 0.5, 0)
+    out["transport_metrics_present"] = F.greatest(*[limit(optional(df, c), 0, 1) for c in K.AVAILABILITY_FLAGS])
     return out
 
 
@@ -81,17 +82,17 @@ def host_tests(host: C) -> dict[str, Column]:
         "punycode": h.contains("xn--"),
         "digit_substitution": h.rlike(K.DIGIT_SUBSTITUTION),
         "long_host": F.length(h) >= 32,
-        "many_labels": F.regexp_count(h, F.lit(r"\.")) >= 4,
+        "many_labels": F.length(h) - F.length(F.replace(h, F.lit("."))) >= 4,
     }
 
 
-def host_risk_columns(df: DataFrame, host: C) -> dict[str, Column]:
-    """Lookalike, threat and risk values of the destination host."""
-    tests = host_tests(host)
-    given = clip01(optional(df, "lookalike_score"))
-    derived = clip(flag(tests["digit_substitution"]) * 0.45 + flag(tests["punycode"]) * 0.35, hi=1.0)
-    lookalike = F.when(given == 0.0, derived).otherwise(given)
-    threat = clip01(optional(df, "has_threat_tags"))
+def host_risk_columns(df: DataFrame, host: C, tests: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Lookalike, threat and risk values of the destination host; ``tests`` may be stored already."""
+    tests = tests or host_tests(host)
+    given = limit(optional(df, "lookalike_score"), 0, 1)
+    derived = limit(flag(tests["digit_substitution"]) * 0.45 + flag(tests["punycode"]) * 0.35, hi=1.0)
+    lookalike = F.when(given == 0.0, derived).otherwise(given) if "lookalike_score" in df.columns else derived
+    threat = limit(optional(df, "has_threat_tags"), 0, 1)
     suspicious = F.lit(False)
     for t in tests.values():
         suspicious = suspicious | t
@@ -99,11 +100,11 @@ def host_risk_columns(df: DataFrame, host: C) -> dict[str, Column]:
     risk = F.greatest(lookalike, threat * weights["threat_tag"],
                       *[flag(t) * weights[name] for name, t in tests.items()])
     return {
-        "destination_risk": clip01(risk),
+        "destination_risk": limit(risk, 0, 1),
         "lookalike_score_flow": lookalike,
         "suspicious_destination": flag(suspicious),
         "known_identity": flag(F.lower(col(host)).rlike("[a-z]")),
-        "mitre_technique_flow": clip01(optional(df, "has_mitre_techniques")),
+        "mitre_technique_flow": limit(optional(df, "has_mitre_techniques"), 0, 1),
         "threat_tag_flow": threat,
     }
 
@@ -119,8 +120,8 @@ def prepare_flows(df: DataFrame) -> DataFrame:
         F.col("timestamp_end").isNotNull())
     base = base.withColumns({
         **{c: number(c) for c in ("bytes_out", "bytes_in", "packets_out", "packets_in")},
-        "dst_novelty": clip01(number("dst_novelty")),
-        "duration_ms": clip(optional(df, "duration_ms"), 0),
+        "dst_novelty": limit(number("dst_novelty"), 0, 1),
+        "duration_ms": limit(optional(df, "duration_ms"), 0),
         "dst_port": optional(df, "dst_port").cast("long"),
         "protocol": F.upper(text("protocol", "UNKNOWN")) if "protocol" in df.columns else F.lit("UNKNOWN"),
         "destination_key": text("destination_key", "unknown:0") if "destination_key" in df.columns
@@ -132,14 +133,17 @@ def prepare_flows(df: DataFrame) -> DataFrame:
     base = base.withColumns({
         "label": number("label").cast("int"),
         "total_bytes": F.col("bytes_out") + F.col("bytes_in"),
-        "total_packets": clip(F.col("packets_out") + F.col("packets_in"), 1),
-        "_host": destination_host(base),
+        "total_packets": limit(F.col("packets_out") + F.col("packets_in"), 1),
+        "_host": F.lower(destination_host(base)),
     })
+    # Columns of their own: what is used several times below is evaluated once.
+    tests = host_tests("_host")
+    base = base.withColumns({f"_t_{n}": t for n, t in tests.items()})
     return base.withColumns({
         **calendar_columns(),
         **transport_columns(base),
         **port_columns(),
         "private_destination": flag(is_private("_host")),
         "multicast_destination": flag(is_multicast("_host")),
-        **host_risk_columns(base, "_host"),
-    }).drop("_host")
+        **host_risk_columns(base, "_host", {n: F.col(f"_t_{n}") for n in tests}),
+    }).drop("_host", *[f"_t_{n}" for n in tests])

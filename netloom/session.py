@@ -18,6 +18,9 @@ RUNTIME_SETTINGS = {
     # Split a skewed join partition even where that adds a shuffle above it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM only interprets methods beyond 8000 bytes of code. Plans with so many columns are
+    # cut into smaller methods, which it compiles.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 _local_dir: tempfile.TemporaryDirectory | None = None  # for local sessions that name no folder
