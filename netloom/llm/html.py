@@ -2,9 +2,12 @@
 
 Paragraphs give points for their length and commas to the elements around them, less with each
 level; an element's points are discounted by the share of its text that is link text. The best
-element is the article; siblings with enough points or plain running text stay with it. Before
-that, elements that are furniture by tag, role or name (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts, styles) are left out.
+element is the article; siblings with enough points or plain running text stay with it. Only
+elements that hold no text of a page by their tag (scripts, menus, footers, hidden parts) are left
+out before. Furniture by role, whole class name or id (sidebars, notices, adverts, comments), and
+forms, asides and page headers count a fifth of their points. They are left out of the chosen
+article, but not if they hold most of its running text; an article, main or section only if it is
+named as reader comments.
 
 Defined results: null or empty html, and pages without running text, give an empty text. Broken
 markup is read the way browsers repair it: a new block ends an open paragraph, list item or cell,
@@ -14,7 +17,7 @@ and unclosed elements end with their parent. Each row gives one row. Extra colum
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -34,25 +37,30 @@ footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre se
 tr ul caption br""".split())
 SELF_ENDING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"},
                "option": {"select"}}
-#: Elements and names that are not part of an article.
-FURNITURE_TAGS = frozenset("""nav footer aside form script style noscript template iframe button select option textarea input
-label fieldset svg canvas object embed head title dialog menu""".split())
+#: Elements and names that are not part of an article; the second set may still wrap one.
+FURNITURE_TAGS = frozenset("""nav footer script style noscript template iframe button select option textarea input
+svg canvas object embed head title dialog menu""".split())
+WEAK_TAGS = frozenset("aside form label fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 FURNITURE = frozenset("""ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored sponsors promo promos
 promoted promotion nav navbar navigation menu menus header masthead topbar footer sidebar aside rail cookie cookies consent gdpr notice notices
 notification alert popup modal overlay subscribe subscription newsletter signup login signin register share sharing
 social related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget widgets copyright legal
-disclaimer search form hidden skip""".split())
-COMMENTS = frozenset("comment comments disqus reply replies respond discussion feedback reviews".split())
-SOLID = frozenset("html body main article".split())
+disclaimer search form hidden skip discussion feedback reviews""".split())
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: Words that say where or how a part is shown; a name of them alone is no furniture.
+PLACES = frozenset("""site page main global top bottom left right primary secondary first second upper lower block box bar area list
+item items links link wrapper wrap container inner outer section thread form widget col column banner post posts text icons buttons""".split())
+DISCOUNT = 0.2
+SOLID = frozenset("html body main article section".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "score")
+    __slots__ = ("tag", "attrs", "parent", "items", "score", "weak")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None"):
-        self.tag, self.attrs, self.parent, self.items, self.score = tag, attrs, parent, [], 0.0
+        self.tag, self.attrs, self.parent, self.items, self.score, self.weak = tag, attrs, parent, [], 0.0, False
 
 
 def parse(html: str) -> Node:
@@ -100,39 +108,47 @@ def _close(node: Node, tag: str, stop: frozenset | set = frozenset()) -> Node:
     return node
 
 
-def _names(node: Node) -> set[str]:
-    text = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-    return set(_WORD.findall(_CAMEL.sub(" ", text).lower())) if len(text) > 1 else set()
+def _named(node: Node, kind: frozenset) -> bool:
+    """Is a whole class name or the id made of words of the kind, and of places at most?"""
+    for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split():
+        words = set(_WORD.findall(_CAMEL.sub(" ", name).lower()))
+        if words & kind and words <= kind | PLACES | FURNITURE:
+            return True
+    return False
 
 
-def _furniture(node: Node, heads: set[int]) -> bool:
+def _furniture(node: Node) -> bool:
     attrs = node.attrs
-    if node.tag in FURNITURE_TAGS:
-        return True
-    if node.tag == "header":
-        return not _inside(node, "article")
-    if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True
-    names = _names(node)
-    if names & COMMENTS and node.tag not in ("html", "body"):
+    return node.tag in FURNITURE_TAGS or bool(attrs) and (
+        "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""))
+
+
+def _comments(node: Node) -> bool:
+    return bool(node.attrs) and node.tag not in ("html", "body") and _named(node, COMMENTS)
+
+
+def _weak(node: Node, heads: set[int]) -> bool:
+    """Counts less, and is left out where it is not most of the text."""
+    if _comments(node):
         return True
     if node.tag in SOLID or id(node) in heads:
         return False
-    return attrs.get("role", "").lower() in FURNITURE_ROLES or bool(names & FURNITURE)
+    if node.tag == "header":
+        return not _inside(node, ("article", "main"))
+    return node.tag in WEAK_TAGS or bool(node.attrs) and (
+        node.attrs.get("role", "").lower() in FURNITURE_ROLES or _named(node, FURNITURE))
 
 
-def _inside(node: Node, tag: str) -> bool:
+def _inside(node: Node, tags: tuple[str, ...]) -> bool:
     while node.parent is not None:
         node = node.parent
-        if node.tag == tag:
+        if node.tag in tags:
             return True
     return False
 
 
 def _prune(root: Node) -> list[Node]:
-    """Take furniture out; the elements left, parents before children."""
+    """Take furniture out and mark weak elements; the elements left, parents before children."""
     every, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -140,7 +156,7 @@ def _prune(root: Node) -> list[Node]:
         stack += [x for x in reversed(node.items) if isinstance(x, Node)]
     heads = set()  # a wrapper around the article is never furniture, whatever its name
     for node in every:
-        if node.tag in ("article", "main") and not _names(node) & COMMENTS:
+        if node.tag in ("article", "main") and not _comments(node):
             up = node.parent
             while up is not None and id(up) not in heads:
                 heads.add(id(up))
@@ -148,7 +164,8 @@ def _prune(root: Node) -> list[Node]:
     left, stack = [], [root]
     while stack:
         node = stack.pop()
-        node.items = [x for x in node.items if not isinstance(x, Node) or not _furniture(x, heads)]
+        node.items = [x for x in node.items if not isinstance(x, Node) or not _furniture(x)]
+        node.weak = _weak(node, heads)
         left.append(node)
         stack += [x for x in reversed(node.items) if isinstance(x, Node)]
     return left
@@ -171,8 +188,10 @@ def _lengths(nodes: list[Node]) -> dict[int, tuple[int, int, int]]:
 
 
 def _score(nodes: list[Node], sizes: dict[int, tuple[int, int, int]]) -> list[Node]:
-    scored = {}
+    scored, faint = {}, set()
     for node in nodes:
+        if node.weak or node.parent is not None and id(node.parent) in faint:
+            faint.add(id(node))
         own = sum(len(x.strip()) for x in node.items if not isinstance(x, Node))
         if node.tag not in PARAGRAPHS and not (node.tag in ("div", "section", "article", "body", "main") and own >= 25):
             continue
@@ -182,6 +201,8 @@ def _score(nodes: list[Node], sizes: dict[int, tuple[int, int, int]]) -> list[No
         if not n:
             continue
         points = (1 + commas + min(n / 100, 3)) * (1 - links / n)
+        if id(node) in faint:
+            points *= DISCOUNT
         up, level = node.parent if node.tag in PARAGRAPHS else node, 0
         while up is not None and level < 5:
             up.score += points / (1, 2, 6, 9, 12)[level]
@@ -193,7 +214,18 @@ def _score(nodes: list[Node], sizes: dict[int, tuple[int, int, int]]) -> list[No
     return list(scored.values())
 
 
-def _text(nodes: list[Node]) -> str:
+def _text(nodes: list[Node], sizes: dict[int, tuple[int, int, int]]) -> str:
+    """The text of the elements without weak parts, or with them if there is nothing else."""
+    running = sum(sizes[id(x)][0] - sizes[id(x)][1] for x in nodes)
+
+    def left(x: Node) -> bool:
+        n, links, _ = sizes[id(x)]
+        return x.weak and (2 * (n - links) <= running or _comments(x))
+
+    return _blocks(nodes, left) or _blocks(nodes, lambda x: False)
+
+
+def _blocks(nodes: list[Node], left: Callable[[Node], bool]) -> str:
     """Blocks in page order, white space inside a block made one space, blocks joined by one."""
     blocks, part = [], []
 
@@ -214,7 +246,7 @@ def _text(nodes: list[Node]) -> str:
             if x.tag in BLOCK:
                 end()
                 stack.append(None)
-            stack += reversed(x.items)
+            stack += [y for y in reversed(x.items) if not isinstance(y, Node) or not left(y)]
     end()
     return " ".join(blocks)
 
@@ -228,25 +260,32 @@ def main_text(html: str | None) -> str:
     scored = _score(nodes, sizes)
     if not scored:
         tops = [n for n in nodes if n.tag in ("article", "main", "body")] or nodes[:1]
-        return _text(tops[:1])
+        return _text(tops[:1], sizes)
     best = max(scored, key=lambda n: n.score)
     up = best
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
     best = up or best
     if best.parent is None or best.tag in ("body", "html"):
-        return _text([best])
-    enough, kept = max(10.0, best.score * 0.2), []
+        return _text([best], sizes)
+    enough, kept, heads = best.score * 0.2, [], []
     for x in best.parent.items:
         if x is best:
-            kept.append(x)
-        elif isinstance(x, Node):
+            kept += [*heads, x]
+            heads = []
+        elif isinstance(x, Node) and not x.weak:
             n, links, commas = sizes[id(x)]
             density = links / n if n else 1.0
             running = x.tag == "p" and (n > 80 and density < 0.25 or 0 < n <= 80 and density == 0 and commas)
-            if x.score >= enough or running or x.tag == "h1" and n:
-                kept.append(x)
-    return _text(kept)
+            alike = x.tag == best.tag and density < 0.25 and x.attrs.get("class") == best.attrs.get("class") is not None
+            if x.score and x.score >= enough or running or alike or x.tag == "h1" and n:
+                kept += [*heads, x]
+                heads = []
+            elif x.tag in ("h2", "h3", "h4", "h5", "h6"):  # stays with what it stands above
+                heads.append(x)
+            elif n:
+                heads = []
+    return _text(kept, sizes)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -58,6 +58,28 @@ def test_html_furniture_goes():
     assert html.main_text(deep) == "deep, text" and html.main_text("plain &lt;text&gt;") == "plain <text>"
 
 
+def test_html_names_do_not_cut_the_article():
+    text = "First paragraph, with text. Second one, longer than the first."
+    inner = "<p>First paragraph, with text.</p><p>Second one, longer than the first.</p>"
+    for wrap in ("<div class='content no-sidebar'>%s</div>", "<div class='page has-sidebar'><div>%s</div></div>", "<form id=aspnet>%s</form>",
+                 "<article class='post comments-open'>%s</article>", "<div class=notice>%s</div>", "<div id=legal><div>%s</div></div>",
+                 "<article><section id=discussion>%s</section></article>", "<div class='widget'>%s</div>"):
+        assert html.main_text("<body><nav>a, b, c</nav>" + wrap % inner + "<div class=ad>Buy, buy</div><footer>me</footer>") == text, wrap
+    paper = "<article><section><p>Methods, at length, here.</p></section><section id=discussion><p>Found, so.</p></section></article>"
+    assert html.main_text(paper) == "Methods, at length, here. Found, so."
+    for gone in ("<div class=sidebar>x, y</div>", "<div class='site-header'>x, y</div>", "<section id=comments><p>x, y, z</p></section>",
+                 "<div id=cookieNotice>x, y</div>"):
+        assert html.main_text(f"<article>{inner}{gone}</article>") == text, gone
+
+
+def test_html_short_siblings_stay():
+    part = "<div><p>short</p><p>short too</p></div>"
+    assert html.main_text(f"<div id=all>{part * 3}</div>") == " ".join(["short short too"] * 3)
+    long = "<div class=part><p>%s</p></div>" % ("long, " * 60)
+    got = html.main_text(f"<div><div class=part><p>Intro.</p></div>{long}<h2>More</h2><div class=part><p>End.</p></div></div>")
+    assert got.startswith("Intro. long,") and got.endswith("long, More End.")
+
+
 def test_html_table(spark):
     df = clashing(spark.createDataFrame(PAGES, "page_id bigint, url string, html string"))
     got = html.extract(df).collect()
