@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from netloom.session import materialize, tune
 
-__all__ = ["let", "lower_ascii", "materialize", "prepare", "read", "row_key", "unique"]
+__all__ = ["let", "lower_ascii", "materialize", "prepare", "read", "row_key", "text_digest", "unique"]
 
 #: Rows of one Arrow batch: bounds what a Python worker holds when texts are long.
 BATCH_ROWS = 512
@@ -45,6 +45,11 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("hash"))
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text; a null text counts as empty. With the id, it names a document also where ids repeat."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def unique(columns: list[str], *names: str) -> list[str]:
     """The names, with underscores put before each until none is a column already."""
     taken = {c.lower() for c in columns}

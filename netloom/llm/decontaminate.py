@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import let, lower_ascii, materialize
+from netloom.llm.common import let, lower_ascii, materialize, text_digest
 
 #: Fixed by the contract: digits, letters, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -103,9 +103,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW,
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    bad = materialize(contamination(docs, benchmark, n).filter("contaminated").select("doc_id").distinct(), "bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The documents that are not contaminated, with all their columns; id and text name a document."""
+    named = docs.select(F.struct(F.col("doc_id").alias("id"), text_digest(F.col("text")).alias("digest")).alias("doc_id"), "text")
+    bad = contamination(named, benchmark, n).filter("contaminated").select("doc_id.id", "doc_id.digest").distinct()
+    bad = materialize(bad, "bad")
+    same = docs["doc_id"].eqNullSafe(bad["id"]) & (text_digest(docs["text"]) == bad["digest"])
+    return docs.join(bad, same, "left_anti")
 
 
 def without(values: Column, dropped: Column) -> Column:

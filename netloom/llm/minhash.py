@@ -8,15 +8,16 @@ with the known set sizes; only pairs for which the threshold is out of the quest
 out. Every link is confirmed on the full sets.
 
 No bucket is expanded into pairs. Documents with one shingle set are one class, represented by
-the smallest id. In each bucket all members are compared with one hub, the member that shares most
+the document with the smallest id. In each bucket all members are compared with one hub, the member that shares most
 buckets with others; verified links are contracted to components. Only what can still join
 components is left then: members outside their bucket's main component, compared with the
 bucket's other components in blocks of bounded size; a block gives links, not pairs. With 32 bands of four registers a pair at
 similarity 0.75 shares no band with a chance of 5 in a million; less for closer pairs.
 
 Defined results: a document of fewer than five words has one shingle, the whole sequence. Without
-words, or with a null text, it has none and links with nothing. Repeated rows answer alike. A null id
-never names a component unless no member of its class has an id, and such a class is not linked.
+words, or with a null text, it has none and links with nothing. Id and text together name a document:
+rows that agree in both answer alike, rows that share an id are otherwise apart. Of a component the
+smallest id stays, of equal ids the smallest digest. A null id stays only if no member has an id.
 An empty table gives no rows. Extra columns are not read; ``keep`` passes them through.
 """
 
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import materialize
+from netloom.llm.common import materialize, text_digest
 from netloom.llm.components import components
 
 WORDS = 5
@@ -123,24 +124,25 @@ def plausible(up, down, same, n_a, n_b, threshold: float) -> np.ndarray:
     return (top[:, 0] >= threshold) & (reach >= value.max(1) - NATS)
 
 
-SKETCHES = "doc_id bigint, n bigint, set_id binary, registers binary"
+SKETCHES = "doc_id bigint, digest binary, n bigint, set_id binary, registers binary"
 
 
 def sketches(docs: DataFrame, registers: int) -> DataFrame:
-    """Set size, a 128-bit name of the set, and registers; no name for an empty set."""
+    """Digest of the text, set size, a 128-bit name of the set, and registers; no name for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names, regs = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 own = shingles(text)
                 sizes.append(len(own))
                 names.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 regs.append(sketch(own, registers).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
-                                              pa.array(regs, pa.binary())], names=["doc_id", "n", "set_id", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
+                                              pa.array(regs, pa.binary())], names=["doc_id", "digest", "n", "set_id", "registers"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, SKETCHES)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest(F.col("text")).alias("digest"), F.col("text").alias("text"))
+    return rows.mapInArrow(run, SKETCHES)
 
 
 def _bands(rows: DataFrame, bands: int) -> DataFrame:
@@ -279,38 +281,55 @@ def _rest(members: DataFrame, labels: DataFrame, table: DataFrame, threshold: fl
     return spread.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.75, bands: int = 32, registers: int = 128, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def _answers(docs: DataFrame, threshold: float = 0.75, bands: int = 32, registers: int = 128, block: int = BLOCK) -> DataFrame:
+    """The rows of ``near_duplicates`` with the digest of the text."""
     if registers < bands * PER_BAND or registers % PER_BAND:
         raise ValueError("registers must fill the bands")
     every = materialize(sketches(docs, registers), "sketches")
-    sets = materialize(every.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first")), "sets")
-    one = every.join(sets, (every["doc_id"] == sets["first"]) & (every["set_id"] == sets["set_id"]), "left_semi")
-    banded = materialize(_bands(one, bands), "bands")
+    # Classes are numbered: ids can be null or repeat, so they name nothing before the end.
+    found = every.filter("set_id IS NOT NULL").groupBy("set_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest")).alias("best"),
+        F.first("n").alias("n"), F.first("registers").alias("registers"))
+    sets = materialize(found.withColumn("node", F.monotonically_increasing_id()), "sets")
+    banded = materialize(_bands(sets.select(F.col("node").alias("doc_id"), "registers"), bands), "bands")
     key = ["band", "value"]
     shared = banded.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
     members = materialize(banded.join(shared.filter("size > 1"), key), "buckets")
     fame = members.groupBy("doc_id").agg(F.sum("size").alias("fame"))
     hubs = members.join(fame, "doc_id").groupBy(*key).agg(F.max_by("doc_id", "fame").alias("hub"))
     members = materialize(members.join(hubs, key).select(*key, "doc_id", "hub"), "hubs")
-    asked = members.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).join(asked, "doc_id", "left_semi")
-    # Repeated rows of an id: the text whose sketch is in the table is the one to compare.
-    table = every.select("doc_id", "n", "registers").join(asked, "doc_id", "left_semi").join(texts, "doc_id").dropDuplicates(["doc_id"])
-    table = materialize(table.select("doc_id", "n", "registers", "text"), "candidates")
+    asked = sets.join(members.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi").select(
+        "node", "n", "registers", F.col("best.id").alias("id"), F.col("best.digest").alias("own"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest(F.col("text")).alias("digest"), F.col("text").alias("text"))
+    texts = texts.join(asked.select("id", "own"), same, "left_semi")
+    # Rows that agree in id and text are one document.
+    table = texts.join(asked, same).select(F.col("node").alias("doc_id"), "n", "registers", "text").dropDuplicates(["doc_id"])
+    table = materialize(table, "candidates")
     pairs = members.filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     links = materialize(_verified(pairs, table, threshold), "links")
     more = materialize(_rest(members, components(links), table, threshold, block), "rest")
     links = links.unionByName(more)
-    labels = components(links).withColumnRenamed("node", "first")
-    named = sets.join(labels, "first", "left").select("set_id", F.coalesce("component", "first").alias("component"))
-    out = every.select("doc_id", "n", "set_id").join(named, "set_id", "left")
-    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    labels = components(links)
+    named = sets.select("set_id", "best", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    winners = named.groupBy("component").agg(F.min("best").alias("best"))
+    named = named.select("set_id", "component").join(winners, "component").select("set_id", "best")
+    out = every.select("doc_id", "digest", "n", "set_id").join(named, "set_id", "left")
+    alone = F.col("set_id").isNull()
+    wins = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.digest"))
+    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"),
+                      F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("component_id"),
+                      (alone | wins).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.75, bands: int = 32, registers: int = 128, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    return _answers(docs, threshold, bands, registers, block).drop("digest")
 
 
 def keep(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """One document of each component, and all others that link with nothing, with all columns."""
-    gone = materialize(near_duplicates(docs, threshold).filter("NOT kept").select("doc_id").distinct(), "near")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    gone = materialize(_answers(docs, threshold).filter("NOT kept").select(
+        F.col("doc_id").alias("id"), F.col("digest").alias("own")).distinct(), "near")
+    same = docs["doc_id"].eqNullSafe(gone["id"]) & (text_digest(docs["text"]) == gone["own"])
+    return docs.join(gone, same, "left_anti")

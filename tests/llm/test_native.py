@@ -85,6 +85,13 @@ def test_decontamination_matches_brute_force(spark, limit):
     assert sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 5, 10]
 
 
+def test_decontamination_drops_rows_not_ids(spark):
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
+    rows = [(None, PASSAGE), (None, "clean"), (None, None), (3, PASSAGE), (3, "clean too"), (4, PASSAGE + " end")]
+    left = decontaminate.drop_documents(clashing(docs(spark, rows)), bench)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(None, "clean"), (None, None), (3, "clean too")], key=str)
+
+
 def test_decontamination_empty_and_cut(spark):
     bench = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
     rows = [(1, f"Keep, this. {PASSAGE}; and that!\n"), (2, "clean text"), (3, None), (4, PASSAGE)]

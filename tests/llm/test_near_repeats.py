@@ -65,6 +65,18 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.keep(df).columns == df.columns
 
 
+def test_rows_without_or_with_repeated_ids_stay_apart(spark):
+    long = [f"w{i}" for i in range(60)]
+    a, near_a = " ".join(long), " ".join(long[:-1] + ["end"])
+    b, near_b = " ".join(reversed(long)), " ".join(list(reversed(long))[:-1] + ["end"])
+    rows = [(1, a), (None, a.upper()), (None, "clean row without an id"), (None, b), (None, near_b),
+            (4, "one text of a shared id"), (4, near_a), (9, "another one, on its own"), (9, None)]
+    left = [(r.doc_id, r.text) for r in minhash.keep(clashing(docs(spark, rows))).collect()]
+    assert sum((None, t) in left for t in (b, near_b)) == 1
+    want = [(1, a), (None, rows[2][1]), (4, rows[5][1]), (9, rows[7][1]), (9, None)]
+    assert sorted((x for x in left if x[1] not in (b, near_b)), key=str) == sorted(want, key=str)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 2**63, 900).astype(np.uint64)) for _ in range(2))
