@@ -184,8 +184,12 @@ def identify(docs: DataFrame, net: ByteConvNet) -> DataFrame:
         run, "doc_id bigint, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, net: ByteConvNet, min_score: float = 0.4) -> DataFrame:
-    """The documents with a known language and at least ``min_score``, with all their columns."""
+def accept(docs: DataFrame, net: ByteConvNet, min_score: float = 0.0) -> DataFrame:
+    """The documents with a known language, with all their columns.
+
+    ``min_score`` also drops those below it. The score averages all windows, so texts in several
+    languages score low however clear each part is; by default they stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

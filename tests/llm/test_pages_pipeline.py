@@ -109,6 +109,16 @@ def test_language_odd_texts(spark):
     assert language.identify(docs(spark, rows).limit(0), net).collect() == []
 
 
+def test_language_keeps_mixed_and_short_texts(spark):
+    table = read(spark, SF.replace("0.001", "0.01"), "documents")
+    net = language.train(table)
+    known = {r.lang: r.text for r in table.filter("n_chars BETWEEN 1100 AND 1500").select("lang", "text").collect()}
+    mixed = "".join(known[lang].encode()[:768].decode(errors="ignore").ljust(768) for lang in net.classes)
+    rows = [(1, mixed), (2, "A."), (3, "Re."), (4, "De."), (5, "é"), (6, "12"), (7, None)]
+    assert net.predict([mixed])[1][0] < 0.4
+    assert sorted(r.doc_id for r in language.accept(docs(spark, rows), net).collect()) == [1, 2, 3, 4, 5]
+
+
 def test_pipeline_stages_agree_with_operators(spark):
     got = corpus_pipeline.run(spark, SF)
     all_docs = read(spark, SF, "documents")
