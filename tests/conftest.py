@@ -7,8 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from netloom.session import get_session, tune  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -25,11 +23,3 @@ def tiny_segments(spark):
     spark.conf.set(ordered.SEGMENT_SETTING, "7")
     yield spark
     spark.conf.unset(ordered.SEGMENT_SETTING)
-
-
-def rows(df, *cols, digits=6):
-    def clean(v):
-        return round(v, digits) + 0.0 if isinstance(v, float) else v
-
-    picked = df.select(*cols) if cols else df
-    return sorted((tuple(clean(v) for v in r) for r in picked.collect()), key=lambda r: tuple((v is None, str(v)) for v in r))

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import rows
+from common import rows
 from pyspark.sql import functions as F
 
 from netloom.functions import constants as K

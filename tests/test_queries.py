@@ -2,17 +2,17 @@
 
 import duckdb
 import pytest
-from conftest import SF
+from common import SF
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, rows_of
 
-PICKED = ["a18_normalize_flows", "b07", "b12_destination_concentration", "c06_flow_metrics", "d17_device_index", "e14_lookalike",
+PICKED = ["a18_normalize_flows", "b14_transition_entropy", "b12_destination_concentration", "c06_flow_metrics", "d17_device_index", "e14_lookalike",
           "e24_alert_policy", "f02_roc_auc", "f08_select_threshold", "g07_stability", "h06_privacy_columns", "i03_sequence_features",
           "j06_sample_by_source", "l05_sessions", "flagship_scored_windows"]
 
 
-@pytest.mark.parametrize("name", [p for p in PICKED if p in queries()])
+@pytest.mark.parametrize("name", PICKED)
 def test_query(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -1,6 +1,6 @@
 """Hot keys: the segmented plans give what the plain windows give."""
 
-from conftest import SF, rows
+from common import SF, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -1,7 +1,7 @@
 """Detectors that remember, and batch / stream agreement."""
 
 import numpy as np
-from conftest import SF, rows
+from common import SF, rows
 from pyspark.sql import functions as F
 
 from netloom.catalog.evaluate import scored
