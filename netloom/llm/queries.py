@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import chat, decontaminate, exact, html, language, lines, minhash, packing, repeats, warc
+from netloom.llm import (chat, decontaminate, divergence, exact, html, language, lexical, lines, minhash, packing, repeats,
+                         simhash, warc)
 from netloom.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +142,65 @@ def _op8(spark, d):
 @query("op6_suffix_dedup")
 def _op6(spark, d):
     return repeats.remove_repeats(read(spark, d, "documents")).drop("kept")
+
+
+_TERMS12 = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS12} AS w
+           FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+      FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w) AS p
+      FROM f WINDOW w AS (PARTITION BY lang, source)),
+l AS (SELECT lang, term, sum(n) AS n FROM f GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w) AS q
+      FROM l WINDOW w AS (PARTITION BY lang)),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+       FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+tr AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value
+       FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+      FROM (SELECT * FROM pr UNION ALL SELECT * FROM tr))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+_TERMS13 = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS13} AS w FROM documents),
+s AS (SELECT count(*) AS big_n, sum(len(w)) AS big_l FROM d WHERE len(w) > 0),
+t AS (SELECT r, doc_id, term, count(*) AS tf, any_value(n) AS n
+      FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY r, doc_id, term),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+       FROM t, s GROUP BY term),
+i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS13} AS w FROM benchmark),
+it AS (SELECT i, item_id, term, count(*) AS c FROM (SELECT i, item_id, unnest(w) AS term FROM i) GROUP BY i, item_id, term),
+v AS (SELECT i, item_id, r, doc_id, CAST(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + CAST(75 * n * big_n // big_l AS BIGINT))))) AS BIGINT) AS score
+      FROM it JOIN wt USING (term) JOIN t USING (term), s GROUP BY i, item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+      FROM v WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+@query("op11_simhash")
+def _op11(spark, d):
+    return simhash.near_duplicates(read(spark, d, "documents"))
+
+
+@query("op12_source_divergence", OP12)
+def _op12(spark, d):
+    return divergence.audit(read(spark, d, "documents"))
+
+
+@query("op13_lexical_search", OP13)
+def _op13(spark, d):
+    return lexical.search(read(spark, d, "documents"), read(spark, d, "benchmark"))
