@@ -435,7 +435,7 @@ SELECT flow_id FROM flows WHERE app_id = 'com.whatsapp' AND timestamp_end BETWEE
 def d31(spark, sf):
     from netloom.operators.sliding import recent_flows
 
-    return recent_flows(flow_view(spark, sf), "com.whatsapp", 1705000000000, 1705500000000).select("flow_id")
+    return recent_flows(flow_view(spark, sf), "com.whatsapp", 1705000000000, 1705500000000, n=240).select("flow_id")
 
 
 @query("d32_job_status", with_("al", select="""

@@ -113,15 +113,20 @@ def b21(spark, sf):
         "novelty_trend", "consecutive_burst_windows"])
 
 
-# Trailing rows by position, then by age: exact under equal timestamps and the row limit.
-cte("trail", ["hosted"], """
+# Trailing rows by position, then by age: exact under equal timestamps.
+def trail(name: str, extra: str) -> None:
+    cte(name, ["hosted"], f"""
 SELECT a.flow_id, a.app_id, a.timestamp_end AS now_ms, a.rn, a.label AS focal, a.dataset_source AS now_source,
   b.* EXCLUDE (flow_id, app_id, rn, dataset_source), b.rn AS brn
 FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY timestamp_end, flow_id) AS rn FROM hosted) a
 JOIN (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY timestamp_end, flow_id) AS rn FROM hosted) b
-  ON a.app_id = b.app_id AND b.rn BETWEEN a.rn - 239 AND a.rn
+  ON a.app_id = b.app_id AND b.rn <= a.rn AND {extra}
 """)
 
+
+trail("trail", f"b.timestamp_end >= a.timestamp_end - {24 * HOUR}")
+trail("limited", "b.rn > a.rn - 240")
+
 SLIDING = ["flow_count", "total_bytes_out", "total_bytes_in", "mean_packet_size", "outbound_ratio", "burstiness",
            "novelty_score", "connection_frequency_delta", "destination_diversity", "activity_ratio",
            "periodic_beacon_score", "mean_duration_ms", "duration_jitter", "port_diversity", "protocol_diversity",
@@ -160,8 +165,8 @@ FROM s GROUP BY flow_id, h)
 """
 
 
-def horizon_rows(h: int) -> str:
-    return f"SELECT *, {h}::BIGINT AS h FROM trail WHERE timestamp_end >= now_ms - {h}"
+def horizon_rows(h: int, rows: str = "trail") -> str:
+    return f"SELECT *, {h}::BIGINT AS h FROM {rows} WHERE timestamp_end >= now_ms - {h}"
 
 
 @query("b22_sliding_windows", with_("trail", select=sliding_sql(horizon_rows(6 * HOUR), "h")
@@ -216,6 +221,31 @@ def b26(spark, sf):
     return out.select("flow_id", "label")
 
 
+@query("b22_sliding_row_limit", with_("limited", select=sliding_sql(horizon_rows(24 * HOUR, "limited"), "h")
+                                      + f"SELECT flow_id, {rounded(SLIDING)} FROM g"))
+def b22_row_limit(spark, sf):
+    out = sl.sliding_windows(flow_view(spark, sf), 24 * HOUR, baseline=False, row_limit=240)
+    return show(out, ["flow_id"], SLIDING)
+
+
+BUSY = [c for c in SLIDING if c != "hour_of_day"]
+
+
+@query("b22_busy_horizon", with_("trail", select=sliding_sql(horizon_rows(HOUR, "busy"), "h").replace(", t AS", f""", dense AS (
+SELECT * EXCLUDE (app_id, timestamp_end), 'one' AS app_id, timestamp_end // 64 AS timestamp_end FROM hosted),
+busy AS (SELECT a.flow_id, a.app_id, a.timestamp_end AS now_ms, a.rn, a.label AS focal, a.dataset_source AS now_source,
+  b.* EXCLUDE (flow_id, app_id, rn, dataset_source), b.rn AS brn
+FROM (SELECT *, row_number() OVER (ORDER BY timestamp_end, flow_id) AS rn FROM dense) a
+JOIN (SELECT *, row_number() OVER (ORDER BY timestamp_end, flow_id) AS rn FROM dense) b
+  ON b.rn <= a.rn AND b.timestamp_end >= a.timestamp_end - {HOUR}), t AS""", 1)
+    + f"SELECT flow_id, {rounded(BUSY)} FROM g"))
+def b22_busy(spark, sf):
+    """All flows as one application, 64 times as dense: hundreds of flows in each horizon."""
+    dense = flow_view(spark, sf).withColumns({
+        "app_id": F.lit("one"), "timestamp_end": F.expr("timestamp_end div 64")})
+    return show(sl.sliding_windows(dense, HOUR, baseline=False), ["flow_id"], BUSY)
+
+
 @query("b22_sliding_with_baseline", with_("trail", select=sliding_sql(horizon_rows(6 * HOUR), "h") + """
 , p AS (SELECT *, avg(flow_count) OVER q AS m FROM g
   WINDOW q AS (PARTITION BY app_id ORDER BY window_end_ms, flow_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))

@@ -99,7 +99,6 @@ DEFAULT_FAMILY = "other_app"
 HORIZONS_MS = [30_000, 60_000, 300_000]
 LONG_HORIZON_FAMILIES = ["service", "system", "background"]
 SPARSE_FLOWS, BUSY_FLOWS = 10, 100
-ROW_LIMIT = 240
 
 # Baseline deviation that counts as a burst, low-volume byte rate.
 BURST_DEVIATION = 0.40

@@ -1,64 +1,91 @@
-"""One feature window per flow: the trailing horizon of its application, newest rows only.
+"""One feature window per flow: all flows of its application in the trailing horizon.
 
-Sums come from differences of running sums, so a row costs the same whatever the horizon
-holds. What is not a sum (distinct destinations, most frequent destination) and every deviation
-from a mean is read from an array of at most ``row_limit`` small structs: squares are never
-taken from running sums, where rows before the horizon would swamp them.
+Windows are taken over time panes (``plans/panes.py``): no window is cut to its newest rows unless
+``row_limit`` asks for it, an application of any size is spread over its panes, and no row
+carries the rows of its window along. All horizons of a flow come from one pass over its pane.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.functions import constants as K
 from netloom.functions.scalars import clip, clip01, flag
 from netloom.operators.flows import app_family, prepare_flows
 from netloom.operators.windows import ORDER, rolling_baseline
-from netloom.plans.ordered import bounded, positions, running, window, with_group
+from netloom.plans import panes
+from netloom.plans.ordered import positions, running, with_group
 
 SUMMED = ["bytes_out", "bytes_in", "packets_out", "packets_in", "duration_ms", "dst_novelty", "small_flow", "high_port", *K.FLAG_MEANS, *K.TRANSPORT_MEANS, "_positive"]
-STEPPED = ["_switch"]
+KINDS = ["destination_key", "dst_port", "protocol"]
+#: What is known of a window beside its sums.
+SHAPE = ["_size_dev", "_duration_dev", "_gap_dev", "_span_ms", "_switches", "_top", *[f"_kinds_{c}" for c in KINDS]]
 EMITTED_ORDER = ["window_end_ms", "flow_id", "adaptive_window_seconds"]
 
 
-def _tally(values: Column) -> Column:
-    """Count of the most frequent element."""
-    start = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(acc: Column, v: Column) -> Column:
-        run = F.when(acc["v"] == v, acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(v.alias("v"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
-
-    return F.aggregate(F.array_sort(values), start, step, lambda acc: acc["best"])
-
-
-def trailing(df: DataFrame, keys: list[str], row_limit: int) -> DataFrame:
-    """Attach the newest rows of the key (``_rows``) and running sums at each of them (``_marks``)."""
-    order = window(keys, ORDER)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    recent = order.rowsBetween(-(row_limit - 1), 0)
-    df = df.withColumns({
-        "_positive": flag(F.col("label") > 0),
-        "_switch": flag(F.lag("destination_key").over(order) != F.col("destination_key")),
-    })
-    df = df.withColumns({f"_s_{c}": F.sum(c).over(upto) for c in [*SUMMED, *STEPPED]})
-    # Before the row for plain sums, at the row for steps between neighbours.
-    mark = F.struct(*[(F.col(f"_s_{c}") - F.col(c)).alias(c) for c in SUMMED],
-                    *[F.col(f"_s_{c}").alias(c) for c in STEPPED])
-    item = F.struct(F.col("timestamp_end").alias("t"), F.col("total_bytes").alias("b"),
-                    F.col("destination_key").alias("d"), F.col("dst_port").alias("p"),
-                    F.col("protocol").alias("r"), F.col("duration_ms").alias("u"))
-    return df.withColumns({
-        "_marks": F.collect_list(mark).over(recent),
-        "_rows": F.collect_list(item).over(recent),
-    })
-
-
-def _within(ms: Column) -> Column:
-    """Number of attached rows not older than the horizon."""
-    cutoff = F.col("timestamp_end") - ms
-    return F.size(F.filter("_rows", lambda x: x["t"] >= cutoff))
+def window_sums(df: DataFrame, horizons_ms: list[int], choose: str | None, row_limit: int | None, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of each row with its horizon (``_h``), the rows of its window (``_n``), their sums and SHAPE.
+
+    With ``choose`` (a boolean column: the application looks far back) one of three horizons is
+    taken by activity; else every horizon is emitted. Only rows with ``_emit`` are returned.
+    """
+    codes = [c for c in KINDS if c not in kept]
+    numbers = [c for c in dict.fromkeys([*SUMMED, "total_bytes", "timestamp_end"]) if c not in kept]
+    flags = ["_emit", *([choose] if choose else [])]
+    typed = [F.col(c).cast("bigint" if c == "timestamp_end" else "double").alias(c) for c in numbers]
+    asked = df.select("flow_id", "app_id", *[c for c in kept if c not in ("flow_id", "app_id")], *codes, *typed, *flags)
+    rows = panes.dealt(asked, ["app_id"], "timestamp_end", ORDER, max(horizons_ms))
+    schema = T.StructType([
+        *[f for f in asked.schema.fields if f.name in kept], *[T.StructField(c, T.LongType()) for c in ("_h", "_n")],
+        *[T.StructField(f"_s_{c}", T.DoubleType()) for c in SUMMED], *[T.StructField(c, T.DoubleType()) for c in SHAPE]])
+    passed = [f.name for f in schema.fields if f.name in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def number(table: pa.Table, name: str) -> np.ndarray:
+            return table.column(name).fill_null(0).to_numpy().astype(np.float64)
+
+        for table, group in panes.groups(batches, ["app_id", "_pane"]):
+            at = np.arange(len(table))
+            ms = table.column("timestamp_end").to_numpy()
+            emit = (table.column("_emit").to_numpy() & ~table.column("_halo").to_numpy()).astype(bool)
+            low = {h: panes.starts(group, ms, h, row_limit) for h in horizons_ms}
+            if choose:
+                near, middle, far = horizons_ms
+                recent = at - low[middle] + 1
+                slow = table.column(choose).to_numpy().astype(bool) | (recent < K.SPARSE_FLOWS)
+                picked = np.where(slow, far, np.where(recent > K.BUSY_FLOWS, near, middle))
+            encoded = {c: table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() + 1 for c in KINDS}
+            size, duration = number(table, "total_bytes"), number(table, "duration_ms")
+            gap = np.concatenate(([0], np.diff(ms))) / 1000.0
+            moved = np.concatenate(([0.0], np.diff(encoded["destination_key"]) != 0)).astype(np.float64)
+            for h in dict.fromkeys(horizons_ms):
+                own = at[emit & (picked == h)] if choose else at[emit]
+                if not len(own):
+                    continue
+                begin = low[h][own]
+                n = own - begin + 1
+                span = (ms[own] - ms[begin]).astype(np.float64)
+                out = {"_h": np.full(len(own), h, np.int64), "_n": n}
+                out |= {f"_s_{c}": panes.totals(number(table, c), begin, own) for c in SUMMED}
+                out["_size_dev"] = panes.deviations(size, begin, own, panes.totals(size, begin, own) / n, False)
+                out["_duration_dev"] = panes.deviations(duration, begin, own, out["_s_duration_ms"] / n, True)
+                out["_gap_dev"] = panes.deviations(gap, begin + 1, own, span / 1000.0 / np.maximum(n - 1, 1), True)
+                out["_span_ms"] = span
+                out["_switches"] = panes.totals(moved, np.minimum(begin + 1, own), own) * (n > 1)
+                out["_top"] = panes.largest(encoded["destination_key"], low[h])[own].astype(np.float64)
+                out |= {f"_kinds_{c}": panes.kinds(encoded[c], low[h])[own].astype(np.float64) for c in KINDS}
+                same = table.select(passed).take(pa.array(own))
+                for c, values in out.items():
+                    same = same.append_column(c, pa.array(values))
+                yield from same.combine_chunks().to_batches(max_chunksize=panes.TOGETHER)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _window_columns() -> dict[str, Column]:
@@ -66,25 +93,17 @@ def _window_columns() -> dict[str, Column]:
     seconds = F.greatest(F.lit(1.0), F.col("_h") / 1000.0)
 
     def total(c: str) -> Column:
-        return F.col(f"_s_{c}") - F.col("_first")[c]
+        return F.col(f"_s_{c}")
+
+    def kinds(c: str) -> Column:
+        return F.col(f"_kinds_{c}") / n
 
     size = total("bytes_out") + total("bytes_in")
     packets_out, packets_in = total("packets_out"), total("packets_in")
     packets = clip(packets_out + packets_in, 1)
     mean_size = size / n
-    spread = F.aggregate("_win", F.lit(0.0), lambda acc, x: acc + F.abs(x["b"] - mean_size))
-    duration = total("duration_ms") / n
-    gaps = n - 1
-    gap_mean = (F.element_at("_win", -1)["t"] - F.element_at("_win", 1)["t"]) / 1000.0 / gaps
-    steps = F.zip_with(F.slice("_win", 2, F.col("_n") - 1), F.slice("_win", 1, F.col("_n") - 1),
-                       lambda b, a: (b["t"] - a["t"]) / 1000.0)
-    gap_std = F.sqrt(F.aggregate(steps, F.lit(0.0), lambda acc, g: acc + (g - gap_mean) * (g - gap_mean)) / gaps)
-    jitter = F.aggregate("_win", F.lit(0.0), lambda acc, x: acc + (x["u"] - duration) * (x["u"] - duration)) / n
-
-    def kinds(field: str) -> Column:
-        return F.size(F.array_distinct(F.transform("_win", lambda x: x[field])))
-
-    dests = F.transform("_win", lambda x: x["d"])
+    gap_mean = F.col("_span_ms") / 1000.0 / (n - 1)
+    gap_std = F.sqrt(F.col("_gap_dev") / (n - 1))
     out = {
         "window_end_ms": F.col("timestamp_end"),
         "window_start_ms": F.col("timestamp_end") - F.col("_h"),
@@ -96,26 +115,26 @@ def _window_columns() -> dict[str, Column]:
         "total_bytes_in": total("bytes_in"),
         "mean_packet_size": size / packets,
         "outbound_ratio": total("bytes_out") / (size + 1.0),
-        "burstiness": F.when(mean_size > 0, clip(spread / n / mean_size, 0, 4)).otherwise(0.0),
+        "burstiness": F.when(mean_size > 0, clip(F.col("_size_dev") / n / mean_size, 0, 4)).otherwise(0.0),
         "novelty_score": total("dst_novelty") / n,
         "connection_frequency_delta": F.log1p(n / seconds),
         "bytes_per_flow": mean_size,
-        "destination_diversity": kinds("d") / n,
+        "destination_diversity": kinds("destination_key"),
         "activity_ratio": clip01(total("duration_ms") / F.greatest(F.lit(1.0), F.col("_h").cast("double"))),
         "periodic_beacon_score": F.when(
             (F.col("_n") >= 4) & (gap_mean > 0), clip01(1.0 - gap_std / gap_mean)).otherwise(0.0),
         "byte_rate": size / seconds,
         "packet_rate": packets / seconds,
-        "mean_duration_ms": duration,
+        "mean_duration_ms": total("duration_ms") / n,
         "duration_jitter": F.when(
-            F.col("_n") > 1, F.sqrt(jitter)).otherwise(0.0),
-        "port_diversity": kinds("p") / n,
-        "protocol_diversity": kinds("r") / n,
+            F.col("_n") > 1, F.sqrt(F.col("_duration_dev") / n)).otherwise(0.0),
+        "port_diversity": kinds("dst_port"),
+        "protocol_diversity": kinds("protocol"),
         "packet_imbalance": F.abs(packets_out - packets_in) / (packets + 1.0),
         "small_flow_ratio": total("small_flow") / n,
         "high_port_ratio": total("high_port") / n,
-        "destination_concentration": _tally(dests) / n,
-        "destination_transition_rate": total("_switch") / clip(n - 1, 1),
+        "destination_concentration": F.col("_top") / n,
+        "destination_transition_rate": F.col("_switches") / clip(n - 1, 1),
         **{mean: total(c) / n for c, mean in K.FLAG_MEANS.items()},
         **{c: total(c) / n for c in K.TRANSPORT_MEANS},
         "window_contains_positive": (F.round(total("_positive")) > 0).cast("int"),
@@ -139,53 +158,39 @@ def sliding_windows(
     *,
     adaptive: bool = False,
     horizons_ms: list[int] | None = None,
-    row_limit: int = K.ROW_LIMIT,
+    row_limit: int | None = None,
     label_strategy: str = "focal",
     emit_all_horizons: bool = False,
     max_windows: int = 0,
     baseline: bool = True,
 ) -> DataFrame:
-    """Windows ending at every flow; ``adaptive`` picks the horizon by app class and activity."""
+    """Windows ending at every flow; ``adaptive`` picks the horizon by app class and activity.
+
+    A window holds the flows of its horizon, whatever their number; ``row_limit`` keeps the newest.
+    """
     short, middle, long_ = horizons_ms or K.HORIZONS_MS
     df = prepare_flows(flows)
+    turn = None
     if max_windows > 0:
         ranked = _global_rank(df)
         stride = F.greatest(F.lit(1), F.ceil(F.col("_all") / F.lit(max_windows)))
         df = with_group(ranked, [], _all=F.count(F.lit(1)))
-        df = df.withColumn("_turn", F.col("_rank") % stride == 0)
-
-    def build(part: DataFrame, keys: list[str]) -> DataFrame:
-        out = trailing(part, keys, row_limit)
-        if adaptive:
-            recent = _within(F.lit(middle))
-            slow = app_family("app_id").isin(K.LONG_HORIZON_FAMILIES) | (recent < K.SPARSE_FLOWS)
-            chosen = F.when(slow, long_).when(recent > K.BUSY_FLOWS, short).otherwise(middle).cast("long")
-            all_of = [short, middle, long_]
-        else:
-            chosen, all_of = F.lit(int(horizon_ms)).cast("long"), [int(horizon_ms)]
-        out = out.withColumn("_chosen", chosen)
-        if max_windows > 0:
-            focal = F.col("label") > 0
-            if label_strategy != "focal":
-                n = _within(F.col("_chosen"))
-                focal = F.round(F.col("_s__positive") - F.element_at("_marks", -n)["_positive"]) > 0
-            out = out.filter(F.col("_turn") | focal)
-        spread = F.explode(F.array(*[F.lit(h).cast("long") for h in all_of])) if emit_all_horizons else F.col("_chosen")
-        out = out.withColumn("_h", spread)
-        out = out.withColumn("_n", _within(F.col("_h")))
-        out = out.withColumns({
-            "_first": F.element_at("_marks", -F.col("_n")),
-            "_win": F.slice("_rows", -F.col("_n"), F.col("_n")),
-        }).drop("_marks", "_rows")
-        columns = _window_columns()
-        columns["label"] = (F.col("label").cast("int") if label_strategy == "focal"
-                            else columns["window_contains_positive"])
-        kept = [c for c in ("flow_id", "app_id", *K.PROVENANCE)] + [k for k in keys if k.startswith("_")]
-        if "_home" in out.columns:
-            kept += ["_home", "_pos"]
-        return out.select(*kept, *[c.alias(n) for n, c in columns.items()])
-
-    windows = bounded(df, ["app_id"], ORDER, row_limit, build)
+        turn = F.col("_rank") % stride == 0
+    focal = label_strategy == "focal"
+    kept = ["flow_id", "app_id", *K.PROVENANCE, "label", "timestamp_end"]
+    df = df.withColumns({
+        "_positive": flag(F.col("label") > 0),
+        "_turn": F.lit(True) if turn is None else F.coalesce(turn, F.lit(False)),
+        "_far": app_family("app_id").isin(K.LONG_HORIZON_FAMILIES)})
+    df = df.withColumn("_emit", (F.col("_turn") | (F.col("label") > 0)) if focal else F.lit(True))
+    horizons = [short, middle, long_] if adaptive else [int(horizon_ms)]
+    choose = "_far" if adaptive and not emit_all_horizons else None
+    out = window_sums(df.withColumn("timestamp_end", F.col("timestamp_end").cast("bigint")), horizons, choose, row_limit, [*kept, "_turn"])
+    columns = _window_columns()
+    if turn is not None and not focal:
+        out = out.filter(F.col("_turn") | (columns["window_contains_positive"] > 0))
+    columns["label"] = F.col("label").cast("int") if focal else columns["window_contains_positive"]
+    windows = out.select("flow_id", "app_id", *K.PROVENANCE, *[c.alias(n) for n, c in columns.items()])
     return rolling_baseline(windows, EMITTED_ORDER) if baseline else windows
 
 
@@ -207,7 +212,8 @@ def window_builder(mode: str, **options):
     return builders[mode]
 
 
-def recent_flows(flows: DataFrame, app: str, since_ms: int, until_ms: int, n: int = K.ROW_LIMIT) -> DataFrame:
-    """Newest n flows of an app that ended inside the interval."""
+def recent_flows(flows: DataFrame, app: str, since_ms: int, until_ms: int, n: int | None = None) -> DataFrame:
+    """Flows of an app that ended inside the interval, newest first; the newest n if asked for."""
     picked = flows.filter((F.col("app_id") == app) & F.col("timestamp_end").between(since_ms, until_ms))
-    return picked.orderBy(F.desc("timestamp_end"), F.desc("flow_id")).limit(n)
+    picked = picked.orderBy(F.desc("timestamp_end"), F.desc("flow_id"))
+    return picked if n is None else picked.limit(n)

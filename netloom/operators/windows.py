@@ -9,9 +9,12 @@ from netloom.functions import constants as K
 from netloom.functions.scalars import clip, clip01, flag, ratio
 from netloom.operators.flows import app_family, prepare_flows
 from netloom.plans.ordered import bounded, exact_quantiles, is_hot, window, with_group
+from netloom.plans.panes import with_history
 
 KEYS = ["app_id", "window_bucket"]
 ORDER = ["timestamp_end", "flow_id"]
+#: Windows of an application are dealt out by day where each looks at a few before it.
+HISTORY_PANE_MS = 86_400_000
 
 
 def bucketed(flows: DataFrame, window_ms: int) -> DataFrame:
@@ -207,7 +210,7 @@ def rolling_baseline(windows: DataFrame, order: list[str] | None = None) -> Data
                      | (F.col("byte_rate_deviation") >= K.BURST_DEVIATION))
         return out.withColumn("consecutive_burst_windows", F.sum(burst).over(w.rowsBetween(-2, 0)))
 
-    return bounded(windows, ["app_id"], order, 5, build)
+    return with_history(windows, ["app_id"], "window_end_ms", order, 5, HISTORY_PANE_MS, build)
 
 
 def rolling_baseline_runtime(windows: DataFrame, n: int = 5, order: list[str] | None = None) -> DataFrame:
@@ -254,7 +257,7 @@ def rolling_baseline_runtime(windows: DataFrame, n: int = 5, order: list[str] |
                 F.col(rate) <= K.LOW_VOLUME_BYTE_RATE, F.col("periodic_beacon_score")).otherwise(0.0),
         })
 
-    return bounded(windows, ["app_id"], order, 2 * n, build)
+    return with_history(windows, ["app_id"], "window_end_ms", order, 2 * n, HISTORY_PANE_MS, build)
 
 
 # Window columns zeroed by each ablation group.

@@ -139,12 +139,12 @@ SLIDING_ADDED = ("flow_count long, total_bytes_out double, novelty_score double,
                  "destination_risk_score double, connection_frequency_delta double")
 
 
-def sliding_step(state: Trailing, row: dict, horizon_ms: int, row_limit: int) -> tuple:
-    """Add the flow, drop what is too old or too many, describe what is left."""
+def sliding_step(state: Trailing, row: dict, horizon_ms: int, row_limit: int | None) -> tuple:
+    """Add the flow, drop what is too old (or, with a limit, too many), describe what is left."""
     rows = state.rows
     rows.append(tuple(row[c] for c in SLIDING_INPUTS))
     now = row["timestamp_end"]
-    while len(rows) > row_limit or rows[0][0] < now - horizon_ms:
+    while rows[0][0] < now - horizon_ms or (row_limit is not None and len(rows) > row_limit):
         rows.popleft()
     times, size, out, novelty, _, small, _, risk = (np.array(c, dtype=float) if i != 4 else c for i, c in enumerate(zip(*rows)))
     dests = [r[4] for r in rows]
@@ -164,17 +164,17 @@ def sliding_step(state: Trailing, row: dict, horizon_ms: int, row_limit: int) ->
             out.sum() / (size.sum() + 1.0), risk.mean(), float(np.log1p(n / max(1.0, horizon_ms / 1000.0))))
 
 
-def _sliding(engine, flows: DataFrame, horizon_ms: int, row_limit: int) -> DataFrame:
+def _sliding(engine, flows: DataFrame, horizon_ms: int, row_limit: int | None) -> DataFrame:
     prepared = prepare_flows(flows).select("flow_id", "app_id", "session_id", "label", *SLIDING_INPUTS)
     return engine(prepared, ["app_id"], ["timestamp_end", "flow_id"], SLIDING_INPUTS, SLIDING_ADDED, Trailing,
                   lambda state, row: sliding_step(state, row, horizon_ms, row_limit))
 
 
-def sliding_windows_stream(flows: DataFrame, horizon_ms: int = 60_000, row_limit: int = K.ROW_LIMIT) -> DataFrame:
+def sliding_windows_stream(flows: DataFrame, horizon_ms: int = 60_000, row_limit: int | None = None) -> DataFrame:
     return _sliding(fold_stream, flows, horizon_ms, row_limit)
 
 
-def sliding_windows_fold(flows: DataFrame, horizon_ms: int = 60_000, row_limit: int = K.ROW_LIMIT) -> DataFrame:
+def sliding_windows_fold(flows: DataFrame, horizon_ms: int = 60_000, row_limit: int | None = None) -> DataFrame:
     """Batch run of the same step, for comparison."""
     return _sliding(fold, flows, horizon_ms, row_limit)
 
@@ -226,7 +226,7 @@ def alert_stream(flows: DataFrame, path: str, horizon_ms: int = 60_000, policy:
     reads as its stream, so each keeps its own state and either can restart alone.
     """
     spark = flows.sparkSession
-    windows = _sliding(fold_stream, flows, horizon_ms, K.ROW_LIMIT)
+    windows = _sliding(fold_stream, flows, horizon_ms, None)
     stage = f"{path}/windows"
     q = windows.writeStream.outputMode("append").format("parquet").option("path", stage).option(
         "checkpointLocation", f"{path}/mark-windows").trigger(availableNow=True).start()
@@ -253,7 +253,7 @@ def _alert_fold(engine, windows: DataFrame, policy: dict | None) -> DataFrame:
 
 
 def alert_batch(flows: DataFrame, horizon_ms: int = 60_000, policy: dict | None = None) -> DataFrame:
-    return alert_table(_alert_fold(fold, _sliding(fold, flows, horizon_ms, K.ROW_LIMIT), policy))
+    return alert_table(_alert_fold(fold, _sliding(fold, flows, horizon_ms, None), policy))
 
 
 # ---- late data and load

@@ -89,14 +89,6 @@ def test_windows(spark):
     assert a == b and len(a) > 50
 
 
-def test_sliding(spark):
-    flows = flow_view(spark, SF)
-    cols = ["flow_id", "flow_count", "burstiness", "total_bytes_out", "destination_diversity", "destination_transition_rate",
-            "periodic_beacon_score", "label", "flow_count_deviation"]
-    a, b = both(spark, lambda: sl.sliding_windows(flows, 86_400_000, row_limit=9), *cols)
-    assert a == b
-
-
 def test_row_limit_and_ties_against_brute_force(spark):
     flows = flow_view(spark, SF).withColumn("timestamp_end", F.expr("timestamp_end div 3600000 * 3600000"))
     got = {r["flow_id"]: r["flow_count"] for r in sl.sliding_windows(flows, 7_200_000, row_limit=4, baseline=False).collect()}
@@ -106,6 +98,68 @@ def test_row_limit_and_ties_against_brute_force(spark):
         assert got[r["flow_id"]] == sum(x["timestamp_end"] >= r["timestamp_end"] - 7_200_000 for x in own)
 
 
+def busy_flows(spark, n=12_000):
+    """One application with about 5,000 flows in a horizon of 5,000 ms, and a quiet one."""
+    i = F.col("id")
+    return flow_view(spark, SF).limit(1).drop("flow_id", "timestamp_end", "app_id", "bytes_out", "duration_ms", "destination_key", "dst_port").crossJoin(
+        spark.range(n).select(
+            i.alias("flow_id"), (F.lit(1_700_000_000_000) + i - i % 3).alias("timestamp_end"),
+            F.when(i % 400 == 7, "quiet").otherwise("busy").alias("app_id"),
+            F.when(i % 997 == 0, 10**9).otherwise(i * i % 1013).cast("long").alias("bytes_out"), (i * 37 % 4001).alias("duration_ms"),
+            F.concat(F.lit("d"), (i * i % 211).cast("string")).alias("destination_key"), (i % 17).alias("dst_port")))
+
+
+def test_a_horizon_of_thousands_of_flows_against_numpy(spark):
+    import numpy as np
+
+    flows = busy_flows(spark)
+    one = rows(sl.sliding_windows(flows.coalesce(1), 5_000, baseline=False), "flow_id", "flow_count", "burstiness", "duration_jitter",
+               "destination_diversity", "port_diversity", "destination_concentration", "destination_transition_rate",
+               "periodic_beacon_score")
+    got = {r[0]: r[1:] for r in one}
+    assert len(got) == 12_000
+    data = flows.select("flow_id", "app_id", "timestamp_end", "bytes_out", "bytes_in", "duration_ms", "destination_key", "dst_port").toPandas()
+    for app, own in data.sort_values(["timestamp_end", "flow_id"]).groupby("app_id"):
+        t, size = own["timestamp_end"].to_numpy(), (own["bytes_out"] + own["bytes_in"]).to_numpy(float)
+        for j in range(0, len(own), 1 if app == "quiet" else 331):
+            low = np.searchsorted(t, t[j] - 5_000)
+            w = slice(low, j + 1)
+            n, x, d = j + 1 - low, size[w], own["destination_key"].to_numpy()[w]
+            gaps = np.diff(t[w]) / 1000.0
+            beacon = min(1, max(0, 1 - gaps.std() / gaps.mean())) if n >= 4 and gaps.mean() > 0 else 0.0
+            want = (n, min(4, np.abs(x - x.mean()).mean() / x.mean()), own["duration_ms"].to_numpy()[w].std() if n > 1 else 0.0,
+                    len(set(d)) / n, len(set(own["dst_port"].to_numpy()[w])) / n, max(np.unique(d, return_counts=True)[1]) / n,
+                    (d[1:] != d[:-1]).sum() / max(1, n - 1), beacon)
+            assert np.allclose(got[own["flow_id"].to_numpy()[j]], want, atol=2e-6), (app, j)
+    assert max(g[0] for g in got.values()) > 4_900
+
+
+def test_sliding_does_not_depend_on_partitions_or_batches(spark):
+    flows = busy_flows(spark, 3_000)
+    cols = ["flow_id", "adaptive_window_seconds", "flow_count", "burstiness", "destination_concentration", "flow_count_deviation", "consecutive_burst_windows"]
+    make = lambda: sl.adaptive_windows(flows.repartition(5), horizons_ms=[200, 500, 1_500], emit_all_horizons=True)
+    first = rows(make(), *cols)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert first == rows(make(), *cols) and len(first) == 9_000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_history_over_panes_against_a_plain_window(spark):
+    from netloom.plans.panes import with_history
+
+    df = skewed(spark).withColumn("ts", F.col("ts") * (1 + F.col("id") % 2) + F.expr("id div 90") * 70)
+    for reach in (1, 3, 6):
+        def build(part, keys, reach=reach):
+            return part.withColumn("m", F.sum("v").over(od.window(keys, ["ts", "id"]).rowsBetween(-reach, -1)))
+
+        want = rows(build(df, ["key"]), "id", "m")
+        assert all(rows(with_history(df, ["key"], "ts", ["ts", "id"], reach, pane, build), "id", "m") == want for pane in (1, 7, 10_000))
+
+
 def test_ranks_curves_sequences_and_samples(spark):
     df = skewed(spark).withColumns({"label": (F.col("id") % 2).cast("int"), "score": F.col("v") / 101.0})
     for by in (None, ["key"]):
