@@ -16,21 +16,35 @@ from netloom.plans.ordered import with_group
 RULE_WEIGHTS = {"novelty": 0.32, "burst": 0.22, "exfil": 0.20, "outbound": 0.14, "frequency": 0.12}
 
 
-def rule_score_column() -> Column:
+#: Window column behind each part of the rule score.
+RULE_FEATURES = {"novelty": "novelty_score", "burst": "burstiness", "exfil": "total_bytes_out", "outbound": "outbound_ratio",
+                 "frequency": "connection_frequency_delta"}
+
+
+def _rule_parts() -> dict[str, Column]:
     exfil = (F.col("total_bytes_out") / (F.col("total_bytes_in") + 1.0) - 2.0) / 6.0
-    parts = {
+    return {
         "novelty": clip01("novelty_score"),
         "burst": clip01(F.col("burstiness") / 500.0),
         "exfil": clip01(exfil),
         "outbound": clip01((F.col("outbound_ratio") - 0.7) / 0.3),
         "frequency": clip01(F.col("connection_frequency_delta") / 20.0),
     }
+
+
+def rule_score_column() -> Column:
     total = F.lit(0.0)
-    for name, weight in RULE_WEIGHTS.items():
-        total = total + parts[name] * weight
+    for name, part in _rule_parts().items():
+        total = total + part * RULE_WEIGHTS[name]
     return clip01(total)
 
 
+def rule_contributions() -> Column:
+    """Feature and share of each part of the rule score."""
+    return F.array(*[F.struct(F.lit(RULE_FEATURES[n]).alias("feature"), (p * RULE_WEIGHTS[n]).alias("value"))
+                     for n, p in _rule_parts().items()])
+
+
 def rule_score(windows: DataFrame, name: str = "score") -> DataFrame:
     return windows.withColumn(name, rule_score_column())
 

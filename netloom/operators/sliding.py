@@ -22,73 +22,87 @@ from netloom.operators.windows import ORDER, rolling_baseline
 from netloom.plans import panes
 from netloom.plans.ordered import positions, running, with_group
 
-SUMMED = ["bytes_out", "bytes_in", "packets_out", "packets_in", "duration_ms", "dst_novelty", "small_flow", "high_port", *K.FLAG_MEANS, *K.TRANSPORT_MEANS, "_positive"]
+SUMMED = ["bytes_out", "bytes_in", "packets_out", "packets_in", "duration_ms", "dst_novelty", "small_flow", "high_port", *K.FLAG_MEANS, *K.TRANSPORT_MEANS, "positive_flow"]
 KINDS = ["destination_key", "dst_port", "protocol"]
 #: What is known of a window beside its sums.
 SHAPE = ["_size_dev", "_duration_dev", "_gap_dev", "_span_ms", "_switches", "_top", *[f"_kinds_{c}" for c in KINDS]]
 EMITTED_ORDER = ["window_end_ms", "flow_id", "adaptive_window_seconds"]
 
 
+def asked_columns(df: DataFrame, kept: list[str], flags: list[str]) -> DataFrame:
+    """The columns ``kept``, those the windows are made of, and the flags."""
+    codes = [c for c in KINDS if c not in kept]
+    numbers = [c for c in dict.fromkeys([*SUMMED, "total_bytes"]) if c not in kept]
+    return df.select(*kept, *codes, *[F.col(c).cast("double").alias(c) for c in numbers], *flags)
+
+
+def window_schema(asked: DataFrame, kept: list[str]) -> T.StructType:
+    return T.StructType([
+        *[f for f in asked.schema.fields if f.name in kept], *[T.StructField(c, T.LongType()) for c in ("_h", "_n")],
+        *[T.StructField(f"_s_{c}", T.DoubleType()) for c in SUMMED], *[T.StructField(c, T.DoubleType()) for c in SHAPE]])
+
+
+def describe(table: pa.Table, group: np.ndarray, emit: np.ndarray, horizons_ms: list[int], choose: str | None,
+             row_limit: int | None, kept: list[str]) -> Iterator[pa.Table]:
+    """Windows of the rows marked in ``emit``; rows are sorted by (group, time, id)."""
+
+    def number(name: str) -> np.ndarray:
+        return table.column(name).fill_null(0).to_numpy().astype(np.float64)
+
+    at = np.arange(len(table))
+    ms = table.column("timestamp_end").to_numpy()
+    low = {h: panes.starts(group, ms, h, row_limit) for h in horizons_ms}
+    if choose:
+        near, middle, far = horizons_ms
+        recent = at - low[middle] + 1
+        slow = table.column(choose).to_numpy().astype(bool) | (recent < K.SPARSE_FLOWS)
+        picked = np.where(slow, far, np.where(recent > K.BUSY_FLOWS, near, middle))
+    codes = {c: table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() + 1 for c in KINDS}
+    size, duration = number("total_bytes"), number("duration_ms")
+    gap = np.concatenate(([0], np.diff(ms))) / 1000.0
+    moved = np.concatenate(([0.0], np.diff(codes["destination_key"]) != 0)).astype(np.float64)
+    for h in dict.fromkeys(horizons_ms):
+        own = at[emit & (picked == h)] if choose else at[emit]
+        if not len(own):
+            continue
+        begin = low[h][own]
+        n = own - begin + 1
+        span = (ms[own] - ms[begin]).astype(np.float64)
+        out = {"_h": np.full(len(own), h, np.int64), "_n": n}
+        out |= {f"_s_{c}": panes.totals(number(c), begin, own) for c in SUMMED}
+        out["_size_dev"] = panes.deviations(size, begin, own, panes.totals(size, begin, own) / n, False)
+        out["_duration_dev"] = panes.deviations(duration, begin, own, out["_s_duration_ms"] / n, True)
+        out["_gap_dev"] = panes.deviations(gap, begin + 1, own, span / 1000.0 / np.maximum(n - 1, 1), True)
+        out["_span_ms"] = span
+        out["_switches"] = panes.totals(moved, np.minimum(begin + 1, own), own) * (n > 1)
+        out["_top"] = panes.largest(codes["destination_key"], low[h])[own].astype(np.float64)
+        out |= {f"_kinds_{c}": panes.kinds(codes[c], low[h])[own].astype(np.float64) for c in KINDS}
+        same = table.select(kept).take(pa.array(own))
+        for c, values in out.items():
+            same = same.append_column(c, pa.array(values))
+        yield same
+
+
 def window_sums(df: DataFrame, horizons_ms: list[int], choose: str | None, row_limit: int | None, kept: list[str]) -> DataFrame:
     """The columns ``kept`` of each row with its horizon (``_h``), the rows of its window (``_n``), their sums and SHAPE.
 
     With ``choose`` (a boolean column: the application looks far back) one of three horizons is
     taken by activity; else every horizon is emitted. Only rows with ``_emit`` are returned.
     """
-    codes = [c for c in KINDS if c not in kept]
-    numbers = [c for c in dict.fromkeys([*SUMMED, "total_bytes", "timestamp_end"]) if c not in kept]
-    flags = ["_emit", *([choose] if choose else [])]
-    typed = [F.col(c).cast("bigint" if c == "timestamp_end" else "double").alias(c) for c in numbers]
-    asked = df.select("flow_id", "app_id", *[c for c in kept if c not in ("flow_id", "app_id")], *codes, *typed, *flags)
-    rows = panes.dealt(asked, ["app_id"], "timestamp_end", ORDER, max(horizons_ms))
-    schema = T.StructType([
-        *[f for f in asked.schema.fields if f.name in kept], *[T.StructField(c, T.LongType()) for c in ("_h", "_n")],
-        *[T.StructField(f"_s_{c}", T.DoubleType()) for c in SUMMED], *[T.StructField(c, T.DoubleType()) for c in SHAPE]])
+    asked = asked_columns(df, kept, ["_emit", *([choose] if choose else [])])
+    schema = window_schema(asked, kept)
     passed = [f.name for f in schema.fields if f.name in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def number(table: pa.Table, name: str) -> np.ndarray:
-            return table.column(name).fill_null(0).to_numpy().astype(np.float64)
-
         for table, group in panes.groups(batches, ["app_id", "_pane"]):
-            at = np.arange(len(table))
-            ms = table.column("timestamp_end").to_numpy()
-            emit = (table.column("_emit").to_numpy() & ~table.column("_halo").to_numpy()).astype(bool)
-            low = {h: panes.starts(group, ms, h, row_limit) for h in horizons_ms}
-            if choose:
-                near, middle, far = horizons_ms
-                recent = at - low[middle] + 1
-                slow = table.column(choose).to_numpy().astype(bool) | (recent < K.SPARSE_FLOWS)
-                picked = np.where(slow, far, np.where(recent > K.BUSY_FLOWS, near, middle))
-            encoded = {c: table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() + 1 for c in KINDS}
-            size, duration = number(table, "total_bytes"), number(table, "duration_ms")
-            gap = np.concatenate(([0], np.diff(ms))) / 1000.0
-            moved = np.concatenate(([0.0], np.diff(encoded["destination_key"]) != 0)).astype(np.float64)
-            for h in dict.fromkeys(horizons_ms):
-                own = at[emit & (picked == h)] if choose else at[emit]
-                if not len(own):
-                    continue
-                begin = low[h][own]
-                n = own - begin + 1
-                span = (ms[own] - ms[begin]).astype(np.float64)
-                out = {"_h": np.full(len(own), h, np.int64), "_n": n}
-                out |= {f"_s_{c}": panes.totals(number(table, c), begin, own) for c in SUMMED}
-                out["_size_dev"] = panes.deviations(size, begin, own, panes.totals(size, begin, own) / n, False)
-                out["_duration_dev"] = panes.deviations(duration, begin, own, out["_s_duration_ms"] / n, True)
-                out["_gap_dev"] = panes.deviations(gap, begin + 1, own, span / 1000.0 / np.maximum(n - 1, 1), True)
-                out["_span_ms"] = span
-                out["_switches"] = panes.totals(moved, np.minimum(begin + 1, own), own) * (n > 1)
-                out["_top"] = panes.largest(encoded["destination_key"], low[h])[own].astype(np.float64)
-                out |= {f"_kinds_{c}": panes.kinds(encoded[c], low[h])[own].astype(np.float64) for c in KINDS}
-                same = table.select(passed).take(pa.array(own))
-                for c, values in out.items():
-                    same = same.append_column(c, pa.array(values))
-                yield from same.combine_chunks().to_batches(max_chunksize=panes.TOGETHER)
-
-    return rows.mapInArrow(run, schema)
-
-
-def _window_columns() -> dict[str, Column]:
+            emit = table.column("_emit").to_numpy().astype(bool) & ~table.column("_halo").to_numpy().astype(bool)
+            for found in describe(table, group, emit, horizons_ms, choose, row_limit, passed):
+                yield from found.combine_chunks().to_batches(max_chunksize=panes.TOGETHER)
+
+    return panes.dealt(asked, ["app_id"], "timestamp_end", ORDER, max(horizons_ms)).mapInArrow(run, schema)
+
+
+def window_columns() -> dict[str, Column]:
     n = F.col("_n").cast("double")
     seconds = F.greatest(F.lit(1.0), F.col("_h") / 1000.0)
 
@@ -137,7 +151,7 @@ def _window_columns() -> dict[str, Column]:
         "destination_transition_rate": F.col("_switches") / clip(n - 1, 1),
         **{mean: total(c) / n for c, mean in K.FLAG_MEANS.items()},
         **{c: total(c) / n for c in K.TRANSPORT_MEANS},
-        "window_contains_positive": (F.round(total("_positive")) > 0).cast("int"),
+        "window_contains_positive": (F.round(total("positive_flow")) > 0).cast("int"),
     }
     return out
 
@@ -179,14 +193,14 @@ def sliding_windows(
     focal = label_strategy == "focal"
     kept = ["flow_id", "app_id", *K.PROVENANCE, "label", "timestamp_end"]
     df = df.withColumns({
-        "_positive": flag(F.col("label") > 0),
+        "positive_flow": flag(F.col("label") > 0),
         "_turn": F.lit(True) if turn is None else F.coalesce(turn, F.lit(False)),
-        "_far": app_family("app_id").isin(K.LONG_HORIZON_FAMILIES)})
+        "far_sighted": app_family("app_id").isin(K.LONG_HORIZON_FAMILIES)})
     df = df.withColumn("_emit", (F.col("_turn") | (F.col("label") > 0)) if focal else F.lit(True))
     horizons = [short, middle, long_] if adaptive else [int(horizon_ms)]
-    choose = "_far" if adaptive and not emit_all_horizons else None
+    choose = "far_sighted" if adaptive and not emit_all_horizons else None
     out = window_sums(df.withColumn("timestamp_end", F.col("timestamp_end").cast("bigint")), horizons, choose, row_limit, [*kept, "_turn"])
-    columns = _window_columns()
+    columns = window_columns()
     if turn is not None and not focal:
         out = out.filter(F.col("_turn") | (columns["window_contains_positive"] > 0))
     columns["label"] = F.col("label").cast("int") if focal else columns["window_contains_positive"]

@@ -36,6 +36,23 @@ def flow_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows_of(source.parquet(sf_dir))
 
 
+#: Files a stream of flows arrives in.
+ARRIVALS = 8
+
+
+def flow_arrivals(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The flows as a stream of files by time, where some flows come one or two files late."""
+    f = flow_view(spark, sf_dir)
+    ends = f.agg(F.min("timestamp_end").alias("_first"), F.max("timestamp_end").alias("_last"))
+    i = F.col("flow_id")
+    delay = F.when(i % 41 == 0, 2).when(i % 13 == 1, 1).otherwise(0)
+    slot = F.least(F.lit(ARRIVALS - 1), F.floor((F.col("timestamp_end") - F.col("_first")) * ARRIVALS / (F.col("_last") - F.col("_first") + 1)) + delay)
+    placed = f.crossJoin(F.broadcast(ends)).withColumn("arrival", slot.cast("int")).drop("_first", "_last")
+    for n in range(ARRIVALS):  # the file source goes by modification time
+        placed.filter(F.col("arrival") == n).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(placed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def flows_of(e: DataFrame) -> DataFrame:
     i, k, u = F.col("event_id"), F.col("k"), F.col("user_id")
     base = e.withColumn("k", F.get_json_object("props", "$.k").cast("long"))

@@ -10,12 +10,18 @@ import uuid
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.functions import constants as K
+from netloom.functions.scalars import flag
 from netloom.operators import store as so
+from netloom.operators.alerts import correlation_key, evidence_strength
 from netloom.operators.flows import app_family, prepare_flows
+from netloom.operators.scoring import rule_contributions, rule_score, top_features
+from netloom.operators.sliding import asked_columns, describe, sliding_windows, window_columns, window_schema
 from netloom.plans.fold import fold, fold_stream
 from netloom.plans.ordered import positions
 from netloom.session import STATE_STORE, shared_dir
@@ -103,91 +109,140 @@ def device_activity_stream(events: DataFrame) -> DataFrame:
     return so.max_activity(so.event_activity(events))
 
 
-def upsert_batches(stream: DataFrame, path: str, key: str, updated: str = "updated_epoch", created: str = "created_epoch") -> DataFrame:
-    """Keep the newest row per key: every batch writes the next version of the table."""
+def upsert_batches(stream: DataFrame, path: str, key: str, updated: str = "updated_epoch", created: str = "created_epoch",
+                   buckets: int = 64) -> DataFrame:
+    """Keep the newest row per key in a table of key buckets; a batch rewrites the buckets it touches.
+
+    Each batch has a folder of its own with those buckets as they are from then on, so a repeated
+    batch overwrites itself. A bucket's newest folder holds it; readers merge by that.
+    """
     spark = stream.sparkSession
     schema = stream.schema
 
     def handle(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(schema).parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
-        so.upsert(before, batch, key, updated, created).write.mode("overwrite").parquet(f"{path}/v={number}")
+        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        before = current_rows(spark, path, schema, number) if number else placed.limit(0)
+        before = before.join(F.broadcast(placed.select("bucket").distinct()), "bucket", "left_semi")
+        out = so.upsert(before.select(schema.names), batch, key, updated, created)
+        out.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy(
+            "bucket").parquet(f"{path}/v={number}")
 
     run_batches(stream, handle, "append")
-    return latest_version(spark, path, schema)
+    return current_rows(spark, path, schema).select(schema.names)
 
 
-def latest_version(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Newest version by its number in the folder names (the listing, not the data, is read)."""
-    top = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
-    number = top.agg(F.max(F.regexp_extract("path", r"/v=(\d+)/", 1).cast("int"))).first()[0]
-    return spark.read.schema(schema).parquet(f"{path}/v={number}")
+def current_rows(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
+    """Rows of every bucket from the newest batch that wrote it (earlier than ``before``, if given)."""
+    placed = T.StructType([*schema.fields, T.StructField("v", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+    rows = spark.read.schema(placed).option("basePath", path).parquet(path)
+    if before is not None:
+        rows = rows.filter(F.col("v") < before)
+    # Both columns come from folder names: at most one row per bucket is broadcast.
+    newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))
+    return rows.join(F.broadcast(newest), ["bucket", "v"], "left_semi")
 
 
 # ---- one window per flow, kept per application
-class Trailing:
-    """Newest flows of one application within the horizon."""
-
-    def __init__(self) -> None:
-        self.rows: deque = deque()
-
-
-SLIDING_INPUTS = ["timestamp_end", "total_bytes", "bytes_out", "dst_novelty", "destination_key", "small_flow",
-                  "duration_ms", "destination_risk"]
-SLIDING_ADDED = ("flow_count long, total_bytes_out double, novelty_score double, burstiness double, "
-                 "destination_diversity double, destination_concentration double, destination_transition_rate double, "
-                 "periodic_beacon_score double, small_flow_ratio double, outbound_ratio double, "
-                 "destination_risk_score double, connection_frequency_delta double")
-
+KEPT = ["flow_id", "app_id", *K.PROVENANCE, "label", "timestamp_end"]
+#: State types of Spark's columns, and their Arrow types.
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
-def sliding_step(state: Trailing, row: dict, horizon_ms: int, row_limit: int | None) -> tuple:
-    """Add the flow, drop what is too old (or, with a limit, too many), describe what is left."""
-    rows = state.rows
-    rows.append(tuple(row[c] for c in SLIDING_INPUTS))
-    now = row["timestamp_end"]
-    while rows[0][0] < now - horizon_ms or (row_limit is not None and len(rows) > row_limit):
-        rows.popleft()
-    times, size, out, novelty, _, small, _, risk = (np.array(c, dtype=float) if i != 4 else c for i, c in enumerate(zip(*rows)))
-    dests = [r[4] for r in rows]
-    n = len(rows)
-    counts: dict = {}
-    for d in dests:
-        counts[d] = counts.get(d, 0) + 1
-    mean = size.mean()
-    beacon = 0.0
-    if n >= 4:
-        gaps = np.diff(times) / 1000.0
-        if gaps.mean() > 0:
-            beacon = min(1.0, max(0.0, 1.0 - gaps.std() / gaps.mean()))
-    switches = sum(a != b for a, b in zip(dests, dests[1:]))
-    return (n, out.sum(), novelty.mean(), min(4.0, np.abs(size - mean).mean() / mean) if mean > 0 else 0.0,
-            len(counts) / n, max(counts.values()) / n, switches / max(1, n - 1), beacon, small.mean(),
-            out.sum() / (size.sum() + 1.0), risk.mean(), float(np.log1p(n / max(1.0, horizon_ms / 1000.0))))
 
+def sliding_windows_stream(flows: DataFrame, horizon_ms: int = 60_000, *, adaptive: bool = False, horizons_ms: list[int] | None = None,
+                           emit_all_horizons: bool = False, row_limit: int | None = None, lateness: str = "0 seconds") -> DataFrame:
+    """The windows of ``sliding_windows`` without baselines, in event time.
 
-def _sliding(engine, flows: DataFrame, horizon_ms: int, row_limit: int | None) -> DataFrame:
-    prepared = prepare_flows(flows).select("flow_id", "app_id", "session_id", "label", *SLIDING_INPUTS)
-    return engine(prepared, ["app_id"], ["timestamp_end", "flow_id"], SLIDING_INPUTS, SLIDING_ADDED, Trailing,
-                  lambda state, row: sliding_step(state, row, horizon_ms, row_limit))
-
-
-def sliding_windows_stream(flows: DataFrame, horizon_ms: int = 60_000, row_limit: int | None = None) -> DataFrame:
-    return _sliding(fold_stream, flows, horizon_ms, row_limit)
-
-
-def sliding_windows_fold(flows: DataFrame, horizon_ms: int = 60_000, row_limit: int | None = None) -> DataFrame:
-    """Batch run of the same step, for comparison."""
-    return _sliding(fold, flows, horizon_ms, row_limit)
+    Flows are put in order before they count: those of a pane (a quarter of the horizon) wait in
+    state until the watermark passes its end, whatever the order in which they come. Then their windows are
+    made of all flows of the pane and the horizon before it, so the rows do not depend on how the
+    input was cut into batches. State is one typed row per (application, pane): plain arrays by
+    column. Panes older than the horizon are removed, by a timer also where nothing else arrives.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    horizons = list(horizons_ms or K.HORIZONS_MS) if adaptive else [int(horizon_ms)]
+    choose = "far_sighted" if adaptive and not emit_all_horizons else None
+    reach = max(horizons)
+    length = max(1, reach // 4)
+    df = prepare_flows(event_time(flows, lateness))
+    df = df.withColumns({"positive_flow": flag(F.col("label") > 0), "far_sighted": app_family("app_id").isin(K.LONG_HORIZON_FAMILIES),
+                         "timestamp_end": F.col("timestamp_end").cast("bigint")})
+    asked = asked_columns(df, KEPT, ["far_sighted"])
+    schema = window_schema(asked, KEPT)
+    stored = [c for c in asked.columns if c != "app_id"]
+    kinds = {c: t for c, t in asked.dtypes if c != "app_id"}
+    passed, columns = [f.name for f in schema.fields if f.name in KEPT], schema.names
+    state_type = ", ".join(f"{c} array<{kinds[c]}>" for c in stored)
+
+    class Panes(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.panes = handle.getMapState("panes", "pane bigint", state_type)
+            self.done = handle.getValueState("released", "until_ms bigint")
+
+        def handleInputRows(self, key, rows, timer_values):
+            first = None
+            for pdf in rows:
+                table = pa.Table.from_pandas(pdf[stored], preserve_index=False).sort_by([("timestamp_end", "ascending")])
+                pane = table.column("timestamp_end").to_numpy() // length
+                cuts = [0, *(np.flatnonzero(np.diff(pane)) + 1).tolist(), len(pane)]
+                lists = [c.to_pylist() for c in table.columns]
+                for low, high in zip(cuts, cuts[1:]):
+                    at = (int(pane[low]),)
+                    new = [c[low:high] for c in lists]
+                    if self.panes.containsKey(at):
+                        new = [[*old, *more] for old, more in zip(self.panes.getValue(at), new)]
+                    self.panes.updateValue(at, tuple(new))
+                if len(pane):
+                    first = int(pane[0]) if first is None else min(first, int(pane[0]))
+            if first is not None:
+                self.handle.registerTimer((first + 1) * length)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            until = timerValues.getCurrentWatermarkInMs() // length * length
+            before = self.done.get()[0] if self.done.exists() else None
+            if before is not None and until <= before:
+                return
+            held = sorted(k[0] for k in self.panes.keys())
+            open_ = [p for p in held if (p + 1) * length <= until and (before is None or p * length >= before)]
+            if open_:
+                used = [p for p in held if (p + 1) * length <= until]
+                parts = [self.panes.getValue((p,)) for p in used]
+                table = pa.table({c: pa.array([v for part in parts for v in part[i]], _TYPES[kinds[c]]) for i, c in enumerate(stored)})
+                table = table.append_column("app_id", pa.array([key[0]] * len(table), pa.string())).sort_by(
+                    [("timestamp_end", "ascending"), ("flow_id", "ascending")])
+                emit = table.column("timestamp_end").to_numpy() >= open_[0] * length
+                for found in describe(table, np.zeros(len(table), np.int64), emit, horizons, choose, row_limit, passed):
+                    yield found.select(columns).to_pandas()
+            left = [p for p in held if (p + 1) * length > until - reach]
+            for p in held[:len(held) - len(left)]:
+                self.panes.removeKey((p,))
+            self.done.update((int(until),))
+            # The next pane to be released; or, if nothing waits, the time from which no pane is needed.
+            waiting = [p for p in left if (p + 1) * length > until]
+            if left:
+                self.handle.registerTimer((waiting[0] + 1) * length if waiting else (left[-1] + 1) * length + reach)
+
+        def close(self) -> None:
+            pass
+
+    out = df.select(*asked.columns, "event_time").groupBy("app_id").transformWithStateInPandas(
+        statefulProcessor=Panes(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    made = window_columns()
+    made["label"] = F.col("label").cast("int")
+    return out.select("flow_id", "app_id", *K.PROVENANCE, *[c.alias(n) for n, c in made.items()])
 
 
 # ---- alerts
-ALERT_INPUTS = ["timestamp_end", "session_id", "score", "evidence_strength", "app_family"]
+ALERT_INPUTS = ["window_end_ms", "session_id", "score", "evidence_strength", "app_family", "correlation_key"]
 ALERT_ADDED = "candidate_count long, emitted int, alert_no long, first_seen long, last_seen long, max_score double"
 
 
 def alert_step(state: dict, row: dict, threshold: float, window_ms: int, merge_ms: int, required: dict, min_evidence: int,
                bypass: float, slack: float) -> tuple:
-    """Persistence policy, then merging of emitted alerts whose gap is small enough."""
-    now, score, evidence = row["timestamp_end"], row["score"], row["evidence_strength"]
+    """Persistence policy per session, then merging of emitted alerts of one correlation key whose gap is small enough."""
+    now, score, evidence = row["window_end_ms"], row["score"], row["evidence_strength"]
     if score < threshold:
         return (0, 0, None, None, None, None)
     queue = state.setdefault(("queue", row["session_id"]), deque())
@@ -198,11 +253,12 @@ def alert_step(state: dict, row: dict, threshold: float, window_ms: int, merge_m
     persistent = len(queue) >= need and score >= queue[0][1] - slack and max(q[2] for q in queue) >= min_evidence
     if not (persistent or (score >= bypass and evidence >= min_evidence)):
         return (len(queue), 0, None, None, None, None)
-    open_ = state.get("open")
+    name = ("open", row["correlation_key"])
+    open_ = state.get(name)
     if open_ and now - open_["last"] <= merge_ms:
         open_.update(last=now, top=max(open_["top"], score))
     else:
-        open_ = state["open"] = {"no": (open_["no"] if open_ else 0) + 1, "first": now, "last": now, "top": score}
+        open_ = state[name] = {"no": (open_["no"] if open_ else 0) + 1, "first": now, "last": now, "top": score}
     return (len(queue), 1, open_["no"], open_["first"], open_["last"], open_["top"])
 
 
@@ -214,19 +270,20 @@ ALERT_POLICY = {"threshold": 0.3, "window_ms": 300_000, "merge_ms": 600_000, "mi
 def alert_table(rows: DataFrame) -> DataFrame:
     """Current state of every alert from the emitted rows."""
     emitted = rows.filter("emitted = 1")
-    return emitted.groupBy("app_id", "alert_no").agg(
+    return emitted.groupBy("app_id", "correlation_key", "alert_no").agg(
         F.count(F.lit(1)).alias("occurrence_count"), F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"), F.max("max_score").alias("score"))
 
 
-def alert_stream(flows: DataFrame, path: str, horizon_ms: int = 60_000, policy: dict | None = None) -> DataFrame:
+def alert_stream(flows: DataFrame, path: str, horizon_ms: int = 60_000, policy: dict | None = None,
+                 lateness: str = "0 seconds") -> DataFrame:
     """Flows to a table of alert rows (one folder per batch), and the alerts they add up to.
 
     The two stateful steps are two queries: the windows of the first are a table that the second
     reads as its stream, so each keeps its own state and either can restart alone.
     """
     spark = flows.sparkSession
-    windows = _sliding(fold_stream, flows, horizon_ms, None)
+    windows = sliding_windows_stream(flows, horizon_ms, lateness=lateness)
     stage = f"{path}/windows"
     q = windows.writeStream.outputMode("append").format("parquet").option("path", stage).option(
         "checkpointLocation", f"{path}/mark-windows").trigger(availableNow=True).start()
@@ -241,19 +298,15 @@ def alert_stream(flows: DataFrame, path: str, horizon_ms: int = 60_000, policy:
 
 def _alert_fold(engine, windows: DataFrame, policy: dict | None) -> DataFrame:
     p = {**ALERT_POLICY, **(policy or {})}
-    c = F.col
-    score = 0.5 * c("novelty_score") + 0.3 * c("outbound_ratio") + 0.2 * c("destination_risk_score")
-    evidence = ((c("novelty_score") >= 0.35).cast("int") + ((c("destination_diversity") >= 0.35) | (
-        c("destination_transition_rate") >= 0.25)).cast("int") + (c("periodic_beacon_score") >= 0.55).cast("int")
-        + (c("destination_risk_score") >= 0.35).cast("int"))
-    w = windows.withColumns({"score": score, "evidence_strength": evidence, "app_family": app_family("app_id")}).select(
-        "flow_id", "app_id", *ALERT_INPUTS)
-    return engine(w, ["app_id"], ["timestamp_end", "flow_id"], ALERT_INPUTS, ALERT_ADDED, dict,
+    w = evidence_strength(rule_score(windows)).withColumns({
+        "app_family": app_family("app_id"), "source_model": F.lit("rule"), "top_features": top_features(rule_contributions(), 3)})
+    w = w.withColumn("correlation_key", correlation_key()).select("flow_id", "app_id", *ALERT_INPUTS)
+    return engine(w, ["app_id"], ["window_end_ms", "flow_id"], ALERT_INPUTS, ALERT_ADDED, dict,
                   lambda state, row: alert_step(state, row, **p))
 
 
 def alert_batch(flows: DataFrame, horizon_ms: int = 60_000, policy: dict | None = None) -> DataFrame:
-    return alert_table(_alert_fold(fold, _sliding(fold, flows, horizon_ms, None), policy))
+    return alert_table(_alert_fold(fold, sliding_windows(flows, horizon_ms, baseline=False), policy))
 
 
 # ---- late data and load

@@ -82,17 +82,55 @@ def test_feedback_lowers_similar_windows(spark):
     assert plain.keys() == out.keys() and sum(out.values()) <= sum(plain.values())
 
 
-def test_sliding_stream_equals_batch(spark):
+def arriving(spark, path, flows, files, seed):
+    """The flows in any order over some files, and one flow long after all others."""
+    slot = F.pmod(F.xxhash64(F.col("flow_id"), F.lit(seed)), F.lit(files))
+    for n in range(files):
+        flows.filter(slot == n).coalesce(1).write.mode("append").parquet(path)
+    end = flows.agg(F.max("timestamp_end")).first()[0] + 400 * 24 * HOUR
+    flows.limit(1).withColumns({"flow_id": F.lit(-1).cast("long"), "timestamp_end": F.lit(end)}).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_sliding_stream_equals_batch_in_any_order(spark, tmp_path):
     sf_.with_rocksdb(spark)
-    cols = ["flow_id", "flow_count", "burstiness", "destination_concentration", "destination_transition_rate", "novelty_score"]
-    streamed = rows(sf_.run_to_table(sf_.sliding_windows_stream(flow_stream(spark, SF), 6 * HOUR)), *cols)
-    assert streamed == rows(sl.sliding_windows(flow_view(spark, SF), 6 * HOUR, baseline=False), *cols)
+    flows = flow_view(spark, SF)
+    cols = ["flow_id", "adaptive_window_seconds", "flow_count", "burstiness", "duration_jitter", "destination_concentration",
+            "destination_transition_rate", "port_diversity", "tcp_window_mean", "periodic_beacon_score", "novelty_score", "label"]
+    options = {"adaptive": True, "horizons_ms": [HOUR, 6 * HOUR, 24 * HOUR]}
+    want = rows(sl.sliding_windows(flows, baseline=False, **options), *cols)
+    for files, seed in ((1, 0), (5, 1)):
+        stream = arriving(spark, str(tmp_path / f"in{files}"), flows, files, seed)
+        assert rows(sf_.run_to_table(sf_.sliding_windows_stream(stream, lateness="60 days", **options)), *cols) == want
+
+
+def test_late_flows_are_dropped_and_panes_go(spark, tmp_path):
+    """A flow behind the watermark changes nothing; others come in the order of their time."""
+    sf_.with_rocksdb(spark)
+    base = flow_view(spark, SF).limit(1).drop("flow_id", "timestamp_end", "app_id")
+    path, m = str(tmp_path / "in"), 60_000
+    for part in ([(1, 10 * m), (2, 12 * m)], [(4, 200 * m), (3, 11 * m)], [(5, 201 * m)], [(6, 10 * m), (7, 500 * m)], [(8, 900 * m)]):
+        base.crossJoin(spark.createDataFrame(part, "flow_id long, timestamp_end long")).withColumn("app_id", F.lit("a")).coalesce(1).write.mode(
+            "append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = sf_.sliding_windows_stream(stream, 4 * m, lateness="1 minute")
+    q = out.writeStream.format("memory").queryName("late_flows").option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = rows(spark.table("late_flows"), "flow_id", "flow_count")
+    # Each batch drops what is behind the watermark of the one before: 3 comes in time, 6 does not.
+    assert got == [(1, 1), (2, 3), (3, 2), (4, 1), (5, 2), (7, 1)]
+    assert sf_.dropped_by_watermark(q) == 1
+    states = [op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]]
+    assert states[-1] <= 6
 
 
 def test_alert_stream_equals_batch(spark):
+    from netloom.catalog.streaming import padded
+
     sf_.with_rocksdb(spark)
     policy = {"threshold": 0.3, "window_ms": 6 * HOUR, "merge_ms": 12 * HOUR}
-    a = rows(sf_.alert_stream(flow_stream(spark, SF), sf_.new_path(spark, "alerts"), 6 * HOUR, policy))
+    a = rows(sf_.alert_stream(padded(spark, SF), sf_.new_path(spark, "alerts"), 6 * HOUR, policy, lateness="30 days"))
     b = rows(sf_.alert_batch(flow_view(spark, SF), 6 * HOUR, policy))
     assert a == b and len(a) > 5
 
@@ -124,11 +162,14 @@ def test_late_rows_are_set_aside(spark, tmp_path):
 
 def test_upsert_batches_keep_the_newest(spark, tmp_path):
     path, schema = str(tmp_path / "in"), "alert_id string, severity string, updated_epoch long, created_epoch long"
-    for part in ([("a", "LOW", 1, 1), ("b", "LOW", 1, 1)], [("a", "HIGH", 5, 5)]):
+    for part in ([("a", "LOW", 1, 1), ("b", "LOW", 1, 1)], [("a", "HIGH", 5, 5)], [("c", "LOW", 6, 6), ("b", "LOW", 0, 0)]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = sf_.upsert_batches(s, sf_.new_path(spark, "table"), "alert_id")
-    assert rows(out) == [("a", "HIGH", 5, 1), ("b", "LOW", 1, 1)]
+    table = sf_.new_path(spark, "table")
+    out = sf_.upsert_batches(s, table, "alert_id")
+    assert rows(out) == [("a", "HIGH", 5, 1), ("b", "LOW", 1, 0), ("c", "LOW", 6, 6)]
+    # The second batch wrote the bucket of its one key and no other.
+    assert rows(spark.read.parquet(f"{table}/v=1"), "alert_id") == [("a",)]
 
 
 def test_model_documents_reproduce_their_models(spark):
