@@ -2,7 +2,7 @@
 
 Paragraphs give points for their length and commas to the elements around them, less with each
 level; an element's points are discounted by the share of its text that is link text. The best
-element is the article; siblings with enough points or plain running text stay with it. Only
+element is the article; what stands beside it stays, unless it is furniture or mostly links. Only
 elements that hold no text of a page by their tag (scripts, menus, footers, hidden parts) are left
 out before. Furniture by role, whole class name or id (sidebars, notices, adverts, comments), and
 forms, asides and page headers count a fifth of their points. They are left out of the chosen
@@ -11,7 +11,8 @@ named as reader comments.
 
 Defined results: null or empty html, and pages without running text, give an empty text. Broken
 markup is read the way browsers repair it: a new block ends an open paragraph, list item or cell,
-and unclosed elements end with their parent. Each row gives one row. Extra columns are not read.
+unclosed elements end with their parent, and a tag or comment that never ends takes the rest along.
+Very long, deep or broken pages are read whole, in time linear in their length. Each row gives one row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*(=)\s*)?)?")
+_BARE = re.compile(r"[^\s>]*")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -54,60 +56,109 @@ item items links link wrapper wrap container inner outer section thread form wid
 DISCOUNT = 0.2
 SOLID = frozenset("html body main article section".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+#: What an open element of the name cannot be closed through by a new one.
+SCOPES = {"p": frozenset({"td", "th", "button", "object", "caption"}), **{k: frozenset(v) for k, v in SELF_ENDING.items()}}
+SAME = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "score", "weak")
+    __slots__ = ("tag", "attrs", "parent", "items", "score", "weak", "near")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None"):
         self.tag, self.attrs, self.parent, self.items, self.score, self.weak = tag, attrs, parent, [], 0.0, False
+        # Open elements that a new one may close, by name; shared with the parent while nothing changes.
+        near = parent.near if parent is not None else {}
+        if any(tag in SCOPES[name] for name in near):
+            near = {name: node for name, node in near.items() if tag not in SCOPES[name]}
+        self.near = {**near, tag: self} if tag in SCOPES else near
+
+
+def _attributes(html: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """Attributes from ``at`` on, whether the tag ends itself, and the place behind it; -1 if it never ends."""
+    found: dict[str, str] = {}
+    while True:
+        m = _ATTRIBUTE.match(html, at)
+        at = m.end()
+        if m[1]:
+            return found, html[at - 2] == "/", at
+        if m[2] is None:
+            return found, False, -1
+        value = ""
+        if m[3]:
+            quote = html[at:at + 1]
+            if quote in ('"', "'") and quote:
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return found, False, -1
+                value, at = html[at + 1:end], end + 1
+            else:
+                bare = _BARE.match(html, at)
+                value, at = bare[0], bare.end()
+        found[m[2].lower()] = unescape(value)
 
 
 def parse(html: str) -> Node:
-    """Elements and texts of a page as a tree."""
+    """Elements and texts of a page as a tree, in time linear in the page. A tag that never ends takes the rest along."""
     root = node = Node("#root", {}, None)
+    open_: dict[str, list[Node]] = {}
     at, end = 0, len(html)
+
+    def leave(target: Node) -> None:
+        nonlocal node
+        while node is not target:
+            open_[node.tag].pop()
+            node = node.parent
+
     while at < end:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        start = html.find("<", at)
+        if start < 0:
             node.items.append(html[at:])
             break
-        if m.start() > at:
-            node.items.append(html[at:m.start()])
-        at = m.end()
-        if not m[2]:
+        if start > at:
+            node.items.append(html[at:start])
+        if html.startswith("<!--", start):
+            at = html.find("-->", start + 4) + 3
+            if at < 3:
+                break
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = _close(node, tag)
+        closing = html.startswith("/", start + 1)
+        name = _NAME.match(html, start + 1 + closing)
+        if name is None:
+            if html[start + 1:start + 2] in ("!", "?") or closing and start + 2 < end:
+                at = html.find(">", start) + 1
+                if not at:
+                    break
+            else:
+                node.items.append("<")
+                at = start + 1
+            continue
+        tag = name[0].lower()
+        attrs, ended, at = _attributes(html, name.end())
+        if at < 0:
+            break
+        if closing:
+            if open_.get(tag):
+                leave(open_[tag][-1].parent)
             continue
-        if tag in BLOCK and tag != "br":
-            node = _close(node, "p", stop={"td", "th", "button", "object", "caption"})
-        if tag in SELF_ENDING:
-            for same in (("td", "th") if tag in ("td", "th") else ("dt", "dd") if tag in ("dt", "dd") else (tag,)):
-                node = _close(node, same, stop=SELF_ENDING[tag])
-        child = Node(tag, {a.lower(): unescape(x or y or z) for a, x, y, z in _ATTRIBUTE.findall(m[3])} if m[3] else {}, node)
+        if tag in BLOCK and tag != "br" and "p" in node.near:
+            leave(node.near["p"].parent)
+        for same in SAME.get(tag, (tag,)) if tag in SELF_ENDING else ():
+            if same in node.near:
+                leave(node.near[same].parent)
+        child = Node(tag, attrs, node)
         node.items.append(child)
         if tag in RAW:
             stop = re.compile(f"</{re.escape(tag)}[\\s/>]", re.IGNORECASE).search(html, at)
             at = html.find(">", stop.start()) + 1 or end if stop else end
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not ended:
+            open_.setdefault(tag, []).append(child)
             node = child
     return root
 
 
-def _close(node: Node, tag: str, stop: frozenset | set = frozenset()) -> Node:
-    """The parent of the nearest open element of that name; the node itself if there is none."""
-    up = node
-    while up.parent is not None:
-        if up.tag == tag:
-            return up.parent
-        if up.tag in stop:
-            return node
-        up = up.parent
-    return node
-
-
 def _named(node: Node, kind: frozenset) -> bool:
     """Is a whole class name or the id made of words of the kind, and of places at most?"""
     for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split():
@@ -127,26 +178,18 @@ def _comments(node: Node) -> bool:
     return bool(node.attrs) and node.tag not in ("html", "body") and _named(node, COMMENTS)
 
 
-def _weak(node: Node, heads: set[int]) -> bool:
-    """Counts less, and is left out where it is not most of the text."""
+def _weak(node: Node, heads: set[int], inside: bool) -> bool:
+    """Counts less, and is left out where it is not most of the text. ``inside``: of an article or main."""
     if _comments(node):
         return True
     if node.tag in SOLID or id(node) in heads:
         return False
     if node.tag == "header":
-        return not _inside(node, ("article", "main"))
+        return not inside
     return node.tag in WEAK_TAGS or bool(node.attrs) and (
         node.attrs.get("role", "").lower() in FURNITURE_ROLES or _named(node, FURNITURE))
 
 
-def _inside(node: Node, tags: tuple[str, ...]) -> bool:
-    while node.parent is not None:
-        node = node.parent
-        if node.tag in tags:
-            return True
-    return False
-
-
 def _prune(root: Node) -> list[Node]:
     """Take furniture out and mark weak elements; the elements left, parents before children."""
     every, stack = [], [root]
@@ -161,13 +204,16 @@ def _prune(root: Node) -> list[Node]:
             while up is not None and id(up) not in heads:
                 heads.add(id(up))
                 up = up.parent
-    left, stack = [], [root]
+    left, inner, stack = [], set(), [root]
     while stack:
         node = stack.pop()
         node.items = [x for x in node.items if not isinstance(x, Node) or not _furniture(x)]
-        node.weak = _weak(node, heads)
+        node.weak = _weak(node, heads, id(node) in inner)
         left.append(node)
-        stack += [x for x in reversed(node.items) if isinstance(x, Node)]
+        own = [x for x in reversed(node.items) if isinstance(x, Node)]
+        if id(node) in inner or node.tag in ("article", "main"):
+            inner.update(map(id, own))
+        stack += own
     return left
 
 
@@ -214,9 +260,9 @@ def _score(nodes: list[Node], sizes: dict[int, tuple[int, int, int]]) -> list[No
     return list(scored.values())
 
 
-def _text(nodes: list[Node], sizes: dict[int, tuple[int, int, int]]) -> str:
-    """The text of the elements without weak parts, or with them if there is nothing else."""
-    running = sum(sizes[id(x)][0] - sizes[id(x)][1] for x in nodes)
+def _text(nodes: list, sizes: dict[int, tuple[int, int, int]]) -> str:
+    """The text of the elements (and bare texts) without weak parts, or with them if there is nothing else."""
+    running = sum(sizes[id(x)][0] - sizes[id(x)][1] if isinstance(x, Node) else len(x.strip()) for x in nodes)
 
     def left(x: Node) -> bool:
         n, links, _ = sizes[id(x)]
@@ -225,7 +271,7 @@ def _text(nodes: list[Node], sizes: dict[int, tuple[int, int, int]]) -> str:
     return _blocks(nodes, left) or _blocks(nodes, lambda x: False)
 
 
-def _blocks(nodes: list[Node], left: Callable[[Node], bool]) -> str:
+def _blocks(nodes: list, left: Callable[[Node], bool]) -> str:
     """Blocks in page order, white space inside a block made one space, blocks joined by one."""
     blocks, part = [], []
 
@@ -268,23 +314,22 @@ def main_text(html: str | None) -> str:
     best = up or best
     if best.parent is None or best.tag in ("body", "html"):
         return _text([best], sizes)
-    enough, kept, heads = best.score * 0.2, [], []
+    kept, heads = [], []
     for x in best.parent.items:
-        if x is best:
-            kept += [*heads, x]
-            heads = []
-        elif isinstance(x, Node) and not x.weak:
-            n, links, commas = sizes[id(x)]
-            density = links / n if n else 1.0
-            running = x.tag == "p" and (n > 80 and density < 0.25 or 0 < n <= 80 and density == 0 and commas)
-            alike = x.tag == best.tag and density < 0.25 and x.attrs.get("class") == best.attrs.get("class") is not None
-            if x.score and x.score >= enough or running or alike or x.tag == "h1" and n:
+        if isinstance(x, Node):
+            n, links, _ = sizes[id(x)]
+            if x is best or not x.weak and n and 2 * links < n and x.tag not in HEADINGS:
                 kept += [*heads, x]
                 heads = []
-            elif x.tag in ("h2", "h3", "h4", "h5", "h6"):  # stays with what it stands above
+            elif x.tag == "h1" and n:
+                kept.append(x)
+            elif x.tag in HEADINGS and not x.weak:  # stays with what it stands above
                 heads.append(x)
             elif n:
                 heads = []
+        elif x.strip():
+            kept += [*heads, x]
+            heads = []
     return _text(kept, sizes)
 
 
