@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLY = re.compile(r"[^\W\d_]")  # letters, and numbers such as ½ or Ⅷ that are none
 _CHUNK = 64  # windows worked on at once: their responses stay in the processor's cache
 
 
@@ -41,6 +41,11 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(flat, np.uint8).reshape(-1, WINDOW), first, sizes
 
 
+def has_letter(text: str | None) -> bool:
+    """A letter by its Unicode category (L), as in the filter of ``train``."""
+    return bool(text) and any(m[0].isalpha() for m in _WORDLY.finditer(text))
+
+
 class ByteConvNet:
     """Embedding of bytes, filters of several widths, max pooling, softmax."""
 
@@ -126,7 +131,7 @@ class ByteConvNet:
         return _softmax(np.maximum(hidden, 0) @ self.w["out"] + self.w["bias"])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        known = [bool(t) and _LETTER.search(t) is not None for t in texts]
+        known = [has_letter(t) for t in texts]
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         asked = [i for i, ok in enumerate(known) if ok]
         if asked and self.classes:
@@ -147,8 +152,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 250, pieces: int = 3, chars: int = 2048) -> ByteConvNet:
-    """Fit on at most ``per_language`` labelled documents of each language (see the module's text)."""
+def train(docs: DataFrame, per_language: int = 250, pieces: int = 3, chars: int = 2048, languages: int = 200) -> ByteConvNet:
+    """Fit on at most ``per_language`` labelled documents of each language (see the module's text).
+
+    The ``languages`` most frequent labels are learned, so that a dirty label column cannot fill the driver.
+    """
+    labels = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    labels = labels.orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    docs = docs.join(F.broadcast(labels), "lang", "left_semi")
     text = F.col("text")
     rows = docs.filter(F.col("lang").isNotNull() & text.rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     order = F.xxhash64(text)
