@@ -6,7 +6,7 @@ however large, reaches the last step as at most ``salts`` rows.
 
 Defined results: a null text counts as empty (``text_sha256`` of the empty string). Of equal
 texts the largest ``doc_id`` stays; a null id never wins over another. Rows that agree in
-both id and text are one document: they all carry the same answer. An empty table gives no
+both id and text are one document: they all carry the same answer, and ``keep`` lets one through. An empty table gives no
 rows. Extra columns are not read; ``keep`` passes them through whatever their names.
 """
 
@@ -63,8 +63,17 @@ def exact_dedup(docs: DataFrame, text: Column | None = None, salts: int = 16,
 
 
 def keep(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns; of rows that agree in id and text, one."""
     groups = materialize(copy_groups(docs, salts=salts), "copies")
     digest = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
     same = docs["doc_id"].eqNullSafe(groups["keep_id"]) & (digest == groups["digest"])
-    return docs.join(groups.select("keep_id", "digest"), same, "left_semi")
+    stay = docs.join(groups.select("keep_id", "digest"), same, "left_semi")
+    # Ids seldom repeat with their text: only ids and digests are shuffled to find out.
+    named = stay.select(F.col("doc_id").alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("own"))
+    again = materialize(named.groupBy("id", "own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
+    if again.isEmpty():
+        return stay
+    repeated = stay["doc_id"].eqNullSafe(again["id"]) & (F.unhex(F.sha2(F.coalesce(stay["text"], F.lit("")), 256)) == again["own"])
+    # Combined in the tasks first, so a row repeated any number of times is one row a task.
+    one = stay.join(again, repeated).groupBy("id", "own").agg(F.first(F.struct(*[stay[c] for c in docs.columns])).alias("row"))
+    return stay.join(again, repeated, "left_anti").unionByName(one.select("row.*"))

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import numpy as np
 import pytest
 from helpers import clashing, docs
 
@@ -80,6 +81,73 @@ def test_html_short_siblings_stay():
     assert got.startswith("Intro. long,") and got.endswith("long, More End.")
 
 
+def test_html_drops_nothing_beside_the_best_container():
+    two = "<p>P one, here.</p><p>P two, here.</p>"
+    page = f"<div id=c><div class=a>{two}</div><div class=b><p>Second part of the same article.</p></div><table><tr><td>cell</td></tr></table></div>"
+    assert html.main_text(page) == "P one, here. P two, here. Second part of the same article. cell"
+    page = f"<div><div class=story>{two}</div><p>Short closing line.</p><ul><li>item</li></ul>bare text<div><a href=x>a link</a></div><div class=ad>Buy</div></div>"
+    assert html.main_text(page) == "P one, here. P two, here. Short closing line. item bare text"
+
+
+def test_html_broken_and_deep_pages_take_linear_time():
+    import time
+
+    makers = [lambda n: "<div>" * n, lambda n: '<a "' * n, lambda n: "<b " * n, lambda n: "<header>" * n, lambda n: "<p><button>" + "<div>" * n,
+              lambda n: "<ul><li>" * n, lambda n: '<a x="' * n, lambda n: "<!-- " * n, lambda n: "<" * n, lambda n: "</x>" * n, lambda n: "<title>" * n]
+    for make in makers:
+        times = []
+        for n in (4_000, 32_000):
+            page = "<p>Text, here.</p>" + make(n)
+            start = time.perf_counter()
+            assert html.main_text(page).startswith("Text, here.") or make(1) == "<"
+            times.append(time.perf_counter() - start)
+        assert times[1] < 3 and times[1] < 40 * times[0] + 0.3, make(1)
+    long = "<article>" + "<p>word, word</p>" * 60_000 + "</article>"
+    assert len(html.main_text(long)) == 60_000 * 11 - 1
+
+
+def _paragraphs(html_text, drop):
+    """All texts of a well-formed page outside the dropped elements, by the standard parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.found = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.path.append((tag, dict(attrs).get("class")))
+            self.found.append("\0")
+
+        def handle_endtag(self, tag):
+            self.path.pop()
+            self.found.append("\0")
+
+        def handle_data(self, data):
+            if not any(t in drop or c in drop for t, c in self.path):
+                self.found.append(data)
+
+    reader = Reader()
+    reader.feed(html_text)
+    return " ".join(" ".join(p.split()) for p in "".join(reader.found).split("\0") if p.split())
+
+
+def test_html_against_a_reader_that_knows_the_page():
+    import random
+
+    rng = random.Random(8)
+    words = "alpha, beta gamma &amp; delta, epsilon zeta eta. theta".split()
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    for _ in range(200):
+        parts = [rng.choice([f"<p>{text(rng.randint(5, 60))}</p>", f"<h2>{text(3)}</h2><p>{text(20)}</p>", f"<ul><li>{text(4)}</li><li>{text(9)}</li></ul>",
+                             f"<blockquote>{text(12)}</blockquote>", f"<table><tr><td>{text(3)}</td></tr></table>", f"<div>{text(30)}</div>",
+                             f'<div class="ad">{text(6)}</div>', f"<script>{text(4)}</script>"]) for _ in range(rng.randint(3, 14))]
+        body = f"<p>{text(40)}</p><p>{text(50)}</p>" + "".join(parts)
+        page = (f"<html><head><title>{text(3)}</title></head><body><header><div>{text(4)}</div></header><nav>{text(5)}</nav>"
+                f'<main><article>{body}</article></main><div class="sidebar"><p>{text(30)}</p></div><footer>{text(9)}</footer></body></html>')
+        assert html.main_text(page) == _paragraphs(page, {"head", "nav", "header", "footer", "sidebar", "ad", "script"})
+
+
 def test_html_table(spark):
     df = clashing(spark.createDataFrame(PAGES, "page_id bigint, url string, html string"))
     got = html.extract(df).collect()
@@ -109,6 +177,35 @@ def test_language_odd_texts(spark):
     assert language.identify(docs(spark, rows).limit(0), net).collect() == []
 
 
+def test_language_letters_are_letters_by_category():
+    for text, yes in (("½ ²", False), ("①", False), ("Ⅷ", False), ("٣", False), ("_ 12", False), ("a", True), ("½ x", True), ("語", True), ("ª", True),
+                      ("ʰ", True), ("ǅ", True), ("", False), (None, False)):
+        assert language.has_letter(text) is yes, text
+
+
+def test_language_tables_equal_the_convolution():
+    """Response look-ups against filters slid over embedded bytes, position by position."""
+    rng = np.random.default_rng(9)
+    net = language.ByteConvNet(["a", "b", "c"], seed=3)
+    x = rng.integers(0, 256, (5, language.WINDOW), dtype=np.uint8)
+    hidden = []
+    for row in net.w["embed"][x]:
+        own = []
+        for k in language.WIDTHS:
+            seen = np.array([row[i:i + k].reshape(-1) @ net.w[f"f{k}"] for i in range(language.WINDOW - k + 1)])
+            own.append(np.maximum(seen.max(0) + net.w[f"b{k}"], 0))
+        hidden.append(np.concatenate(own))
+    z = np.array(hidden) @ net.w["out"] + net.w["bias"]
+    want = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    assert np.allclose(net.probabilities(x), want, atol=1e-4)
+
+
+def test_language_dirty_labels_are_bounded(spark):
+    rows = [(i, "some words here", f"l{i % 40}" if i % 2 else "en", "s", 15) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert len(language.train(frame, languages=5).classes) == 5 and "en" in language.train(frame, languages=5).classes
+
+
 def test_language_keeps_mixed_and_short_texts(spark):
     table = read(spark, SF.replace("0.001", "0.01"), "documents")
     net = language.train(table)
