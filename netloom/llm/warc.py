@@ -76,12 +76,14 @@ def decisions(pages: DataFrame) -> DataFrame:
     """page, page_id, html only where it must be written, sha1, bytes, refers_to."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
-    rows = rows.select("page_id", "url", "html", F.sha1("html").alias("sha1"), F.octet_length("html").alias("bytes"))
-    marks = rows.groupBy("page_id", "sha1", "bytes").agg(F.lit(1).alias("one")).drop("one")
-    firsts = materialize(marks.groupBy("sha1", "bytes").agg(F.min("page_id").alias("first")), "payloads")
-    small = marks.join(firsts, ["sha1", "bytes"]).select(F.struct("page_id", "sha1").alias("page"), "first")
+    # Payloads are equal by SHA-256 (SHA-1 has known collisions); SHA-1 is what the header names.
+    rows = rows.select("page_id", "url", "html", F.sha1("html").alias("sha1"), F.unhex(F.sha2("html", 256)).alias("own"),
+                       F.octet_length("html").alias("bytes"))
+    marks = rows.groupBy("page_id", "own").agg(F.lit(1).alias("one")).drop("one")
+    firsts = materialize(marks.groupBy("own").agg(F.min("page_id").alias("first")), "payloads")
+    small = marks.join(firsts, "own").select(F.struct("page_id", "own").alias("page"), "first")
     # Joined back by page, so a very common payload is spread like any other.
-    out = rows.withColumn("page", F.struct("page_id", "sha1")).join(small, "page").drop("page")
+    out = rows.withColumn("page", F.struct("page_id", "own")).join(small, "page").drop("page", "own")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
     out = out.withColumn("refers_to", refers).drop("first")
     return out.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
@@ -245,12 +247,21 @@ class CaptureIndex:
         return wanted.mapInArrow(run, CAPTURES)
 
 
+#: Bytes of records that a task reads back.
+TASK_BYTES = 16 << 20
+
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary"
 
 
 def read_archives(captures: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """The records at the given places, by range reads in file order."""
-    places = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    """The records at the given places, by range reads in file order.
+
+    Places are dealt out by stretches of the files, so a task reads about ``TASK_BYTES`` however many they are.
+    """
+    asked = captures.select("file", "offset", "length")
+    total = asked.agg(F.sum("length")).first()[0] or 0
+    stretch = F.floor(F.col("offset") / F.lit(TASK_BYTES // 4))
+    places = asked.repartition(max(1, -(-total // TASK_BYTES)), "file", stretch).sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_folder(f"{folder}/archives")
