@@ -152,7 +152,7 @@ def _audit_rows(seed):
 def test_divergence_against_sql(spark, sources_tile, terms_tile, size):
     frame = spark.createDataFrame(_audit_rows(5), "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
     want = _oracle(ORACLES["op12_source_divergence"], documents=frame)
-    got = divergence.audit(clashing(frame).withColumn("terms", frame["text"]), vocabulary_bytes=size, sources_tile=sources_tile, terms_tile=terms_tile)
+    got = divergence.audit(clashing(frame).withColumn("terms", frame["text"]), vocabulary_text=size, sources_tile=sources_tile, terms_tile=terms_tile)
     got = got.select("lang", "source", "part", "item", "value", "rank").collect()
     assert sorted(str(tuple(r)) for r in got) == want and any("'term'" in w for w in want)
     assert sum(r["lang"] == "xx" and r["value"] == 0 for r in got) == 2
