@@ -395,7 +395,7 @@ def e30(spark, sf):
 
 
 # ---- detectors that remember
-G1 = ["flow_count", "novelty_score", "burstiness", "outbound_ratio"]
+G1 = st.DRIFT_FEATURES
 
 
 def _g1(c: str) -> str:
@@ -403,11 +403,11 @@ def _g1(c: str) -> str:
 
 
 @query("g01_running_drift", with_("scored", select=f"""
-SELECT app_id, window_bucket, round(CASE WHEN n >= 25 THEN least(1, z / 4 / 5) ELSE 0 END, 6) AS drift_score, CASE WHEN n >= 25 THEN 1 ELSE 0 END AS drift_mature
+SELECT app_id, window_bucket, round(CASE WHEN n >= 25 THEN least(1, z / {len(G1)} / 5) ELSE 0 END, 6) AS drift_score, CASE WHEN n >= 25 THEN 1 ELSE 0 END AS drift_mature
 FROM (SELECT app_id, window_bucket, count(*) OVER p AS n, {' + '.join(_g1(c) for c in G1)} AS z FROM scored
   WINDOW p AS (PARTITION BY app_id ORDER BY window_end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""))
 def g01(spark, sf):
-    return show(st.running_drift(scored(spark, sf), features=G1), [*KEYS, "drift_mature"], ["drift_score"])
+    return show(st.running_drift(scored(spark, sf)), [*KEYS, "drift_mature"], ["drift_score"])
 
 
 @query("g02_beacon_score", with_("flows", select="""

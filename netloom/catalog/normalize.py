@@ -379,11 +379,11 @@ def a32(spark, sf):
 
 @query("a33_export_backfill", with_("flows", select="""
 SELECT flow_id, 'flow' AS kind FROM (SELECT * FROM flows ORDER BY timestamp_end DESC, flow_id DESC LIMIT 400) WHERE timestamp_end > 1706000000000
-UNION ALL SELECT flow_id, 'alert' FROM (SELECT * FROM flows WHERE label = 1 ORDER BY timestamp_end DESC, flow_id DESC LIMIT 400) WHERE timestamp_end > 1706000000000 AND k % 2 = 0"""))
+UNION ALL SELECT flow_id, 'alert' FROM (SELECT * FROM flows WHERE label = 1 ORDER BY timestamp_end DESC, flow_id DESC LIMIT 400) WHERE timestamp_end > 1706000000000"""))
 def a33(spark, sf):
     f = flow_view(spark, sf)
     alerts = f.filter("label = 1").select(F.col("flow_id").alias("alert_id"), F.col("flow_id").alias("feature_window_id"),
                                           F.col("timestamp_end").alias("timestamp"), "app_id")
-    windows = f.filter("k % 2 = 0").select(F.col("flow_id").alias("feature_window_id"), "app_id", "bytes_out")
+    windows = f.select(F.col("flow_id").alias("feature_window_id"), "app_id", "bytes_out")
     a, b = writers.export_backfill(f, alerts, windows, 1706000000000, 400)
     return a.select("flow_id", F.lit("flow").alias("kind")).unionByName(b.select(F.col("alert_id").alias("flow_id"), F.lit("alert").alias("kind")))

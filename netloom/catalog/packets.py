@@ -183,10 +183,12 @@ def c12(spark, sf):
     return asm.dns_enrich(p, "ts_ms", "packet_id").select("packet_id", "dns_host", "resolved_host")
 
 
-@query("c13_shard_routing", with_("packets", select=f"SELECT count(DISTINCT {FLOW_KEY}) AS keys, 0 AS split_keys FROM packets"))
+@query("c13_key_totals", with_("packets", select=f"""
+SELECT {FLOW_KEY} AS flow_key, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT app_id) AS apps,
+  min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM packets GROUP BY 1"""))
 def c13(spark, sf):
-    """Every key lands in one partition: what all keyed operators rely on."""
-    p = asm.canonical_flow_key(packet_view(spark, sf)).repartition("flow_key")
-    placed = p.select("flow_key", F.spark_partition_id().alias("part"))
-    homes = placed.groupBy("flow_key").agg(F.countDistinct("part").alias("homes"))
-    return homes.agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("homes") > 1).alias("split_keys"))
+    """Both directions of a conversation add up under one canonical key."""
+    p = asm.canonical_flow_key(packet_view(spark, sf))
+    return p.groupBy("flow_key").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum("bytes").alias("bytes"), F.countDistinct("app_id").alias("apps"),
+        F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))

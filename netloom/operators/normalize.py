@@ -61,7 +61,7 @@ PROFILE_EXTRA = {
     "cicflowmeter": {**_FLOWMETER, "timestamp_end": ["timestamp_start"]},
     "westermo": {"timestamp_end": ["end", "enddate"], "bytes_out": ["sbytessum"], "bytes_in": ["rbytessum"],
                  "packets_out": ["spackets"], "packets_in": ["rpackets"], "dst_ip": ["rips", "raddress"]},
-    "sdncampus": {k: v for k, v in _FLOWMETER.items() if not k.endswith(("psh_rate",))} | {"s_psh_rate": ["psh_flag_count", "fwd_psh_flags"]},
+    "sdncampus": _FLOWMETER,
 }
 PROFILE_FIRST = {"westermo": {"label": ["it_b_label", "nst_b_label", "it_m_label", "nst_m_label"]}}
 ROW_TIME_PROFILE = "sdncampus"
