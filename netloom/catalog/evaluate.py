@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.catalog.base import query, stage
 from netloom.catalog.sql import WINDOW_MS, cte, rounded, with_
+from netloom.functions import constants as K
 from netloom.functions.scalars import r6
 from netloom.operators import evaluate as ev
 from netloom.operators import scoring as sc
@@ -273,15 +274,23 @@ def f17(spark, sf):
 
 SHIFT_COLUMNS = ["flow_count", "byte_rate", "novelty_score", "burstiness", "outbound_ratio", "ttl_gap",
                  "destination_diversity", "mean_duration_ms"]
-SHIFT_SQL = " UNION ALL ".join(
-    f"""SELECT '{c}' AS feature, avg({c}) FILTER (score >= 0.5 AND label = 0) AS e,
-    avg({c}) FILTER (score < 0.5 AND label = 0) AS r, stddev_pop({c}) FILTER (score < 0.5 AND label = 0) AS d FROM scored"""
-    for c in SHIFT_COLUMNS)
+
+
+def shift_sql(columns: list[str], wrong: str = "score >= 0.5 AND label = 0", right: str = "score < 0.5 AND label = 0") -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, avg({c}) FILTER ({wrong}) AS e, avg({c}) FILTER ({right}) AS r,
+    stddev_pop({c}) FILTER ({right}) AS d FROM scored""" for c in columns)
+
+
+def _shift_rows(section: str, wrong: str, right: str) -> str:
+    """The ten features that differ most, of all features of a window."""
+    return f"""SELECT * FROM (SELECT '{section}' AS section, feature AS key, 'standardized_delta' AS metric,
+  round((e - r) / (d + 1e-9), 6) AS value FROM ({shift_sql(K.FEATURES, wrong, right)}) ORDER BY abs((e - r) / (d + 1e-9)) DESC, feature LIMIT 10)"""
 
 
 @query("f18_feature_shifts", with_("scored", select=f"""
 SELECT feature, round(e, 6) AS error_mean, round(r, 6) AS reference_mean, round((e - r) / (d + 1e-9), 6) AS standardized_delta
-FROM ({SHIFT_SQL}) ORDER BY abs((e - r) / (d + 1e-9)) DESC, feature LIMIT 5"""))
+FROM ({shift_sql(SHIFT_COLUMNS)}) ORDER BY abs((e - r) / (d + 1e-9)) DESC, feature LIMIT 5"""))
 def f18(spark, sf):
     s = scored(spark, sf)
     pred = F.col("score") >= 0.5
@@ -519,10 +528,11 @@ UNION ALL SELECT 'groups', "group", metric, round(v, 6) FROM (SELECT "group", un
 UNION ALL SELECT 'false_positives', app_family, 'errors', fp::DOUBLE FROM e WHERE fp > 0
 UNION ALL SELECT 'false_positives', app_family, 'error_rate', round(fp / n::DOUBLE, 6) FROM e WHERE fp > 0
 UNION ALL SELECT 'false_negatives', app_family, 'errors', fn::DOUBLE FROM e WHERE fn > 0
-UNION ALL SELECT 'false_negatives', app_family, 'error_rate', round(fn / n::DOUBLE, 6) FROM e WHERE fn > 0"""))
+UNION ALL SELECT 'false_negatives', app_family, 'error_rate', round(fn / n::DOUBLE, 6) FROM e WHERE fn > 0
+UNION ALL {_shift_rows("false_positives_shift", "score >= 0.5 AND label = 0", "score < 0.5 AND label = 0")}
+UNION ALL {_shift_rows("false_negatives_shift", "score < 0.5 AND label = 1", "score >= 0.5 AND label = 1")}"""))
 def f34(spark, sf):
-    out = ev.error_report(scored(spark, sf), 0.5)
-    return show(out.filter(~F.col("section").endswith("_shift")), ["section", "key", "metric"], ["value"])
+    return show(ev.error_report(scored(spark, sf), 0.5), ["section", "key", "metric"], ["value"])
 
 
 def model_view_rows(spark, sf):
