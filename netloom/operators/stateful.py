@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from netloom.functions.scalars import clip, clip01, flag
 from netloom.plans.fold import fold, fold_stream
 from netloom.plans.ordered import bounded, running, window, with_group
+from netloom.plans.scan import affine, clamp, scan, then_affine, then_clamp
 
 # Features watched by the drift monitor.
 DRIFT_FEATURES = ["flow_count", "total_bytes_out", "total_bytes_in", "mean_packet_size", "outbound_ratio",
@@ -97,23 +98,28 @@ def stabilize(df: DataFrame, required: int = 3, order: list[str] | None = None,
 
 # Smoothing rate and blend of instant and smoothed score.
 ALPHA, INSTANT, SMOOTHED = 0.35, 0.45, 0.55
-MEMORY = 110  # (1 - ALPHA) ** MEMORY is below one part in 1e20: older rows cannot change a double
 
 
 def smooth(df: DataFrame, score: str = "score", name: str = "smoothed", order: list[str] | None = None) -> DataFrame:
-    """Exponential smoothing per app; the first row is taken as it is."""
-    order = order or ORDER
+    """Exponential smoothing per app; the first score is taken as it is. Null scores leave the state alone.
+
+    Each row is the affine map x -> (1 - ALPHA) * x + ALPHA * score; the running composition,
+    applied to the first score of the app, is the smoothed value.
+    """
+    x, seen = F.col(score).cast("double"), F.col(score).isNotNull()
+    maps = affine(F.when(seen, 1.0 - ALPHA).otherwise(1.0), F.when(seen, ALPHA * x).otherwise(0.0), "_ema_")
+    maps |= {"_head": x, "_seen": seen.cast("long")}
 
-    def build(part: DataFrame, keys: list[str]) -> DataFrame:
-        recent = F.collect_list(score).over(window(keys, order).rowsBetween(-MEMORY, 0))
-        ema = F.aggregate(F.slice(recent, 2, MEMORY), F.element_at(recent, 1),
-                          lambda acc, x: ALPHA * x + (1.0 - ALPHA) * acc)
-        first = F.size(recent) == 1
-        return part.withColumns({
-            "ema": ema,
-            name: F.when(first, F.col(score)).otherwise(clip01(INSTANT * F.col(score) + SMOOTHED * ema))})
+    def compose(first: dict, second: dict) -> dict:
+        return then_affine(first, second, "_ema_") | {
+            "_head": F.coalesce(first["_head"], second["_head"]), "_seen": first["_seen"] + second["_seen"]}
 
-    return bounded(df, ["app_id"], order, MEMORY, build)
+    out = scan(df, ["app_id"], order or ORDER, maps, compose)
+    ema = F.col("_ema_factor") * F.col("_head") + F.col("_ema_offset")
+    return out.withColumns({
+        "ema": ema,
+        name: F.when(F.col("_seen") <= 1, F.col(score)).otherwise(clip01(INSTANT * F.col(score) + SMOOTHED * ema))}).drop(
+        *maps)
 
 
 # Statistical detector inputs (window column -> feature) and weights.
@@ -448,21 +454,41 @@ FEEDBACK_UP, FEEDBACK_DOWN = 0.02, 0.01
 CEILINGS, FLOORS = (0.90, 0.95, 0.99), (0.02, 0.05, 0.15)
 
 
-def threshold_step(state: dict, row: dict) -> tuple:
-    low, medium, high = state.setdefault("t", (row["low"], row["medium"], row["high"]))
-    if row["triage_status"] == "FALSE_POSITIVE":
-        low, medium, high = (min(c, v + FEEDBACK_UP) for c, v in zip(CEILINGS, (low, medium, high)))
-    elif row["triage_status"] == "RESOLVED":
-        low, medium, high = (max(c, v - FEEDBACK_DOWN) for c, v in zip(FLOORS, (low, medium, high)))
-    low = min(1.0, max(0.0, low))
-    medium = min(1.0, max(low, medium))
-    state["t"] = low, medium, min(1.0, max(medium, high))
-    return state["t"]
-
-
-def feedback_thresholds(triage: DataFrame, defaults: dict[str, float], order: list[str]) -> DataFrame:
-    """Thresholds of the app after each triage event, in order."""
-    start = triage.withColumns({n: F.lit(float(defaults[n])) for n in ("low", "medium", "high")})
-    return fold(start, ["app_id"], order, ["triage_status", "low", "medium", "high"],
-                "low_after double, medium_after double, high_after double", dict, threshold_step).drop(
-        "low", "medium", "high")
+LEVELS = ("low", "medium", "high")
+
+
+def threshold_step(state: tuple[float, float, float], status: str | None) -> tuple[float, float, float]:
+    """The three thresholds after one triage event."""
+    if status == "FALSE_POSITIVE":
+        state = tuple(min(c, v + FEEDBACK_UP) for c, v in zip(CEILINGS, state))
+    elif status == "RESOLVED":
+        state = tuple(max(f, v - FEEDBACK_DOWN) for f, v in zip(FLOORS, state))
+    low = min(1.0, max(0.0, state[0]))
+    medium = min(1.0, max(low, state[1]))
+    return low, medium, min(1.0, max(medium, state[2]))
+
+
+def feedback_thresholds(triage: DataFrame, defaults: dict[str, float], order: list[str],
+                        ranges: int | None = None) -> DataFrame:
+    """Thresholds of the app after each triage event, in order.
+
+    The first event puts the thresholds in order and into [0, 1]. From then on every step keeps
+    their order (steps are equal, floors and ceilings ascend), so each one is a walk of its own
+    and an event is a clamp: a running composition of clamps gives all rows.
+    """
+    start = tuple(float(defaults[n]) for n in LEVELS)
+    status = F.col("triage_status")
+    up, down = status == "FALSE_POSITIVE", status == "RESOLVED"
+    maps, first = {}, {}
+    after = {s: threshold_step(start, s) for s in ("FALSE_POSITIVE", "RESOLVED", None)}
+    for i, n in enumerate(LEVELS):
+        shift = F.when(up, FEEDBACK_UP).when(down, -FEEDBACK_DOWN).otherwise(0.0)
+        maps |= clamp(shift, F.when(down, FLOORS[i]).otherwise(0.0), F.when(up, CEILINGS[i]).otherwise(1.0), f"_{n}_")
+        value = F.when(up, after["FALSE_POSITIVE"][i]).when(down, after["RESOLVED"][i]).otherwise(after[None][i])
+        first |= clamp(F.lit(0.0), value, value, f"_{n}_")
+
+    def compose(one: dict, two: dict) -> dict:
+        return {k: v for n in LEVELS for k, v in then_clamp(one, two, f"_{n}_").items()}
+
+    out = scan(triage, ["app_id"], order, maps, compose, first, ranges)
+    return out.withColumns({f"{n}_after": F.col(f"_{n}_floor") for n in LEVELS}).drop(*maps)
