@@ -1,10 +1,13 @@
 """Line deduplication over levelled sorted runs of line digests.
 
-Each batch of documents adds one sorted run of (digest, documents holding the line, largest
-document holding it). When a level has ``fanout`` runs they are merged into one run of the next
-level, so a batch meets a logarithmic number of runs. ``unseen`` merge-anti-joins new lines with
-the runs (keep-first, for incremental feeds); ``drop_repeated`` applies the corpus rule: lines
-found in at least ``min_docs`` documents stay only in the largest document holding them.
+Each batch of documents is combined to one row per digest (documents holding the line, largest
+document holding it) and merge-joined with the runs. Digests that no run holds enter as the batch's
+own sorted run; known digests go to a log of updates, so a digest is in one run only. When a level
+has ``fanout`` runs they are merged into one run of the next level, so a batch meets a logarithmic
+number of runs. ``unseen`` is the anti-join alone (keep-first, for incremental feeds);
+``drop_repeated`` applies the corpus rule: lines found in at least ``min_docs`` documents stay only
+in the largest document holding them. A stored corpus is read in ``batches`` equal parts whatever
+its size: each part reads the runs of all earlier ones, so more parts would cost their square.
 
 Defined results: a null or empty text is one empty line. Lines are compared by a key (white
 space stripped, A-Z lower-cased); keys below ``min_chars`` code points are never dropped. All
@@ -39,47 +42,58 @@ def _lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """Sorted runs in the shared folder: (digest, n_docs, keep_doc)."""
+    """Sorted runs in the shared folder: (digest, n_docs, keep_doc); a digest is in one run."""
+
+    SCHEMA = "digest binary, n_docs bigint, keep_doc bigint"
 
     def __init__(self, spark: SparkSession, fanout: int = 4, folder: str | None = None):
         self.spark, self.fanout = spark, fanout
         self.folder = folder or f"{shared_dir(spark).rstrip('/')}/netloom-lines-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
+        self.updates: list[str] = []
+
+    def _read(self, paths: list[str], known: bool) -> DataFrame:
+        out = self.spark.createDataFrame([], self.SCHEMA)
+        for path in paths:
+            rows = self.spark.read.schema(f"{self.SCHEMA}, known boolean").parquet(path)
+            out = out.unionByName(rows.filter(F.col("known") == known).drop("known"))
+        return out
+
+    def _runs(self) -> list[str]:
+        return [p for level in reversed(self.levels) for p in level]
 
-    def _store(self, run: DataFrame, level: int) -> None:
+    def _store(self, run: DataFrame, level: int) -> str:
         path = f"{self.folder}/level={level}/{uuid.uuid4().hex}"
-        run.sortWithinPartitions("digest").write.parquet(path)
+        run.sortWithinPartitions("known", "digest").write.partitionBy("known").parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._merged(self.levels[level])
+            merged = self._read(self.levels[level], known=False).repartitionByRange("digest")
             self.levels[level] = []
-            self._store(merged, level + 1)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths).groupBy("digest").agg(
-            F.sum("n_docs").alias("n_docs"), F.max("keep_doc").alias("keep_doc"))
-
-    SCHEMA = "digest binary, n_docs bigint, keep_doc bigint"
+            self._store(merged.withColumn("known", F.lit(False)), level + 1)
+        return path
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch of distinct (digest, row key, doc_id)."""
-        self._store(lines.groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"),
-                                                F.max("doc_id").cast("bigint").alias("keep_doc")), 0)
+        """Add a batch of distinct (digest, row key, doc_id): new digests as a run, known ones as updates."""
+        own = lines.groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"),
+                                          F.max("doc_id").cast("bigint").alias("keep_doc"))
+        known = F.lit(False)
+        if self._runs():
+            held = self._read(self._runs(), known=False).select(F.col("digest").alias("held"))
+            own = own.join(held.hint("merge"), F.col("digest") == F.col("held"), "left")
+            known = F.col("held").isNotNull()
+        self.updates.append(self._store(own.withColumn("known", known).drop("held"), 0))
 
     def totals(self) -> DataFrame:
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self._merged(paths)
+        every = self._read(self._runs(), known=False).unionByName(self._read(self.updates, known=True))
+        return every.groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), F.max("keep_doc").alias("keep_doc"))
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """Lines whose digest no run holds, level by level from the largest run down."""
-        for level in reversed(self.levels):
-            for path in level:
-                run = self.spark.read.schema(self.SCHEMA).parquet(path).select("digest")
-                lines = lines.join(run.hint("merge"), "digest", "left_anti")
+        for path in self._runs():
+            run = self._read([path], known=False).select("digest")
+            lines = lines.join(run.hint("merge"), "digest", "left_anti")
         return lines
 
 

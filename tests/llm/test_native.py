@@ -139,3 +139,16 @@ def test_lines_levels_and_unseen(spark):
     assert fresh == [1, 1, 1, 1, 0]
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert {(r.n_docs, r.keep_doc) for r in runs.totals().collect()} == {(10, 40), (5, 41), (3, 42), (2, 43)}
+
+
+def test_lines_are_in_one_run(spark):
+    """Known lines update, unknown ones enter: no digest is in two runs, and all batches are counted."""
+    runs = lines.LineRuns(spark, fanout=3)
+    for b in range(5):
+        rows = [(10 * b + i, f"line number {i * (b + 1) % 7} of a corpus\nline of batch {b} alone, row {i}") for i in range(6)]
+        runs.add(lines.line_rows(docs(spark, rows)).select("digest", "row", "doc_id").distinct())
+    held = runs._read(runs._runs(), known=False)
+    assert held.count() == held.select("digest").distinct().count() == 7 + 30
+    assert runs._read(runs.updates, known=True).count() > 0
+    assert sorted(r.n_docs for r in runs.totals().collect())[:30] == [1] * 30
+    assert runs.totals().selectExpr("sum(n_docs)").first()[0] == 60
