@@ -53,7 +53,7 @@ class LineRuns:
         self.updates: list[str] = []
 
     def _read(self, paths: list[str], known: bool) -> DataFrame:
-        out = self.spark.createDataFrame([], self.SCHEMA)
+        out = self.spark.range(0).selectExpr("cast(null AS binary) AS digest", "id AS n_docs", "id AS keep_doc")
         for path in paths:
             rows = self.spark.read.schema(f"{self.SCHEMA}, known boolean").parquet(path)
             out = out.unionByName(rows.filter(F.col("known") == known).drop("known"))
