@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from netloom.functions import constants as K
 from netloom.functions.scalars import clip, clip01, flag, ratio
 from netloom.operators.flows import app_family, prepare_flows
-from netloom.plans.ordered import bounded, exact_quantiles, is_hot, window, with_group
+from netloom.plans.ordered import window
 from netloom.plans.panes import with_history
 
 KEYS = ["app_id", "window_bucket"]
+#: The same keys without nulls, so that all pieces of a window are joined on one partitioning.
+GROUP = ["_app", "_none", "window_bucket"]
 ORDER = ["timestamp_end", "flow_id"]
+SLICES = 64  # of a window, in time
 #: Windows of an application are dealt out by day where each looks at a few before it.
 HISTORY_PANE_MS = 86_400_000
 
@@ -36,85 +39,113 @@ def _sum_columns() -> dict[str, Column]:
         "duration_jitter": F.stddev_pop("duration_ms"),
         "small_flow_ratio": F.avg("small_flow"),
         "high_port_ratio": F.avg("high_port"),
-        # Ports and protocols have small fixed domains, so these sets stay small.
-        "_ports": F.size(F.collect_set("dst_port")),
-        "_protocols": F.size(F.collect_set("protocol")),
-        "_profiles": F.size(F.collect_set(F.concat_ws(":", "protocol", "dst_port"))),
         **{mean: F.avg(c) for c, mean in K.FLAG_MEANS.items()},
         **{c: F.avg(c) for c in K.TRANSPORT_MEANS},
         "label": F.max("label"),
     }
 
 
-def _steps(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Previous destination and interval inside a window."""
-    w = window(keys, ORDER)
-    return df.withColumns({
+def _named(df: DataFrame) -> DataFrame:
+    """Distinct values and most frequent ones: all text columns counted in one long table."""
+    kinds = {"dest": F.col("destination_key"), "port": F.col("dst_port").cast("string"), "protocol": F.col("protocol"),
+             "profile": F.concat_ws(":", "protocol", "dst_port"), **{c: F.col(c) for c in K.PROVENANCE}}
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in kinds.items()])
+    counts = df.select(*GROUP, F.inline(pairs)).groupBy(*GROUP, "name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+    def of(name: str, value: Column) -> Column:
+        return F.when((F.col("name") == name) & F.col("value").isNotNull(), value)
+
+    best = F.struct((-F.col("n")).alias("n"), F.col("value").alias("v"))  # equal counts: the smaller value
+    return counts.groupBy(*GROUP).agg(
+        F.count(of("dest", F.lit(1))).cast("double").alias("_dests"), F.max(of("dest", F.col("n"))).alias("_top_dest"),
+        *[F.count(of(n, F.lit(1))).alias(f"_{n}s") for n in ("port", "protocol", "profile")],
+        *[F.min(of(c, best))["v"].alias(c) for c in K.PROVENANCE])
+
+
+def _moves(df: DataFrame, window_ms: int) -> DataFrame:
+    """Previous destination and interval inside a window, as counts and sums per transition.
+
+    Rows are ordered in slices of the window; the last row of each slice is also put before the
+    next one that holds rows, so a busy window is spread and its order stays whole.
+    """
+    rows = df.select(*GROUP, *ORDER, "destination_key", F.lit(True).alias("_own"),
+                     F.expr(f"timestamp_end div {max(1, int(window_ms) // SLICES)}L").alias("_slice"))
+    last = rows.groupBy(*GROUP, "_slice").agg(F.max(F.struct(*ORDER, "destination_key")).alias("_l"))
+    following = F.lead("_slice").over(Window.partitionBy(*GROUP).orderBy("_slice"))
+    carried = last.select(*GROUP, "_l.*", F.lit(False).alias("_own"), following.alias("_slice")).filter("_slice IS NOT NULL")
+    w = window([*GROUP, "_slice"], ORDER)
+    steps = rows.unionByName(carried).withColumns({
         "_prev": F.lag("destination_key").over(w),
-        "_delta": (F.col("timestamp_end") - F.lag("timestamp_end").over(w)) / 1000.0,
-    })
-
-
-def _step_columns() -> dict[str, Column]:
-    return {
-        "_switches": F.coalesce(F.sum(flag(F.col("_prev") != F.col("destination_key"))), F.lit(0.0)),
-        "_intervals": F.count("_delta"),
-        "_gap_mean": F.avg("_delta"),
-        "_gap_std": F.stddev_pop("_delta"),
-    }
-
-
-def _transition() -> Column:
-    return F.concat_ws("->", "_prev", "destination_key")
-
-
-def _one_exchange(df: DataFrame) -> DataFrame:
-    """Every window fits one task: all windows and the group-by share one shuffle."""
-    whole = Window.partitionBy(*KEYS)
-    per_dest = Window.partitionBy(*KEYS, "destination_key")
-    first = F.row_number().over(per_dest.orderBy(*ORDER)) == 1
-    rows = _steps(df, KEYS).withColumn("_step", F.when(F.col("_prev").isNotNull(), _transition()))
-    rows = rows.withColumns({
-        "_mean_bytes": F.avg("total_bytes").over(whole),
-        "_dest_rows": F.count(F.lit(1)).over(per_dest),
-        "_dest_first": flag(first),
-        "_n_steps": F.count("_step").over(whole),
-        "_step_rows": F.count("_step").over(Window.partitionBy(*KEYS, "_step")),
-    })
-    share = F.when(F.col("_step").isNotNull(), F.col("_step_rows") / F.col("_n_steps"))
-    iqr = F.percentile("total_bytes", F.array(F.lit(0.25), F.lit(0.75)))
-    return rows.groupBy(*KEYS).agg(
-        *[c.alias(n) for n, c in {**_sum_columns(), **_step_columns()}.items()],
-        F.sum(F.abs(F.col("total_bytes") - F.col("_mean_bytes"))).alias("_abs_dev"),
-        F.sum("_dest_first").alias("_dests"),
-        F.max("_dest_rows").alias("_top_dest"),
-        F.sum(F.when(F.col("_step").isNotNull(), -F.log(share) / F.col("_n_steps"))).alias("_entropy"),
-        F.sum(F.when(F.col("_step").isNotNull(), 1.0 / F.col("_step_rows"))).alias("_step_kinds"),
-        iqr.alias("_q"),
-        *[F.mode(c, True).alias(c) for c in K.PROVENANCE],
-    ).withColumn("flow_size_iqr", F.col("_q")[1] - F.col("_q")[0]).drop("_q")
-
-
-def _decomposed(df: DataFrame) -> DataFrame:
-    """Some window is too large for one task: pieces that aggregate partially, joined per window."""
-    sums = df.groupBy(*KEYS).agg(*[c.alias(n) for n, c in _sum_columns().items()])
-    dests = df.groupBy(*KEYS, "destination_key").count().groupBy(*KEYS).agg(
-        F.count(F.lit(1)).cast("double").alias("_dests"), F.max("count").alias("_top_dest"))
-    spread = with_group(df, KEYS, _mean_bytes=F.avg("total_bytes")).groupBy(*KEYS).agg(
-        F.sum(F.abs(F.col("total_bytes") - F.col("_mean_bytes"))).alias("_abs_dev"))
-    steps = bounded(df.select(*KEYS, *ORDER, "destination_key"), KEYS, ORDER, 1, _steps)
-    moves = steps.groupBy(*KEYS).agg(*[c.alias(n) for n, c in _step_columns().items()])
-    kinds = steps.filter(F.col("_prev").isNotNull()).groupBy(*KEYS, _transition().alias("_step")).count()
-    kinds = kinds.groupBy(*KEYS).agg(
-        F.sum("count").alias("_n"), F.count(F.lit(1)).cast("double").alias("_step_kinds"),
-        F.sum(F.col("count") * F.log("count")).alias("_nlogn"))
-    entropy = kinds.select(*KEYS, "_step_kinds", (F.log("_n") - F.col("_nlogn") / F.col("_n")).alias("_entropy"))
-    iqr = exact_quantiles(df, KEYS, "total_bytes", {"_q1": 0.25, "_q3": 0.75}).select(
-        *KEYS, (F.col("_q3") - F.col("_q1")).alias("flow_size_iqr"))
-    out = sums
-    for piece in (dests, spread, moves, entropy, iqr, *[dominant(df, KEYS, c) for c in K.PROVENANCE]):
-        out = out.join(piece, KEYS, "left")
-    return out
+        "_delta": (F.col("timestamp_end") - F.lag("timestamp_end").over(w)).cast("double"),
+    }).filter("_own")
+    kinds = steps.filter("_delta IS NOT NULL").groupBy(*GROUP, "_prev", "destination_key").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_delta").alias("_d"), F.sum(F.col("_delta") * F.col("_delta")).alias("_dd"))
+    n, total, squares = F.sum("_n"), F.sum("_d"), F.sum("_dd")
+    return kinds.groupBy(*GROUP).agg(
+        n.alias("_intervals"), F.count(F.lit(1)).cast("double").alias("_step_kinds"),
+        F.sum(F.when(F.col("_prev") != F.col("destination_key"), F.col("_n")).otherwise(0)).cast("double").alias("_switches"),
+        (total / n).alias("_gap_mean"),
+        (F.sqrt(F.greatest(F.lit(0.0), n * squares - total * total)) / n).alias("_gap_std"),
+        (F.log(n) - F.sum(F.col("_n") * F.log("_n")) / n).alias("_entropy"))
+
+
+def _sizes(df: DataFrame) -> DataFrame:
+    """Mean absolute deviation and quartiles of the flow sizes from counts per distinct size.
+
+    Sizes are cut into slices of about a sixteenth of an octave of e. Slice totals say where the
+    mean and the quartiles lie; only the values of those slices are ordered.
+    """
+    v = F.col("total_bytes")
+    values = df.groupBy(*GROUP, "total_bytes").agg(F.count(F.lit(1)).alias("_n"))
+    values = values.withColumn("_slice", _size_slice(v))
+    slices = values.groupBy(*GROUP, "_slice").agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * v).alias("_sum"))
+    whole = Window.partitionBy(*GROUP)
+    slices = slices.withColumns({
+        "_before": F.sum("_m").over(whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m"),
+        "_total": F.sum("_m").over(whole), "_mean": F.sum("_sum").over(whole) / F.sum("_m").over(whole)})
+    at, middle = F.col("_slice"), _size_slice(F.col("_mean"))
+    places = {f"{side}{q}": f((F.col("_total") - 1) * (q / 100.0)) for q in (25, 75) for side, f in (("lo", F.floor), ("hi", F.ceil))}
+    holds = F.lit(False)
+    for place in places.values():
+        holds = holds | ((F.col("_before") <= place) & (place < F.col("_before") + F.col("_m")))
+    slices = slices.withColumns({
+        "_away": F.when(at < middle, F.col("_m") * F.col("_mean") - F.col("_sum")).when(
+            at > middle, F.col("_sum") - F.col("_m") * F.col("_mean")).otherwise(0.0),
+        "_open": holds | (at == middle), "_middle": at == middle})
+    # A slice that is not opened stands as one row without a value.
+    found = slices.join(values.withColumnsRenamed({c: f"_v_{c}" for c in [*GROUP, "_slice"]}), on=[
+        F.col("_open"), *[F.col(c) == F.col(f"_v_{c}") for c in [*GROUP, "_slice"]]], how="left")
+    spec = window([*GROUP, "_slice"], ["total_bytes"])
+    upto = F.col("_before") + F.sum("_n").over(spec.rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumns({"_upto": upto, "_first": F.row_number().over(spec) == 1})
+
+    def value_at(place: Column) -> Column:
+        return F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place), v))
+
+    near = F.when(F.col("_middle"), F.col("_n") * F.abs(v - F.col("_mean")))
+    out = found.groupBy(*GROUP).agg(
+        F.sum(F.coalesce(near, F.when(F.col("_first"), F.col("_away")), F.lit(0.0))).alias("_abs_dev"),
+        F.max("_total").alias("_total"), *[value_at(place).alias(f"_{n}") for n, place in places.items()])
+
+    def quartile(q: int) -> Column:
+        exact = (F.col("_total") - 1) * (q / 100.0)
+        return F.col(f"_lo{q}") + (F.col(f"_hi{q}") - F.col(f"_lo{q}")) * (exact - F.floor(exact))
+
+    return out.select(*GROUP, "_abs_dev", (quartile(75) - quartile(25)).alias("flow_size_iqr"))
+
+
+def _size_slice(v: Column) -> Column:
+    """A number that never falls as ``v`` grows."""
+    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * 16.0)
+
+
+def _pieces(df: DataFrame, window_ms: int) -> DataFrame:
+    """One row per window from aggregates that combine partially, for windows of any size."""
+    keyed = df.withColumns({"_app": F.coalesce("app_id", F.lit("")), "_none": F.col("app_id").isNull()})
+    out = keyed.groupBy(*GROUP).agg(*[c.alias(n) for n, c in _sum_columns().items()])
+    out = out.join(_named(keyed), GROUP).join(_sizes(keyed), GROUP).join(_moves(keyed, window_ms), GROUP, "left")
+    return out.withColumn("app_id", F.when(~F.col("_none"), F.col("_app"))).fillna(
+        0, ["_switches", "_intervals", "_step_kinds"])
 
 
 def dominant(df: DataFrame, keys: list[str], column: str, default: str | None = None) -> DataFrame:
@@ -160,9 +191,7 @@ def _finish(windows: DataFrame, window_ms: int) -> DataFrame:
 
 def raw_windows(flows: DataFrame, window_ms: int) -> DataFrame:
     """Window features without the baselines that look at earlier windows."""
-    df = bucketed(flows, window_ms)
-    hot = is_hot(df, KEYS)
-    return _finish(_decomposed(df) if hot else _one_exchange(df), window_ms)
+    return _finish(_pieces(bucketed(flows, window_ms), window_ms), window_ms)
 
 
 def feature_windows(flows: DataFrame, window_ms: int = 60_000) -> DataFrame:

@@ -182,11 +182,49 @@ def test_gap_groups_survive_hot_keys(spark):
     assert a == b and max(r[1] for r in a) > 3
 
 
-def test_plain_window_is_one_exchange(spark):
-    flows = flow_view(spark, SF)
-    plan = win._one_exchange(win.bucketed(flows, 86_400_000))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1, plan
-    assert "ReadSchema" in plan
+def jobs_of(spark, build):
+    """(result, number of Spark jobs that building it ran)."""
+    import uuid
+
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "build")
+    try:
+        return build(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_tumbling_windows_have_one_plan_and_no_job_before_the_action(spark):
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    flows = busy_flows(spark, 3_000).withColumns({
+        "app_id": F.when(F.col("flow_id") % 50 == 3, None).otherwise(F.col("app_id")),
+        "bytes_out": F.when(F.col("flow_id") % 11 == 0, -5).otherwise(F.col("bytes_out")),
+        "dst_port": F.when(F.col("flow_id") % 13 == 0, None).otherwise(F.col("dst_port"))})
+    names = ["app_id", "window_bucket", "flow_count", "burstiness", "flow_size_iqr", "destination_diversity", "destination_concentration",
+             "destination_transition_rate", "destination_transition_entropy", "periodic_beacon_score", "port_diversity"]
+    out, jobs = jobs_of(spark, lambda: win.raw_windows(flows, 1_000))
+    assert jobs == 0
+    one = rows(win.raw_windows(flows.coalesce(1), 1_000), *names)
+    assert one == rows(win.raw_windows(flows.repartition(64), 1_000), *names) == rows(out, *names)
+    prepared = win.bucketed(flows, 1_000).select(
+        "app_id", "window_bucket", "timestamp_end", "flow_id", "total_bytes", "destination_key", "dst_port").toPandas()
+    got = {(r[0], r[1]): r[2:] for r in one}
+    groups = prepared.sort_values(["timestamp_end", "flow_id"]).groupby(["app_id", "window_bucket"], dropna=False)
+    assert len(groups) == len(got) and sum(k[0] is None for k in got) > 1
+    for (app, bucket), own in groups:
+        x, d, t = own["total_bytes"].to_numpy(float), list(own["destination_key"]), own["timestamp_end"].to_numpy()
+        n, moves = len(x), list(zip(d, d[1:]))
+        gaps, counts = np.diff(t), Counter(moves)
+        beacon = min(1, max(0, 1 - gaps.std() / gaps.mean())) if n >= 4 and gaps.mean() > 0 else 0.0
+        entropy = -sum(c / len(moves) * math.log(c / len(moves)) for c in counts.values()) / math.log(len(counts)) if len(counts) > 1 else 0.0
+        want = (n, min(4, np.abs(x - x.mean()).mean() / x.mean()), np.quantile(x, 0.75) - np.quantile(x, 0.25), len(set(d)) / n,
+                max(Counter(d).values()) / n, sum(a != b for a, b in moves) / max(1, n - 1), entropy, beacon, own["dst_port"].nunique() / n)
+        assert np.allclose(got[app if isinstance(app, str) else None, bucket], want, atol=2e-6), (app, bucket)
+    assert win.raw_windows(flows.limit(0), 1_000).count() == 0
 
 
 def test_group_limit_in_topk(spark):
