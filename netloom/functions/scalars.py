@@ -103,7 +103,8 @@ def sha(*parts: C) -> Column:
     return F.sha2(F.concat(*[col(p) for p in parts]), 256)
 
 
-def rank_by_hash(seed: int, *cols: C) -> Column:
+def rank_by_hash(seed: int | Column, *cols: C) -> Column:
     """Deterministic pseudo-random order for splits and samples: 60 bits of a digest any engine can repeat."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in cols])
+    start = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    text = F.concat_ws("|", start, *[col(c).cast("string") for c in cols])
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")

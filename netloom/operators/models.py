@@ -18,7 +18,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.functions.scalars import rank_by_hash
 from netloom.operators import evaluate as ev
 from netloom.operators import scoring as sc
 from netloom.operators.privacy import (
@@ -26,7 +25,7 @@ from netloom.operators.privacy import (
 from netloom.operators.sequences import behaviour_bucket, class_holdout, context_bucket, multiclass_metrics, target_frame
 from netloom.operators.splits import group_split
 from netloom.operators.windows import feature_matrix
-from netloom.plans.ordered import exact_quantiles, positions
+from netloom.plans.ordered import exact_quantiles, hash_positions
 from netloom.session import materialize, shared_dir
 
 
@@ -137,7 +136,7 @@ META = ["anomaly_score", "context_score", "tree_score", "score_gap", "risk_flag_
 
 def folds(df: DataFrame, k: int, seed: int = 42, id_col: str = "id") -> DataFrame:
     """Fold number: position in hash order within the label, modulo k."""
-    out = positions(df, ["label"], [rank_by_hash(seed, id_col), F.col(id_col)], "_rn")
+    out = hash_positions(df, ["label"], seed, [id_col])
     return out.withColumn("fold", (F.col("_rn") % k).cast("int")).drop("_rn")
 
 
@@ -370,7 +369,7 @@ def open_world(df: DataFrame, features: list[str], target: str, groups: list[str
                id_col: str = "id") -> DataFrame | None:
     """Hold out classes; call a row unknown when its best known probability is below a calibrated cut."""
     names = df.select(F.col(target).alias("c")).distinct()
-    placed = positions(names, [], [rank_by_hash(seed, "c"), F.col("c")], "_rn")
+    placed = hash_positions(names, [], seed, ["c"])
     n = names.count()
     if n < 4:
         return None

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import constants as K
 from netloom.functions.scalars import C, clip, clip01, col, flag
 from netloom.operators.flows import optional
-from netloom.plans.ordered import key_sizes, running, segment_rows, with_group
+from netloom.plans.ordered import running, with_group
 
 SALT = "netloom"
 ALIASES = {"full": "off", "pseudonymous": "low", "semantic_private": "medium", "semantic-private": "medium"}
@@ -71,52 +71,53 @@ def flow_privacy_view(flows: DataFrame, tier: str, salt: str = SALT) -> DataFram
     return flows.withColumns(out)
 
 
-def _level(rank: Column, buckets: int) -> Column:
-    return F.floor(F.least(rank, F.lit(0.999999)) * buckets) / F.lit(float(max(1, buckets - 1)))
+def _reached(cuts: Column, v: Column, buckets: int) -> Column:
+    """Level of the last cut at or below the value, by binary search over at most ``buckets`` cuts."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, buckets.bit_length())))])
 
+    def step(n: Column, size: Column) -> Column:
+        return F.when(F.get(cuts, n + size - 1)["_from"] <= v, n + size).otherwise(n)
 
-def _rank_levels_small(df: DataFrame, columns: dict[str, Column], buckets: int, by: list[str], ids: bool) -> DataFrame:
-    """Every group fits one task: window ranks of all columns over one shuffle."""
-    whole = Window.partitionBy(*by)
-    out = df.withColumns({f"_v_{n}": F.coalesce(e.cast("double"), F.lit(0.0)) for n, e in columns.items()})
-    levels = {}
-    for n in columns:
-        v = F.col(f"_v_{n}")
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, v))
-        rank = (F.rank().over(whole.orderBy(v)) + (ties - 1) / 2.0) / F.count(F.lit(1)).over(whole)
-        level = (F.floor(F.least(rank, F.lit(0.999999)) * buckets).cast("int") if ids else _level(rank, buckets))
-        levels[n] = F.when(F.min(v).over(whole) < F.max(v).over(whole), level).otherwise(0)
-    return out.withColumns(levels).drop(*[f"_v_{n}" for n in columns])
+    return F.get(cuts, F.aggregate(steps, F.lit(0), step) - 1)["_step"]
 
 
 def rank_levels(df: DataFrame, columns: dict[str, Column], buckets: int, by: list[str] | None = None,
                 ids: bool = False) -> DataFrame:
     """Average percent rank of each expression, cut into levels; a constant group becomes 0.
 
-    Ranks come from one row per distinct value: counts, a running sum over the values, and a
-    join back, so neither a global order nor a large group ends up in one task.
+    One plan whatever the number of columns or rows: the distinct values of all columns form one
+    long table with their counts, prefix sums over its sorted ranges give their ranks, and since a
+    level never falls as the value grows, the smallest value of each level is all that is joined
+    back, one row per group. Nulls count as zero.
     """
     by = by or []
-    if key_sizes(df, by)[0] <= segment_rows(df.sparkSession):
-        return _rank_levels_small(df, columns, buckets, by, ids)
-    out = df
-    for name, expr in columns.items():
-        out = out.withColumn("_v", F.coalesce(expr.cast("double"), F.lit(0.0)))
-        counts = out.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_k"))
-        placed = running(counts, by, ["_v"], {"_upto": F.col("_k")})
-        placed = with_group(placed, by, _all=F.sum("_k"), _kinds=F.count(F.lit(1)))
-        rank = (F.col("_upto") - (F.col("_k") - 1) / 2.0) / F.col("_all")
-        if ids:
-            level = F.floor(F.least(rank, F.lit(0.999999)) * buckets).cast("int")
-        else:
-            level = _level(rank, buckets)
-        levels = placed.select(*[F.col(c).alias(f"_j_{c}") for c in by], F.col("_v").alias("_j_v"),
-                               F.when(F.col("_kinds") > 1, level).otherwise(0).alias(name))
-        cond = F.col("_v") == F.col("_j_v")
-        for c in by:
-            cond = cond & F.col(c).eqNullSafe(F.col(f"_j_{c}"))
-        out = out.drop(name).join(levels, cond, "left").drop("_v", "_j_v", *[f"_j_{c}" for c in by])
-    return out
+    groups = [f"_g_{c}" for c in by]
+    values = {f"_v_{i}": F.coalesce(e.cast("double"), F.lit(0.0)) for i, e in enumerate(columns.values())}
+    out = df.withColumns(values)
+    pairs = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(v).alias("_v")) for i, v in enumerate(values)])
+    keys = [*groups, "_c"]
+    counts = out.select(*[F.col(c).alias(g) for c, g in zip(by, groups)], F.inline(pairs)).groupBy(*keys, "_v").agg(
+        F.count(F.lit(1)).alias("_k"))
+    placed = running(counts, keys, ["_v"], {"_upto": F.col("_k")}, probe=False)
+    placed = with_group(placed, keys, _all=F.sum("_k"), _kinds=F.count(F.lit(1)))
+    rank = (F.col("_upto") - (F.col("_k") - 1) / 2.0) / F.col("_all")
+    step = F.when(F.col("_kinds") > 1, F.floor(F.least(rank, F.lit(0.999999)) * buckets)).otherwise(0)
+    starts = placed.groupBy(*keys, step.cast("int").alias("_step")).agg(F.min("_v").alias("_from"))
+    starts = starts.groupBy(*groups).agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("_c") == i, F.struct("_from", "_step")))).alias(f"_s_{i}")
+        for i in range(len(columns))])  # at most ``buckets`` entries each
+    if by:
+        cond = F.lit(True)
+        for c, g in zip(by, groups):
+            cond = cond & F.col(c).eqNullSafe(F.col(g))
+        out = out.join(starts, cond, "left")
+    else:
+        out = out.crossJoin(F.broadcast(starts))  # one row
+    levels = {}
+    for i, name in enumerate(columns):
+        level = _reached(F.col(f"_s_{i}"), F.col(f"_v_{i}"), buckets)
+        levels[name] = level if ids else level / F.lit(float(max(1, buckets - 1)))
+    return out.withColumns(levels).drop(*values, *groups, *[f"_s_{i}" for i in range(len(columns))])
 
 
 def rank_quantize(df: DataFrame, column: str, buckets: int, by: list[str] | None = None, log: bool = False,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions.scalars import C, clip, clip01, col, flag, rank_by_hash
 from netloom.operators.privacy import rank_levels
 from netloom.operators.splits import split_columns
-from netloom.plans.ordered import bounded, positions, running, window, with_group
+from netloom.plans.ordered import bounded, hash_positions, positions, running, window, with_group
 
 ORDER = ["timestamp_end", "flow_id"]
 GROUP = ["app_id", "dataset_source", "environment_id", "session_id"]
@@ -145,7 +145,7 @@ def class_holdout(df: DataFrame, target: str, groups: list[str], frac: float = 0
     anyone = placed.groupBy(F.col(target).alias("_t2")).agg(F.max(test.cast("int")).alias("_any"))
     out = base.join(side, (F.col(target) == F.col("_t")) & (F.col("_g") == F.col("_h")), "left").join(
         anyone, F.col(target) == F.col("_t2"), "left")
-    out = positions(out, [target], [rank_by_hash(seed, id_col), F.col(id_col)], "_rn")
+    out = hash_positions(out, [target], seed, [id_col])
     by_row = F.col("_rn") <= F.least(want, F.col("_class") - 1)
     chosen = F.when(F.col("_any") == 1, F.col("_test")).otherwise(by_row)
     out = out.filter(F.col("_class") >= 2).withColumn("split", F.when(chosen, "test").otherwise("train"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.functions.scalars import C, clip, rank_by_hash
+from netloom.functions.scalars import C, clip
 from netloom.operators.flows import app_family
-from netloom.plans.ordered import positions, running, with_group
+from netloom.plans.ordered import hash_positions, positions, with_group
+from netloom.session import materialize
 
 FOLD_MS = 14_400_000  # four hours
 
@@ -57,8 +58,7 @@ def group_keys(df: DataFrame, id_col: str = "id", strategies: list[str] | None =
 def assign_groups(df: DataFrame, key: str, frac: float, seed: int, name: str = "split") -> DataFrame:
     """Test side: the first groups in hash order, as many as make up ``frac`` of the groups."""
     groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    placed = positions(groups, [], [rank_by_hash(seed, key), F.col(key)], "_rn")
-    placed = with_group(placed, [], _groups=F.count(F.lit(1)))
+    placed = with_group(hash_positions(groups, [], seed, [key]), [], _groups=F.count(F.lit(1)))
     test = F.col("_rn") <= F.greatest(F.lit(1), F.ceil(F.col("_groups") * frac))
     side = placed.select(F.col(key).alias("_k"), F.when(test, "test").otherwise("train").alias(name))
     return df.join(side, df[key].eqNullSafe(F.col("_k")), "left").drop("_k")
@@ -67,32 +67,51 @@ def assign_groups(df: DataFrame, key: str, frac: float, seed: int, name: str = "
 def stratified(df: DataFrame, frac: float, seed: int, id_col: str = "id", label: str = "label",
                name: str = "split") -> DataFrame:
     """Per label, the first rows in hash order are the test side."""
-    placed = positions(df, [label], [rank_by_hash(seed, id_col), F.col(id_col)], "_rn")
-    placed = with_group(placed, [label], _n=F.count(F.lit(1)))
+    placed = with_group(hash_positions(df, [label], seed, [id_col]), [label], _n=F.count(F.lit(1)))
     test = F.col("_rn") <= F.round(F.col("_n") * frac)
     return placed.withColumn(name, F.when(test, "test").otherwise("train")).drop("_rn", "_n")
 
 
-def _both_sides(df: DataFrame, label: str, name: str) -> bool:
-    """Two classes on each side? Four counts, whatever the table's size."""
-    sides = df.groupBy(name).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).collect()
-    return len(sides) == 2 and all(r["lo"] != r["hi"] for r in sides)
+def group_sides(df: DataFrame, names: list[str], frac: float, seed: int, id_col: str, label: str, tries: int) -> DataFrame:
+    """Side of every group under every strategy and try: place, attempt, key, side, lo, hi, groups.
+
+    The rows are read once and combined to one row per (strategy, group) with its smallest and
+    largest label; all tries are hash orders of those.
+    """
+    keyed = group_keys(df, id_col, names)
+    pairs = F.array(*[F.struct(F.lit(i).alias("place"), F.col(f"key_{n}").alias("key")) for i, n in enumerate(names)])
+    groups = keyed.select(F.col(label).alias("label"), F.inline(pairs)).groupBy("place", "key").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"))
+    groups = groups.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    by = ["place", "attempt"]
+    placed = hash_positions(groups, by, F.lit(seed) + F.col("attempt"), ["key"])
+    placed = with_group(placed, by, groups=F.count(F.lit(1)))
+    test = F.col("_rn") <= F.greatest(F.lit(1), F.ceil(F.col("groups") * frac))
+    return placed.withColumn("side", F.when(test, "test").otherwise("train")).drop("_rn")
 
 
 def group_split(df: DataFrame, strategy: str | None = None, frac: float = 0.25, seed: int = 42,
                 id_col: str = "id", label: str = "label", tries: int = 3) -> tuple[DataFrame, str]:
-    """(rows with ``split``, strategy used): the first strategy whose sides both hold two classes."""
+    """(rows with ``split``, strategy used): the first strategy whose sides both hold two classes.
+
+    The sides of all groups are stored; one row of them, the first strategy and try that will do,
+    decides. The number of jobs does not depend on the strategies or tries.
+    """
     wanted = [strategy] if strategy else []
-    order = [*wanted, *[s for s in STRATEGIES if s not in wanted]]
-    for s in order:
-        keyed = group_keys(df, id_col, [s])
-        if keyed.select(f"key_{s}").distinct().limit(2).count() < 2:
-            continue
-        for attempt in range(tries):
-            out = assign_groups(keyed, f"key_{s}", frac, seed + attempt)
-            if _both_sides(out, label, "split"):
-                return out.drop(f"key_{s}"), s
-    return stratified(split_columns(df), frac, seed, id_col, label), "stratified_random_fallback"
+    names = [*wanted, *[s for s in STRATEGIES if s not in wanted]]
+    sides = materialize(group_sides(df, names, frac, seed, id_col, label, tries), "sides")
+    by = ["place", "attempt"]
+    per_side = sides.groupBy(*by, "side").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("groups").alias("groups"))
+    good = per_side.groupBy(*by).agg(
+        F.count_if((F.col("lo") != F.col("hi")) & (F.col("groups") >= 2)).alias("mixed")).filter("mixed = 2")
+    first = good.orderBy(*by).first()
+    if first is None:
+        return stratified(split_columns(df), frac, seed, id_col, label), "stratified_random_fallback"
+    used, key = names[first["place"]], f"key_{names[first['place']]}"
+    chosen = sides.filter((F.col("place") == first["place"]) & (F.col("attempt") == first["attempt"]))
+    chosen = chosen.select(F.col("key").alias("_k"), F.col("side").alias("split"))
+    out = group_keys(df, id_col, [used])
+    return out.join(chosen, out[key] == F.col("_k"), "left").drop("_k", key), used
 
 
 def nested_split(df: DataFrame, outer: float = 0.25, inner: float = 0.25, seed: int = 42, **kw):
@@ -124,7 +143,7 @@ def sample_by(df: DataFrame, key: str, n: int, seed: int = 42, id_col: str = "id
     """Exactly n rows (or all), shared over the key's values by their size, chosen by hash."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     share = quotas(counts, n, key).select(F.col(key).alias("_k"), "quota")
-    placed = positions(df, [key], [rank_by_hash(seed, id_col), F.col(id_col)], "_rn")
+    placed = hash_positions(df, [key], seed, [id_col])
     out = placed.join(share, placed[key].eqNullSafe(F.col("_k")), "left")
     return out.filter(F.col("_rn") <= F.col("quota")).drop("_rn", "_k", "quota")
 
@@ -155,11 +174,11 @@ def sample_flows(df: DataFrame, n: int, seed: int = 42, id_col: str = "flow_id")
 def sample(df: DataFrame, mode: str, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
     """``natural`` (any n rows), ``balanced`` (equal shares of the labels) or ``source_label``."""
     if mode == "natural":
-        placed = positions(df, [], [rank_by_hash(seed, id_col), F.col(id_col)], "_rn")
+        placed = hash_positions(df, [], seed, [id_col])
         return placed.filter(F.col("_rn") <= n).drop("_rn")
     if mode == "balanced":
         kinds = max(1, df.select("label").distinct().count())
-        placed = positions(df, ["label"], [rank_by_hash(seed, id_col), F.col(id_col)], "_rn")
+        placed = hash_positions(df, ["label"], seed, [id_col])
         return placed.filter(F.col("_rn") <= max(1, n // kinds)).drop("_rn")
     if mode == "source_label":
         keyed = df.withColumn("_sl", F.concat_ws("|", "dataset_source", F.col("label").cast("string")))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from netloom.functions.scalars import rank_by_hash
 from netloom.session import materialize
 
 SEGMENT_SETTING = "spark.netloom.segmentRows"
@@ -63,10 +64,13 @@ def _columns(keys: list[str], order: list) -> list:
     return [F.col(k) for k in keys] + [o if isinstance(o, Column) else F.col(o) for o in order]
 
 
-def ranges(df: DataFrame, keys: list[str], order: list, total: int) -> DataFrame:
-    """Store df cut into sorted ranges; ``_seg`` numbers them in (keys, order)."""
-    parts = max(2, math.ceil(total / segment_rows(df.sparkSession)))
-    cut = df.repartitionByRange(parts, *_columns(keys, order))
+def ranges(df: DataFrame, keys: list[str], order: list, total: int | None = None) -> DataFrame:
+    """Store df cut into sorted ranges; ``_seg`` numbers them in (keys, order). Without ``total`` Spark sizes them."""
+    by = _columns(keys, order)
+    if total is None:
+        cut = df.repartitionByRange(*by)
+    else:
+        cut = df.repartitionByRange(max(2, math.ceil(total / segment_rows(df.sparkSession))), *by)
     return materialize(cut.withColumn("_seg", F.spark_partition_id()), "ranges")
 
 
@@ -85,11 +89,14 @@ HOW = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def running(df: DataFrame, keys: list[str], order: list, values: dict[str, Column],
-            inclusive: bool = True, how: str = "sum") -> DataFrame:
-    """Add running sums (or minima, maxima) per key in the given total order."""
+            inclusive: bool = True, how: str = "sum", probe: bool = True) -> DataFrame:
+    """Add running sums (or minima, maxima) per key in the given total order.
+
+    Without ``probe`` the table is always cut into ranges, whatever its size.
+    """
     agg = HOW[how]
     frame_end = 0 if inclusive else -1
-    top, total = key_sizes(df, keys)
+    top, total = key_sizes(df, keys) if probe else (None, None)
 
     def settle(c: Column) -> Column:
         return F.coalesce(c, F.lit(0)) if how == "sum" else c
@@ -98,7 +105,7 @@ def running(df: DataFrame, keys: list[str], order: list, values: dict[str, Colum
         w = window(names, order).rowsBetween(Window.unboundedPreceding, frame_end)
         return {n: agg(c).over(w) for n, c in values.items()}
 
-    if top <= segment_rows(df.sparkSession):
+    if probe and top <= segment_rows(df.sparkSession):
         return df.withColumns({n: settle(c) for n, c in within(keys).items()})
     cut = ranges(df, keys, order, total)
     before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,6 +126,25 @@ def positions(df: DataFrame, keys: list[str], order: list, name: str = "rn") ->
     return running(df, keys, order, {name: F.lit(1).cast("long")})
 
 
+HASH_BITS, SLICE_BITS = 60, 12
+
+
+def hash_positions(df: DataFrame, keys: list[str], seed: int | Column, cols: list[str], name: str = "_rn") -> DataFrame:
+    """row_number per key in the order of ``rank_by_hash`` and then ``cols``: one plan for every size.
+
+    A hash is spread evenly, so its leading bits cut a key of any size into 4096 slices of about the
+    same size. Rows are numbered inside their slice and moved up by the slices before it.
+    """
+    sliced = df.withColumn("_hash", rank_by_hash(seed, *cols)).withColumn(
+        "_seg", F.shiftright("_hash", HASH_BITS - SLICE_BITS))
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sliced.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_n"))
+    prefix = counts.select(*keys, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_p"))
+    placed = sliced.withColumn("_at", F.row_number().over(window([*keys, "_seg"], ["_hash", *cols])))
+    out = _attach(placed, prefix, keys)
+    return out.withColumn(name, F.col("_at") + F.col("_p")).drop("_hash", "_seg", "_at", "_p")
+
+
 def carry_last(df: DataFrame, keys: list[str], order: list, values: dict[str, Column],
                inclusive: bool = False) -> DataFrame:
     """Add the latest non-null value seen before (or at) each row of its key."""

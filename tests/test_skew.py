@@ -176,6 +176,47 @@ def test_ranks_curves_sequences_and_samples(spark):
     assert a == b
 
 
+def test_rank_levels_of_many_columns_against_pandas(spark):
+    import math
+
+    df = skewed(spark, 500).withColumns({
+        "key": F.when(F.col("id") % 41 == 0, None).otherwise(F.col("key")), "one": F.lit(3.0),
+        "u": F.when(F.col("id") % 7 == 0, None).otherwise(-F.col("v") / 3)})
+    for by, buckets, ids in ((None, 5, False), (["key"], 4, False), (["key"], 1000, True)):
+        parts = {"a": F.col("v"), "b": F.col("u"), "c": F.col("one")}
+        got = rows(pv.rank_levels(df.coalesce(1), parts, buckets, by, ids), "id", *parts)
+        assert got == rows(pv.rank_levels(df.repartition(64), parts, buckets, by, ids), "id", *parts)
+        plain = df.toPandas()
+        plain["key"] = plain["key"].fillna("")
+        for i, (name, column) in enumerate({"a": "v", "b": "u", "c": "one"}.items()):
+            v = plain[column].fillna(0.0)
+            groups = plain["key"] if by else v * 0
+            rank = v.groupby(groups).rank(pct=True)
+            kinds = v.groupby(groups).transform("nunique")
+            for j, r, k in zip(plain["id"], rank, kinds):
+                level = math.floor(min(r, 0.999999) * buckets) if k > 1 else 0
+                have = dict((x[0], x[1 + i]) for x in got) if j == plain["id"][0] else have
+                assert abs(have[j] - (level if ids else level / (buckets - 1))) < 1e-5, (by, name, j)
+    assert pv.rank_levels(df.limit(0), {"a": F.col("v")}, 5).count() == 0
+
+
+def test_hash_positions_and_splits_read_the_rows_once(spark):
+    from netloom.functions.scalars import rank_by_hash
+
+    df = skewed(spark, 500).withColumn("key", F.when(F.col("id") % 41 == 0, None).otherwise(F.col("key")))
+    for keys in ([], ["key"]):
+        want = df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(rank_by_hash(7, "id"), "id")))
+        for parts in (1, 64):
+            placed, jobs = jobs_of(spark, lambda: od.hash_positions(df.repartition(parts), keys, 7, ["id"], "rn"))
+            assert jobs == 0 and rows(placed, "id", "rn") == rows(want, "id", "rn")
+    base = df.select("id", (F.col("id") % 2).cast("int").alias("label"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("dataset_source"),
+                     F.lit("e").alias("environment_id"), F.concat(F.lit("x"), (F.col("id") % 20).cast("string")).alias("session_id"),
+                     F.lit("app").alias("app_id"), (F.col("id") * 60_000).alias("window_end_ms"))
+    counts = [jobs_of(spark, lambda t=t, b=b: sp.group_split(b, tries=t))[1] for t, b in (
+        (1, base), (6, base), (6, base.withColumn("label", F.when(F.col("session_id") == "x1", 1).otherwise(0))))]
+    assert max(counts) - min(counts) <= 2, counts  # adaptive plans run each stage as a job, give or take one
+
+
 def test_gap_groups_survive_hot_keys(spark):
     df = skewed(spark).withColumn("ts", F.col("ts") + F.expr("id div 50") * 40)
     a, b = both(spark, lambda: ev.gap_groups(df, ["key"], "ts", "id", 10, "g"), "id", "g")
