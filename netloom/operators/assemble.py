@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.scalars import C, clip01, flag, is_private
 from netloom.operators.evaluate import gap_groups
-from netloom.plans.fold import fold
-from netloom.plans.ordered import bounded, carry_last, first_rows, window
+from netloom.plans.ordered import carry_last, window
+from netloom.session import materialize
 
 IDLE_MS, MAX_MS = 30_000, 20_000
 KEY = ["app_id", "protocol", "flow_key"]
@@ -65,25 +65,67 @@ def assemble_capture(df: DataFrame, extra: list[str] | None = None) -> DataFrame
         "destination_key": F.concat_ws(":", F.coalesce("site_hint", "remote_ip"), "remote_port")})
 
 
-def cut_step(state: dict, row: dict, idle_ms: int, max_ms: int) -> tuple:
-    """Number of the flow a packet belongs to: a new one after max_ms of life or idle_ms of silence."""
-    t = row["ts_ms"]
-    if not state or t >= state["start"] + max_ms or t >= state["last"] + idle_ms:
-        state.update(start=t, n=state.get("n", 0) + 1)
-    state["last"] = t
-    return (state["n"],)
-
-
 def cut_flows(packets: DataFrame, idle_ms: int = IDLE_MS, max_ms: int = MAX_MS) -> DataFrame:
     """Add ``flow_no`` per (app, protocol, key).
 
-    A silence of min(idle, max) always starts a flow, so the key is first split there by a lag;
-    only the packets between such silences need the ordered fold, and they spread over tasks.
+    A silence of min(idle, max) always starts a flow, so the key is first split there by a lag.
+    What is left are life cuts: after a start at s, the first packet at or after s + max_ms starts
+    the next flow. Only runs that last so long need them; see ``_life_starts``.
     """
-    runs = gap_groups(packets, KEY, "ts_ms", "packet_id", min(idle_ms, max_ms) - 1, "run_no")
-    return fold(runs, [*KEY, "run_no"], ORDER, ["ts_ms"], "cut_no long", dict,
-                lambda state, row: cut_step(state, row, idle_ms, max_ms)).withColumn(
-        "flow_no", F.concat_ws("-", "run_no", "cut_no"))
+    run = [*KEY, "run_no"]
+    runs = materialize(gap_groups(packets, KEY, "ts_ms", "packet_id", min(idle_ms, max_ms) - 1, "run_no"), "runs")
+    spans = runs.groupBy(*run).agg(F.min("ts_ms").alias("_from"), F.max("ts_ms").alias("_to"))
+    spans = spans.filter(F.col("_to") - F.col("_from") >= max_ms).drop("_to")
+    spans = spans.select(*[F.col(c).alias(f"_s_{c}") for c in run], "_from", F.monotonically_increasing_id().alias("_run"))
+    spans = materialize(spans, "long-runs")
+    same = F.lit(True)
+    for c in run:
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    rows = runs.join(spans, same, "left").drop(*[f"_s_{c}" for c in run])
+    rows = rows.withColumn("_at", F.col("ts_ms") - F.col("_from")).withColumn("_pane", F.expr(f"_at div {int(max_ms)}L"))
+    starts = _life_starts(rows.filter("_run IS NOT NULL").select("_run", "_pane", "_at").distinct(), max_ms)
+    starts = starts.select(F.col("_run").alias("_r"), F.col("_pane").alias("_p"), "_start", "_earlier")
+    out = rows.join(starts, (F.col("_run") == F.col("_r")) & (F.col("_pane") == F.col("_p")), "left")
+    own = F.when(F.col("_at") >= F.col("_start"), 1).otherwise(0)
+    return out.withColumn("cut_no", F.coalesce(F.col("_earlier") + own, F.lit(1)).cast("long")).withColumn(
+        "flow_no", F.concat_ws("-", "run_no", "cut_no")).drop("_run", "_from", "_at", "_pane", "_r", "_p", "_start", "_earlier")
+
+
+def _life_starts(times: DataFrame, max_ms: int) -> DataFrame:
+    """Flow starts by pane of max_ms: _run, _pane, _start (or null), _earlier (starts in earlier panes).
+
+    ``times`` holds distinct (_run, _pane, _at). Starts are at least max_ms apart, so a pane holds
+    one at most. Each time points to the first one max_ms later, which a sort inside the next pane
+    finds; the starts are what the first time of a run reaches, found by pointer doubling: as many
+    passes as the number of panes of the longest run has bits, over pairs of ids only.
+    """
+    nodes = materialize(times.withColumn("_id", F.monotonically_increasing_id()), "times")
+    along = Window.partitionBy("_run").orderBy("_pane")
+    offset = F.col("_at") - F.col("_pane") * F.lit(int(max_ms))
+    panes = nodes.groupBy("_run", "_pane").agg(F.min_by("_id", "_at").alias("_first"))
+    none = F.lit(None).cast("long")
+    # Where the next pane has no time late enough, the first time after that pane is taken.
+    beyond = F.when(F.lead("_pane").over(along) == F.col("_pane") + 1, F.lead("_first", 2).over(along)).otherwise(
+        F.lead("_first").over(along))
+    ends = panes.select("_run", (F.col("_pane") + 1).alias("_pane"), F.lit(int(max_ms)).cast("long").alias("_off"),
+                        none.alias("_asks"), beyond.alias("_id"))
+    targets = nodes.select("_run", "_pane", offset.alias("_off"), none.alias("_asks"), "_id")
+    probes = nodes.select("_run", (F.col("_pane") + 1).alias("_pane"), offset.alias("_off"), F.col("_id").alias("_asks"),
+                          none.alias("_id"))
+    late_first = Window.partitionBy("_run", "_pane").orderBy(F.desc("_off"), F.col("_asks").isNotNull()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    found = ends.unionByName(targets).unionByName(probes).withColumn("_next", F.last("_id", ignorenulls=True).over(late_first))
+    links = found.filter("_asks IS NOT NULL AND _next IS NOT NULL").select(F.col("_asks").alias("a"), F.col("_next").alias("b"))
+    jumps, longest = [materialize(links, "links")], nodes.agg(F.max("_pane")).first()[0] or 0
+    for _ in range(1, longest.bit_length()):
+        on = jumps[-1].select(F.col("a").alias("b"), F.col("b").alias("c"))
+        jumps.append(materialize(jumps[-1].join(on, "b").select("a", F.col("c").alias("b")), "links"))
+    reached = nodes.filter("_at = 0").select(F.col("_id").alias("a"))
+    for jump in reversed(jumps):  # sums of powers of two: every step of a chain is met once
+        reached = materialize(reached.unionByName(reached.join(jump, "a").select(F.col("b").alias("a"))), "starts")
+    starts = nodes.join(reached, F.col("_id") == F.col("a")).select("_run", "_pane", F.col("_at").alias("_start"))
+    return panes.select("_run", "_pane").join(starts, ["_run", "_pane"], "left").withColumn(
+        "_earlier", F.count("_start").over(along.rowsBetween(Window.unboundedPreceding, -1)))
 
 
 # Evidence fields in the order they are listed.
@@ -107,16 +149,19 @@ def merge_evidence(df: DataFrame, order: list[str] = ORDER) -> dict[str, Column]
 
 
 def packet_steps(packets: DataFrame, keys: list[str]) -> DataFrame:
-    """Positive gap to the previous packet and delay since the last payload packet of the flow."""
-    def gaps(part: DataFrame, names: list[str]) -> DataFrame:
-        before = F.lag("ts_ms").over(window(names, ORDER))
-        return part.withColumn("gap_ms", F.when(F.col("ts_ms") > before, F.col("ts_ms") - before))
+    """Positive gap to the previous packet and delay since the last payload packet of the flow.
 
-    out = bounded(packets, keys, ORDER, 1, gaps)
-    out = carry_last(out, keys, ORDER, {"_paid": F.when(F.col("payload_bytes") > 0, F.col("ts_ms"))})
+    A flow lives for a bounded time, so its packets are ordered in one task; the sort can spill.
+    """
+    w = window(keys, ORDER)
+    before = F.lag("ts_ms").over(w)
+    paid = F.last(F.when(F.col("payload_bytes") > 0, F.col("ts_ms")), ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, -1))
     delay = F.col("ts_ms") - F.col("_paid")
     acked = (F.col("protocol") == "TCP") & F.col("ack") & (delay >= 0)
-    return out.withColumn("ack_delay_ms", F.when(acked, delay)).drop("_paid")
+    return packets.withColumns({
+        "gap_ms": F.when(F.col("ts_ms") > before, F.col("ts_ms") - before), "_paid": paid,
+    }).withColumn("ack_delay_ms", F.when(acked, delay)).drop("_paid")
 
 
 def finalize_flows(cut: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from common import SF, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from netloom.operators import assemble as asm
 from netloom.operators import evaluate as ev
 from netloom.operators import privacy as pv
 from netloom.operators import sequences as sq
@@ -217,6 +218,31 @@ def test_hash_positions_and_splits_read_the_rows_once(spark):
     assert max(counts) - min(counts) <= 2, counts  # adaptive plans run each stage as a job, give or take one
 
 
+def test_flow_cut_of_long_runs_against_a_loop(spark):
+    """A key that is never silent, with thousands of flows in one run; a null application; equal times; quiet keys."""
+    i = F.col("id")
+    base = spark.range(9_000).select(
+        i.alias("packet_id"), F.when(i % 90 == 1, None).when(i % 30 == 2, "quiet").otherwise("busy").alias("app_id"), F.lit("TCP").alias("protocol"),
+        F.when(i % 30 == 2, F.concat(F.lit("k"), (i % 7).cast("string"))).otherwise("k").alias("flow_key"),
+        (F.lit(1_000) + i * 3 + F.when(i % 5 == 0, 0).otherwise(i * i % 17) + F.when(i > 6_000, 200).otherwise(0)).alias("ts_ms"))
+    for idle, life in ((30, 20), (15, 100), (2_000, 1_000), (300, 40_000)):
+        cut = asm.cut_flows(base, idle, life)
+        assert "Python" not in cut._jdf.queryExecution().executedPlan().toString()
+        want, state = {}, {}
+        for r in sorted(base.collect(), key=lambda r: (r["ts_ms"], r["packet_id"])):
+            key, t = (r["app_id"], r["flow_key"]), r["ts_ms"]
+            start, last, n = state.get(key, (None, None, 0))
+            if n == 0 or t >= start + life or t >= last + idle:
+                start, n = t, n + 1
+            state[key] = (start, t, n)
+            want.setdefault((*key, n), []).append(r["packet_id"])
+        got = {}
+        for r in cut.select("app_id", "flow_key", "flow_no", "packet_id").collect():
+            got.setdefault((r["app_id"], r["flow_key"], r["flow_no"]), []).append(r["packet_id"])
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())), (idle, life)
+    assert asm.cut_flows(base.limit(0)).count() == 0
+
+
 def test_gap_groups_survive_hot_keys(spark):
     df = skewed(spark).withColumn("ts", F.col("ts") + F.expr("id div 50") * 40)
     a, b = both(spark, lambda: ev.gap_groups(df, ["key"], "ts", "id", 10, "g"), "id", "g")
