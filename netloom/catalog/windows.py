@@ -254,12 +254,13 @@ def b22_baseline(spark, sf):
     return show(sl.sliding_windows(flow_view(spark, sf), 6 * HOUR), ["flow_id"], ["flow_count_deviation"])
 
 
-@query("b27_feature_matrix")
+@query("b27_feature_matrix", with_("windows", select=f"SELECT app_id, window_bucket, {rounded(K.FEATURES)} FROM windows"))
 def b27(spark, sf):
+    """The values of the vector, each under the name of its place."""
     from pyspark.ml.functions import vector_to_array
 
-    m = win.feature_matrix(windows(spark, sf))
-    return m.select(*KEYS, F.size(vector_to_array("features")).alias("width"))
+    m = win.feature_matrix(windows(spark, sf)).select(*KEYS, vector_to_array("features").alias("v"))
+    return m.select(*KEYS, *[r6(F.col("v")[i]).alias(c) for i, c in enumerate(K.FEATURES)])
 
 
 @query("b28_contract_check", with_("base", select="SELECT count(*) AS n_windows FROM base"))
