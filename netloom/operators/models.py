@@ -232,8 +232,13 @@ def protocol_report(df: DataFrame, features: list[str], strategies: list[str], s
 
 
 def cluster_thresholds(df: DataFrame, features: list[str], k: int = 4, seed: int = 42) -> DataFrame:
-    """Per cluster of benign rows: distance to the centroid at 99 and 99.9 percent."""
-    m = feature_matrix(df.filter("label = 0"), features)
+    """Per cluster of benign rows: distance to the centroid at 99 and 99.9 percent.
+
+    Without benign rows all rows are taken, as the reference calibrates on all scores then.
+    """
+    m = materialize(feature_matrix(df, features).select("label", "features"), "clusters")
+    benign = m.filter("label = 0")
+    m = m if benign.isEmpty() else benign
     scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(m).transform(m)
     model = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(scaled)
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
