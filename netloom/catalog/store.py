@@ -71,10 +71,10 @@ def d01(spark, sf):
     a = alerts(spark, sf).withColumn("i", F.substring("alert_id", 7, 20).cast("long"))
     a = a.withColumns({"alert_id": F.concat(F.lit("alert-"), (F.col("i") % 5000).cast("string")),
                        # the larger row id is the later of two equal times
-                       "updated_epoch": F.col("updated_epoch") * 1_000_000 + F.col("i")})
+                       "updated_epoch": F.struct("updated_epoch", "i")})
     a = a.select("alert_id", "severity", "updated_epoch", "created_epoch", "i")
     out = so.upsert(a.filter("i % 2 = 0").drop("i"), a.filter("i % 2 = 1").drop("i"), "alert_id")
-    return out.withColumn("updated_epoch", F.expr("updated_epoch div 1000000"))
+    return out.withColumn("updated_epoch", F.col("updated_epoch.updated_epoch"))
 
 
 @query("d02_list_events", with_("ev", select="""
