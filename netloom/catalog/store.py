@@ -160,7 +160,7 @@ b AS (SELECT *, act > 0 AND {NOW_D} - act <= CASE WHEN last_heartbeat_epoch > 0
 SELECT device_id, CASE WHEN up THEN 1 ELSE 0 END AS online, CASE WHEN up THEN 'online' WHEN act > 0 AND {NOW_D} - act <= 3600 THEN 'recent' ELSE 'stale' END AS status_label,
   CASE greatest(act, last_policy_epoch) WHEN last_flow_epoch THEN 'flow' WHEN last_alert_epoch THEN 'alert' WHEN last_heartbeat_epoch THEN 'heartbeat' ELSE 'policy' END AS activity_source FROM b"""))
 def d06(spark, sf):
-    return so.list_devices(index(spark, sf), metadata(spark, sf), NOW_D, 100000).select("device_id", "online", "status_label", "activity_source")
+    return so.list_devices(index(spark, sf), metadata(spark, sf), NOW_D).select("device_id", "online", "status_label", "activity_source")
 
 
 @query("d07_incidents", with_("al", select="""
