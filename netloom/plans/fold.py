@@ -11,8 +11,14 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Rows that are Python objects at once.
+STEP = 16_384
 
 
 def output_schema(df: DataFrame, added: str) -> T.StructType:
@@ -58,6 +64,7 @@ def fold_stream(df: DataFrame, keys: list[str], order: list[str], inputs: list[s
     schema = output_schema(df, added)
     names = [f.name for f in T._parse_datatype_string(added).fields]
     columns, wanted = schema.names, list(dict.fromkeys([*keys, *inputs]))
+    arrow, df_names = to_arrow_schema(df.schema), df.columns
 
     class Folding(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -65,10 +72,18 @@ def fold_stream(df: DataFrame, keys: list[str], order: list[str], inputs: list[s
 
         def handleInputRows(self, key, rows, timer_values):
             state = pickle.loads(self.saved.get()[0]) if self.saved.exists() else new_state()
-            pdf = pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
-            out = run_batch(pdf, wanted, lambda row: state, step, names)[columns]
+            # The rows of a micro-batch are held as columns, repeated texts once; only a few at a time as Python objects.
+            parts = []
+            for pdf in rows:
+                table = pa.Table.from_pandas(pdf, schema=arrow, preserve_index=False)
+                parts.append(pa.table([c.dictionary_encode() if pa.types.is_string(c.type) else c for c in table.columns], df_names))
+            table = pa.concat_tables(parts).unify_dictionaries().combine_chunks()
+            parts.clear()
+            place = pc.sort_indices(table.select(order), sort_keys=[(c, "ascending") for c in order])
+            for at in range(0, len(place), STEP):
+                pdf = table.take(place.slice(at, STEP)).cast(arrow).to_pandas()
+                yield run_batch(pdf, wanted, lambda row: state, step, names)[columns]
             self.saved.update((pickle.dumps(state),))
-            yield out
 
         def close(self) -> None:
             pass

@@ -21,7 +21,8 @@ from netloom.operators import store as so
 from netloom.operators.alerts import correlation_key, evidence_strength
 from netloom.operators.flows import app_family, prepare_flows
 from netloom.operators.scoring import rule_contributions, rule_score, top_features
-from netloom.operators.sliding import asked_columns, describe, sliding_windows, window_columns, window_schema
+from netloom.operators.sliding import SUMMED, asked_columns, describe, sliding_windows, window_columns, window_schema
+from netloom.plans import panes
 from netloom.plans.fold import fold, fold_stream
 from netloom.plans.ordered import positions
 from netloom.session import STATE_STORE, shared_dir
@@ -173,51 +174,72 @@ def sliding_windows_stream(flows: DataFrame, horizon_ms: int = 60_000, *, adapti
     kinds = {c: t for c, t in asked.dtypes if c != "app_id"}
     passed, columns = [f.name for f in schema.fields if f.name in KEPT], schema.names
     state_type = ", ".join(f"{c} array<{kinds[c]}>" for c in stored)
+    numbers = [c for c in dict.fromkeys([*SUMMED, "total_bytes"]) if c not in KEPT]
 
     class Panes(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.panes = handle.getMapState("panes", "pane bigint", state_type)
+            self.panes = handle.getMapState("panes", "pane bigint, piece bigint", state_type)
+            self.pieces = handle.getValueState("pieces", "stored bigint")
             self.done = handle.getValueState("released", "until_ms bigint")
 
         def handleInputRows(self, key, rows, timer_values):
-            first = None
+            first, piece = None, self.pieces.get()[0] if self.pieces.exists() else 0
             for pdf in rows:
                 table = pa.Table.from_pandas(pdf[stored], preserve_index=False).sort_by([("timestamp_end", "ascending")])
                 pane = table.column("timestamp_end").to_numpy() // length
                 cuts = [0, *(np.flatnonzero(np.diff(pane)) + 1).tolist(), len(pane)]
-                lists = [c.to_pylist() for c in table.columns]
                 for low, high in zip(cuts, cuts[1:]):
-                    at = (int(pane[low]),)
-                    new = [c[low:high] for c in lists]
-                    if self.panes.containsKey(at):
-                        new = [[*old, *more] for old, more in zip(self.panes.getValue(at), new)]
-                    self.panes.updateValue(at, tuple(new))
+                    if low == high:
+                        continue
+                    # What is stored is not read again: each arrival adds a piece of its own.
+                    self.panes.updateValue((int(pane[low]), piece), tuple(c.to_pylist() for c in table.slice(low, high - low).columns))
+                piece += 1
                 if len(pane):
                     first = int(pane[0]) if first is None else min(first, int(pane[0]))
+            self.pieces.update((piece,))
             if first is not None:
                 self.handle.registerTimer((first + 1) * length)
             return iter(())
 
+        def _read(self, keys: list, app: str) -> pa.RecordBatch:
+            """The rows of a pane, held compactly."""
+            parts = [self.panes.getValue(k) for k in keys]
+            raw = [pa.array([v for part in parts for v in part[i]], _TYPES[kinds[c]]) for i, c in enumerate(stored)]
+            raw.append(pa.array([app] * len(raw[0]), pa.string()))
+            return panes.compact(pa.RecordBatch.from_arrays(raw, names=[*stored, "app_id"]), numbers)
+
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             until = timerValues.getCurrentWatermarkInMs() // length * length
             before = self.done.get()[0] if self.done.exists() else None
             if before is not None and until <= before:
                 return
-            held = sorted(k[0] for k in self.panes.keys())
+            pieces: dict[int, list] = {}
+            for k in self.panes.keys():
+                pieces.setdefault(int(k[0]), []).append((int(k[0]), int(k[1])))
+            held = sorted(pieces)
             open_ = [p for p in held if (p + 1) * length <= until and (before is None or p * length >= before)]
-            if open_:
-                used = [p for p in held if (p + 1) * length <= until]
-                parts = [self.panes.getValue((p,)) for p in used]
-                table = pa.table({c: pa.array([v for part in parts for v in part[i]], _TYPES[kinds[c]]) for i, c in enumerate(stored)})
-                table = table.append_column("app_id", pa.array([key[0]] * len(table), pa.string())).sort_by(
-                    [("timestamp_end", "ascending"), ("flow_id", "ascending")])
-                emit = table.column("timestamp_end").to_numpy() >= open_[0] * length
+            # Some panes at a time, with those of the horizon before them.
+            near: dict[int, pa.RecordBatch] = {}
+            while open_:
+                begin, rows, many = open_[0], 0, 0
+                near = {p: b for p, b in near.items() if (p + 1) * length > begin * length - reach}
+                for p in held:
+                    if (p + 1) * length <= begin * length - reach or p > open_[-1] or rows >= panes.TOGETHER:
+                        continue
+                    if p not in near:
+                        near[p] = self._read(pieces[p], key[0])
+                    if p >= begin:
+                        rows, many = rows + len(near[p]), many + 1
+                open_ = open_[many:]
+                table = panes.joined(list(near.values())).sort_by([("timestamp_end", "ascending"), ("flow_id", "ascending")])
+                emit = table.column("timestamp_end").to_numpy() >= begin * length
                 for found in describe(table, np.zeros(len(table), np.int64), emit, horizons, choose, row_limit, passed):
                     yield found.select(columns).to_pandas()
             left = [p for p in held if (p + 1) * length > until - reach]
             for p in held[:len(held) - len(left)]:
-                self.panes.removeKey((p,))
+                for k in pieces[p]:
+                    self.panes.removeKey(k)
             self.done.update((int(until),))
             # The next pane to be released; or, if nothing waits, the time from which no pane is needed.
             waiting = [p for p in left if (p + 1) * length > until]
