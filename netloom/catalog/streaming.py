@@ -105,8 +105,8 @@ SELECT count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late, mi
 FROM (SELECT flow_id, timestamp_end < coalesce(one_before, 0) - {HOUR} AS late FROM arrived JOIN tops USING (arrival))"""))
 def l07(spark, sf):
     good, late = sf_.new_path(spark, "ontime"), sf_.new_path(spark, "late")
-    arrivals = flow_arrivals(spark, sf, sf_.new_path(spark, "arrivals"))
-    sf_.split_late(arrivals.select("flow_id", "timestamp_end"), good, late, HOUR)
+    arrivals = flow_arrivals(spark, sf, sf_.new_path(spark, "arrivals"), ["flow_id", "timestamp_end"])
+    sf_.split_late(arrivals, good, late, HOUR)
     a = spark.read.parquet(good).agg(F.count(F.lit(1)).alias("on_time"))
     b = spark.read.parquet(late).agg(F.count(F.lit(1)).alias("late"), F.min("flow_id").alias("first_late"), F.max("flow_id").alias("last_late"))
     return a.crossJoin(b)
