@@ -32,7 +32,7 @@ def scored(spark, sf) -> DataFrame:
 
 
 def _scored(spark, sf) -> DataFrame:
-    w = sc.rule_score(win.feature_windows(flow_view(spark, sf), WINDOW_MS), "rule")
+    w = sc.rule_score(win.feature_windows(flow_view(spark, sf, dealt=True), WINDOW_MS), "rule")
     return w.withColumns({
         "id": F.concat_ws(":", "app_id", "window_bucket"), "rule": r6("rule"),
         "score": r6(0.6 * F.col("novelty_score") + 0.4 * F.col("outbound_ratio")),
